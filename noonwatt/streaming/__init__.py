@@ -1,0 +1,5 @@
+"""Empty on purpose: the daily run is a batch, no operator keeps streaming state.
+
+The nearest thing to late data is the trailing incomplete hour, which staging
+drops until all of its intervals have landed (``plans.staging``).
+"""
