@@ -158,3 +158,21 @@ def require_columns(df: DataFrame, required: Sequence[str], what: str = "frame")
     missing = sorted(set(required) - set(df.columns))
     if missing:
         raise KeyError(f"{what} is missing columns: {missing}")
+
+
+def join_loss(mart: DataFrame, weather: DataFrame, lost: DataFrame, slack: int = 48) -> DataFrame:
+    """Mart rows against weather rows, and generation hours lost in the join."""
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("side"), "n")
+        for name, df in (("mart", mart), ("weather", weather), ("lost", lost))
+    ]
+    counted = union_all(parts).agg(
+        *[
+            F.max(F.when(F.col("side") == side, F.col("n"))).alias(name)
+            for side, name in (
+                ("mart", "mart_rows"), ("weather", "weather_rows"), ("lost", "unmatched"),
+            )
+        ]
+    )
+    covered = F.col("mart_rows") >= F.col("weather_rows") - slack
+    return counted.withColumn("covered", covered)
