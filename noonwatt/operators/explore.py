@@ -125,7 +125,7 @@ def histogram(
     """Rows per equal-width bin between the least and greatest value."""
     known = df.where(F.col(value).isNotNull()).select(*keys, value)
     ends = known.groupBy(*keys).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
-    placed = join_small(known, ends, keys).withColumn(
+    placed = join_small(known, ends, keys, spread_by=[value]).withColumn(
         "bin", _bin(F.col(value), F.col("__low"), F.col("__high"), bins)
     )
     return placed.groupBy(*keys, "bin").agg(_rows().alias("hours"))
@@ -140,7 +140,7 @@ def density(
         F.min(x).alias("__xl"), F.max(x).alias("__xh"),
         F.min(y).alias("__yl"), F.max(y).alias("__yh"),
     )
-    placed = join_small(known, ends, keys).withColumns(
+    placed = join_small(known, ends, keys, spread_by=[x, y]).withColumns(
         {
             "x_bin": _bin(F.col(x), F.col("__xl"), F.col("__xh"), bins),
             "y_bin": _bin(F.col(y), F.col("__yl"), F.col("__yh"), bins),

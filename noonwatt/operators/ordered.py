@@ -302,20 +302,19 @@ def join_small(
     per_key: DataFrame,
     on: Sequence[str],
     how: str = "inner",
+    spread_by: Sequence[str] = ("utc_timestamp",),
     salts: int = 32,
 ) -> DataFrame:
     """Join many rows to one or few rows per key without a hot task.
 
     Spark broadcasts the small side when its measured size allows; where it does
     not, each small row is repeated once per salt so that a key with a third of
-    all rows is spread over ``salts`` tasks.
+    all rows is spread over ``salts`` tasks. The salt is a hash of ``spread_by``,
+    so a task that has to run again deals its rows out the same way.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"join_small does inner and left joins, not {how!r}")
-    salted = rows.withColumn(
-        "__salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts))
-    )
-    repeated = per_key.withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    )
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    repeated = per_key.withColumn("__salt", F.explode(numbers))
     return salted.join(repeated, [*on, "__salt"], how).drop("__salt")

@@ -32,7 +32,7 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("__n"),
     )
     counted = valued.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    sliced = join_small(counted, sketch, keys).withColumn(
+    sliced = join_small(counted, sketch, keys, spread_by=["__v"]).withColumn(
         "__slice", F.size(F.filter("__cuts", lambda cut: cut < F.col("__v")))
     )
     per_slice = sliced.groupBy(*keys, "__slice").agg(F.sum("__c").alias("__rows"))

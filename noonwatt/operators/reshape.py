@@ -53,6 +53,17 @@ def drop_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
+def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows where none of the columns is NULL.
+
+    One predicate per column: each can be pushed to the scan, where a single
+    count of non-null columns could not.
+    """
+    for name in columns:
+        df = df.where(F.col(name).isNotNull())
+    return df
+
+
 def time_slice(
     df: DataFrame,
     start: Column | None = None,

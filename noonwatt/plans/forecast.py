@@ -6,13 +6,16 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noonwatt import vocab
 from noonwatt.functions.calendar import week_bucket
 from noonwatt.functions.numbers import clip_unit
 from noonwatt.operators.ordered import join_small
+from noonwatt.operators.reshape import complete_rows
 
 ZONE = ("zone",)
+MATRIX = T.ArrayType(T.DoubleType())
 PERSISTENCE, CLIMATOLOGY, RIDGE, BOOSTED = (
     "persistence_48h", "climatology", "ridge", "gradient_boosting",
 )
@@ -116,8 +119,8 @@ def feature_moments(
         if sums:
             yield flush()
 
-    rows = train.na.drop(subset=[vocab.TARGET, *features]).select(*keys, values.alias("__z"))
-    schema = rows.select(*keys).schema.add("moments", "array<double>")
+    rows = complete_rows(train, [vocab.TARGET, *features]).select(*keys, values.alias("__z"))
+    schema = rows.select(*keys).schema.add("moments", MATRIX)
     partial = rows.mapInPandas(add_up, schema)
     summed = (
         partial.select(*keys, F.posexplode("moments").alias("__i", "__m"))
@@ -175,8 +178,8 @@ def solve_ridge(
 
     named = [*keys, *([order] if order else [])]
     schema = moments.select(*named).schema
-    schema = schema.add("train_rows", "bigint").add("intercept", "double")
-    schema = schema.add("coefficients", "array<double>")
+    schema = schema.add("train_rows", "long").add("intercept", "double")
+    schema = schema.add("coefficients", MATRIX)
     return moments.groupBy(*keys).applyInPandas(solve, schema)
 
 

@@ -11,7 +11,7 @@ from noonwatt import vocab
 from noonwatt.functions.calendar import calendar_columns, gate, hours_between, is_weekend
 from noonwatt.functions.numbers import ratio
 from noonwatt.operators.ordered import trailing_rows
-from noonwatt.operators.reshape import drop_columns
+from noonwatt.operators.reshape import complete_rows, drop_columns
 
 ZONE = ("zone",)
 TS = "utc_timestamp"
@@ -117,7 +117,7 @@ def model_inputs(mart: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 
 def modelling_rows(mart: DataFrame) -> DataFrame:
     """Rows with a target and a complete feature set."""
-    return mart.na.drop(subset=[vocab.TARGET, *vocab.FEATURES])
+    return complete_rows(mart, [vocab.TARGET, *vocab.FEATURES])
 
 
 def daylight(df: DataFrame, column: str = "ghi_max") -> DataFrame:

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from workload import explore_queries, staging_queries  # noqa: F401
+from workload import explore_queries, forecast_queries, staging_queries  # noqa: F401

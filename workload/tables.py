@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from noonwatt.plans import marts, staging
+from noonwatt.sources.tables import write_table
 from workload import adapters
 
 
@@ -17,6 +18,14 @@ class Tables:
     def given(self, name: str) -> DataFrame:
         return adapters.table(self.spark, self.sf_dir, name)
 
+    def stored(self, name: str) -> DataFrame:
+        """A model written to the shared folder and read back, for queries that read
+        it several times. The models are tables; here only these queries need one."""
+        key = f"__stored_{name}"
+        if key not in self.__dict__:
+            self.__dict__[key] = write_table(getattr(self, name), self.spark, name)
+        return self.__dict__[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         maker = getattr(adapters, name, None)
         if maker is None or name.startswith("_"):
