@@ -1,3 +1,8 @@
 """Importing this module registers every query."""
 
-from workload import explore_queries, forecast_queries, staging_queries  # noqa: F401
+from workload import (  # noqa: F401
+    explore_queries,
+    forecast_queries,
+    source_queries,
+    staging_queries,
+)
