@@ -222,7 +222,7 @@ def prediction_log(spark, sf_dir) -> DataFrame:
         "zone",
         "utc_timestamp",
         to_market("utc_timestamp").alias("local_datetime"),
-        (F.col("i.mw") / 640).alias("predicted_capacity_factor"),
+        (F.col("i.mw") / 700).alias("predicted_capacity_factor"),
         F.col("i.mw").alias("predicted_mw"),
         F.when(F.col("__last") < 5, 0.0).otherwise(F.col("__last")).alias("ghi_mean_forecast"),
         (F.col("utc_timestamp") - F.make_dt_interval(hours=F.col("i.ahead"))).alias("issued_at"),

@@ -1,6 +1,7 @@
 """Importing this module registers every query."""
 
 from workload import (  # noqa: F401
+    dispatch_queries,
     explore_queries,
     forecast_queries,
     source_queries,

@@ -136,7 +136,7 @@ CTES: dict[str, str] = {
  FROM events GROUP BY ALL""",
     "prediction_log": f"""
  SELECT 'DE' AS zone, utc_timestamp, {local('utc_timestamp')} AS local_datetime,
-   mw / 640 AS predicted_capacity_factor, mw AS predicted_mw,
+   mw / 700 AS predicted_capacity_factor, mw AS predicted_mw,
    CASE WHEN v < 5 THEN 0.0 ELSE v END AS ghi_mean_forecast,
    utc_timestamp - INTERVAL '1' HOUR * ahead AS issued_at,
    CAST({local('utc_timestamp')} AS DATE) AS target_date, model_name

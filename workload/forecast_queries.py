@@ -410,7 +410,7 @@ def predict_day(t):
     "SELECT p.zone, p.utc_timestamp, p.target_date, p.issued_at, p.model_name, "
     "p.predicted_capacity_factor, p.ghi_mean_forecast, p.actual_capacity_factor, p.tso_capacity_factor "
     "FROM scored_all p",
-    "actual_capacity_factor tso_capacity_factor",
+    "predicted_capacity_factor actual_capacity_factor tso_capacity_factor",
 )
 def join_score(t):
     return scoring.score_log(t.prediction_log, t.stg_solar, t.stg_tso, latest_only=False)
