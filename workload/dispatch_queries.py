@@ -134,7 +134,7 @@ def load_fallback(t):
     "solar_value",
     "SELECT zone, site_id, target_date, sum(price_eur_mwh * least(solar_mw, load_mw)) AS solar_value_eur "
     "FROM pl_hours GROUP BY zone, site_id, target_date",
-    "solar_value_eur:8",
+    "solar_value_eur:12",
     **PLAN_CTES,
 )
 def solar_value(t):

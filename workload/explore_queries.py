@@ -22,7 +22,7 @@ TS = "utc_timestamp"
     "agg_hour_of_week",
     "SELECT building, (isodow(local_datetime) - 1) * 24 + hour(local_datetime) AS hour_of_week, "
     "avg(consumption_kwh) AS mean_kwh, count(*) AS cell_hours FROM mart_household GROUP BY ALL",
-    "mean_kwh:6",
+    "mean_kwh",
 )
 def agg_hour_of_week(t):
     fitted = profile.fit_profiles(t.mart_household)
@@ -92,7 +92,7 @@ PROFILE_CTES = {
     "1 - avg(abs(coalesce(mean_kwh, overall) - consumption_kwh)) / "
     "avg(abs(overall - consumption_kwh)) AS improvement FROM prof_rows "
     "JOIN prof_level USING (building) LEFT JOIN prof_cells USING (building, hw) GROUP BY building",
-    "profile_mae_kwh:6 flat_mae_kwh:6 improvement:6",
+    "profile_mae_kwh flat_mae_kwh improvement",
     **PROFILE_CTES,
 )
 def agg_profile_score(t):
@@ -291,7 +291,7 @@ def agg_night_midday(t):
     "max(CASE WHEN NOT is_implausible THEN energy_kwh END) AS max_hourly_kept, "
     "max(CASE WHEN is_implausible THEN energy_kwh END) AS max_hourly_flagged, "
     "min(energy_kwh) AS min_hourly FROM stg_household GROUP BY building_type",
-    "max_hourly_kept:6 max_hourly_flagged:6 min_hourly:6",
+    "max_hourly_kept max_hourly_flagged min_hourly",
 )
 def agg_meter_summary(t):
     return explore.meter_summary(t.stg_household)
@@ -508,7 +508,7 @@ def fn_safe_divide(t):
     "SELECT channel, utc_timestamp, coalesce(energy_kwh > greatest(10 * coalesce(energy_kwh, 0), "
     "100.0), FALSE) AS beyond, coalesce(energy_kwh, 0) AS energy_or_zero, CASE WHEN meter_kwh > 2500 "
     "THEN 'high' ELSE 'low' END AS level FROM differenced",
-    "energy_or_zero:6",
+    "energy_or_zero",
 )
 def fn_null_logic(t):
     energy = F.coalesce("energy_kwh", F.lit(0.0))
@@ -637,7 +637,7 @@ def fn_week_bucket(t):
     "fn_consumption",
     "SELECT utc_timestamp, building, grid_import_kwh + coalesce(pv_kwh, 0) - "
     "coalesce(grid_export_kwh, 0) AS consumption_kwh FROM per_device",
-    "consumption_kwh:6",
+    "consumption_kwh",
 )
 def fn_consumption(t):
     from noonwatt.plans.staging import device_energy

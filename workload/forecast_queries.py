@@ -169,7 +169,7 @@ def predict_clipped(t):
     "SELECT building, hw AS hour_of_week, avg(consumption_kwh) AS mean_kwh, count(*) AS cell_hours, "
     "any_value(overall) AS overall_mean_kwh, any_value(n) AS hours_observed FROM prof_rows JOIN "
     "prof_level USING (building) GROUP BY building, hw",
-    "mean_kwh:6 overall_mean_kwh:6",
+    "mean_kwh overall_mean_kwh",
     **PROFILE_CTES,
 )
 def fit_load_profile(t):
@@ -192,7 +192,7 @@ PROFILE_DAYS = {
     "d.daily_kwh FROM prof_hours h JOIN prof_level l USING (building) JOIN prof_daily d USING (building) "
     f"LEFT JOIN prof_cells c ON c.building = h.building AND c.hw = (isodow({local('h.utc_timestamp')}) "
     f"- 1) * 24 + hour({local('h.utc_timestamp')})",
-    "load_kwh:6 daily_kwh:6",
+    "load_kwh daily_kwh",
     **PROFILE_DAYS,
 )
 def profile_for_day(t):

@@ -67,7 +67,7 @@ def agg_weather_national(t):
     return t.stg_weather_national.drop(*vocab.LOCATION_FEATURES)
 
 
-@register("agg_channel_p99", "channel_scale", "p99_kwh:6")
+@register("agg_channel_p99", "channel_scale", "p99_kwh")
 def agg_channel_p99(t):
     return staging.channel_scale(t.metered, exact=True)
 
@@ -118,7 +118,7 @@ def join_benchmark_left(t):
     "join_channel_scale",
     "SELECT d.channel, d.utc_timestamp, d.energy_kwh, s.p99_kwh FROM differenced d "
     "LEFT JOIN channel_scale s USING (channel)",
-    "energy_kwh:6 p99_kwh:6",
+    "energy_kwh p99_kwh",
 )
 def join_channel_scale(t):
     energy = t.metered.select("channel", TS, "energy_kwh")
@@ -166,7 +166,7 @@ def win_prev_reading(t):
 @register(
     "win_meter_diff",
     "SELECT channel, utc_timestamp, meter_kwh, energy_kwh, is_implausible FROM stg_household",
-    "energy_kwh:6",
+    "energy_kwh",
 )
 def win_meter_diff(t):
     metered = staging.household(t.raw_household, exact=True)
@@ -235,7 +235,7 @@ def win_cf_mean_30d(t):
 @register(
     "win_load_lags",
     "SELECT building, utc_timestamp, consumption_lag_48h, consumption_lag_168h FROM mart_household",
-    "consumption_lag_48h:6 consumption_lag_168h:6",
+    "consumption_lag_48h consumption_lag_168h",
 )
 def win_load_lags(t):
     usable = t.stg_household_load.where(F.col("consumption_kwh") >= 0)
@@ -246,7 +246,7 @@ def win_load_lags(t):
 @register(
     "win_load_mean_7d",
     "SELECT building, utc_timestamp, consumption_mean_7d FROM mart_household",
-    "consumption_mean_7d:6",
+    "consumption_mean_7d",
 )
 def win_load_mean_7d(t):
     usable = t.stg_household_load.where(F.col("consumption_kwh") >= 0)
@@ -305,14 +305,14 @@ def stg_solar_output(t):
     return t.stg_solar_daily
 
 
-@register("stg_household", "stg_household", "energy_kwh:6")
+@register("stg_household", "stg_household", "energy_kwh")
 def stg_household(t):
     return t.stg_household
 
 
 @register(
     "stg_household_load", "stg_household_load",
-    " ".join(c + ":6" for c in [*vocab.DEVICE_COLUMNS.values(), "consumption_kwh"]),
+    " ".join(c for c in [*vocab.DEVICE_COLUMNS.values(), "consumption_kwh"]),
 )
 def stg_household_load(t):
     return t.stg_household_load
@@ -321,7 +321,7 @@ def stg_household_load(t):
 @register(
     "mart_household_features", "mart_household",
     " ".join(
-        c + ":6"
+        c
         for c in ["consumption_kwh", "grid_import_kwh", "pv_kwh", "heat_pump_kwh", "ev_kwh",
                   *marts.LOAD_LAGS, *marts.LOAD_MEANS]
     ) + " " + CYCLES,
@@ -371,7 +371,7 @@ def drop_incomplete(t):
     "plausible_rows",
     "SELECT utc_timestamp, building, consumption_kwh FROM stg_household_load "
     "WHERE consumption_kwh IS NOT NULL AND consumption_kwh >= 0",
-    "consumption_kwh:6",
+    "consumption_kwh",
 )
 def plausible_rows(t):
     return t.stg_household_load.where(F.col("consumption_kwh") >= 0).select(
@@ -407,7 +407,7 @@ def time_slice(t):
     "entity_filter",
     "SELECT utc_timestamp, local_datetime, consumption_kwh FROM mart_household "
     "WHERE building = 'residential4'",
-    "consumption_kwh:6",
+    "consumption_kwh",
 )
 def entity_filter(t):
     from noonwatt.operators.profile import building_rows
