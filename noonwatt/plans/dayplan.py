@@ -169,6 +169,7 @@ def advice(hours: DataFrame, keys: Sequence[str] = ZONE) -> DataFrame:
         running("charge_kw").alias("charge_hours"), running("discharge_kw").alias("discharge_hours")
     )
     told = hour_advice(hours, keys).join(moves, on).join(plan_days(hours, keys), on)
+    told = told.withColumn("__day", F.date_format(DAY, "yyyy-MM-dd"))
 
     def said(text: str, *columns: str):
         return F.format_string(text, *[F.col(c) for c in columns])
@@ -185,7 +186,7 @@ def advice(hours: DataFrame, keys: Sequence[str] = ZONE) -> DataFrame:
             said(
                 "Expected benefit on %s: EUR %.2f (%.2f from the battery, "
                 "%.2f from solar offsetting purchases).",
-                DAY, "total_benefit_eur", "revenue_eur", "solar_value_eur",
+                "__day", "total_benefit_eur", "revenue_eur", "solar_value_eur",
             ),
         )
     )
