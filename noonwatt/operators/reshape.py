@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,9 +61,7 @@ def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     One predicate per column: each can be pushed to the scan, where a single
     count of non-null columns could not.
     """
-    for name in columns:
-        df = df.where(F.col(name).isNotNull())
-    return df
+    return df.where(reduce(and_, [F.col(name).isNotNull() for name in columns]))
 
 
 def time_slice(

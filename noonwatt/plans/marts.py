@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,10 +50,14 @@ def solar_features(
     operators: DataFrame,
     keys: Sequence[str] = ZONE,
     gate_hour: int = vocab.GATE_HOUR,
+    store: Callable[[DataFrame], DataFrame] | None = None,
     **sizes: int,
 ) -> DataFrame:
     """Day-ahead solar features: hours with weather, the gate, the calendar, the
-    lagged target, and the operators' forecast as benchmark."""
+    lagged target, and the operators' forecast as benchmark.
+
+    Placing the rows reads the joined hours twice; ``store`` may write them first.
+    """
     on = [*keys, TS]
     published = operators.select(*on, F.col("solar_forecast_mw").alias("tso_solar_forecast_mw"))
     joined = (
@@ -61,6 +65,7 @@ def solar_features(
         .join(drop_columns(national, "locations_reporting"), on, "inner")
         .join(published, on, "left")
     )
+    joined = store(joined) if store else joined
     historic = with_history(joined, keys, vocab.TARGET, SOLAR_LAGS, SOLAR_MEANS, **sizes)
     gated = historic.withColumn("gate_utc", gate("local_datetime", hour=gate_hour))
     return gated.select(
@@ -79,12 +84,15 @@ def solar_features(
     )
 
 
-def household_features(load: DataFrame, **sizes: int) -> DataFrame:
+def household_features(
+    load: DataFrame, store: Callable[[DataFrame], DataFrame] | None = None, **sizes: int
+) -> DataFrame:
     """Household demand with calendar and gate-safe lags.
 
     Rows without plausible demand go first, so positional lags step over gaps.
     """
     usable = load.where(F.col("consumption_kwh") >= 0)
+    usable = store(usable) if store else usable
     historic = with_history(usable, ("building",), "consumption_kwh", LOAD_LAGS, LOAD_MEANS, **sizes)
     return historic.select(
         TS,

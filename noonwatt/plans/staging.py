@@ -6,7 +6,7 @@ processed at once; nothing here orders a whole series inside one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +20,8 @@ from noonwatt.operators.quantiles import exact_quantiles
 from noonwatt.operators.reshape import spread, to_hours
 
 ZONE = ("zone",)
+#: Writes an intermediate result that is read more than once, and reads it back.
+Store = Callable[[DataFrame], DataFrame]
 TS = "utc_timestamp"
 
 
@@ -188,11 +190,15 @@ def channel_scale(
 
 
 def household(
-    raw: DataFrame, keys: Sequence[str] = CHANNEL, exact: bool = False
+    raw: DataFrame,
+    keys: Sequence[str] = CHANNEL,
+    exact: bool = False,
+    store: Store | None = None,
 ) -> DataFrame:
     """Hourly energy per channel; jumps far beyond the channel's own scale are
-    flagged and keep their value."""
+    flagged and keep their value. The energy is read twice: ``store`` may write it."""
     energy = meter_energy(raw, keys)
+    energy = store(energy) if store else energy
     limit = F.greatest(
         F.col("p99_kwh") * vocab.PLAUSIBLE_FACTOR, F.lit(vocab.PLAUSIBLE_FLOOR_KWH)
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from noonwatt import vocab
 from noonwatt.functions.calendar import hour_start, market_date, to_market
@@ -30,8 +31,15 @@ BUILDINGS = 11
 METER_WRAP = 5000
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is read from the files once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _named(column: str, names: dict[str, str], other: str) -> Column:
@@ -127,7 +135,7 @@ def raw_weather(spark, sf_dir, zones=1) -> DataFrame:
     )
 
 
-def raw_household(spark, sf_dir) -> DataFrame:
+def raw_household(spark, sf_dir, store=lambda df: df) -> DataFrame:
     building = F.concat(F.lit("residential"), (F.col("user_id") % BUILDINGS).cast("string"))
     hourly = (
         table(spark, sf_dir, "events")
@@ -138,7 +146,7 @@ def raw_household(spark, sf_dir) -> DataFrame:
         )
         .agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("__used"))
     )
-    metered = running_total(hourly, ["building", "device"], "utc_timestamp", "__used", "__total")
+    metered = running_total(store(hourly), ["building", "device"], "utc_timestamp", "__used", "__total")
     return metered.select(
         "utc_timestamp",
         F.concat(F.lit(vocab.CHANNEL_PREFIX), "building", F.lit("_"), "device").alias("channel"),

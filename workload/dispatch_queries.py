@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from noonwatt.operators import profile
 from noonwatt.plans import dayplan, dispatch
-from noonwatt.operators.scoring import latest_issues
 from workload.adapters import batteries, sites
 from workload.ctes import local, utc
 from workload.explore_queries import PROFILE_CTES
@@ -76,11 +75,11 @@ PLAN_CTES = {
 
 
 def _prices(t):
-    return t.price_hourly.withColumn("price_eur_mwh", F.round("price_eur_mwh", 6))
+    return t.stored("price_hourly").withColumn("price_eur_mwh", F.round("price_eur_mwh", 6))
 
 
 def _prediction(t):
-    return latest_issues(t.prediction_log)
+    return t.stored("latest_prediction")
 
 
 def _load(t):
@@ -88,9 +87,8 @@ def _load(t):
     fitted = profile.fit_profiles(t.stored("mart_household")).where(
         F.col("building") != "residential0"
     )
-    days = t.prediction_log.select(F.col("target_date").alias("day")).distinct()
     buildings = sites(t.spark, t.sf_dir).select("zone", "building").distinct()
-    zoned = t.prediction_log.select("zone", F.col("target_date").alias("day")).distinct()
+    zoned = _prediction(t).select("zone", F.col("target_date").alias("day")).distinct()
     wanted = buildings.join(zoned, "zone").select("building", "day").distinct()
     return profile.profile_for_days(fitted, wanted)
 
@@ -134,7 +132,7 @@ def load_fallback(t):
     "solar_value",
     "SELECT zone, site_id, target_date, sum(price_eur_mwh * least(solar_mw, load_mw)) AS solar_value_eur "
     "FROM pl_hours GROUP BY zone, site_id, target_date",
-    "solar_value_eur:12",
+    "solar_value_eur:6",
     **PLAN_CTES,
 )
 def solar_value(t):

@@ -96,7 +96,9 @@ PROFILE_CTES = {
     **PROFILE_CTES,
 )
 def agg_profile_score(t):
-    return profile.score_profiles(t.mart_household, profile.fit_profiles(t.mart_household))
+    return profile.score_profiles(
+        t.stored("mart_household"), profile.fit_profiles(t.stored("mart_household"))
+    )
 
 
 DAY = f"CAST({local('utc_timestamp')} AS DATE)"
@@ -175,7 +177,7 @@ DESCRIBED = [vocab.TARGET, "ghi_mean", vocab.BENCHMARK]
     "mean std min p25 p50 p75 max",
 )
 def agg_describe(t):
-    return explore.describe(t.mart, DESCRIBED)
+    return explore.describe(t.stored("mart"), DESCRIBED)
 
 
 @register(
@@ -199,7 +201,7 @@ def _bin_sql(v: str, lo: str, hi: str, n: int) -> str:
     " GROUP BY ALL",
 )
 def agg_histogram(t):
-    return explore.histogram(t.stg_price, "price_eur_mwh", 120)
+    return explore.histogram(t.stored("stg_price"), "price_eur_mwh", 120)
 
 
 @register(
@@ -212,7 +214,7 @@ def agg_histogram(t):
     "WHERE ghi_max > 0",
 )
 def agg_bin2d(t):
-    lit = marts.daylight(t.mart).withColumn("ghi_mean", F.round("ghi_mean", 6))
+    lit = marts.daylight(t.stored("mart")).withColumn("ghi_mean", F.round("ghi_mean", 6))
     return explore.density(lit, "ghi_mean", vocab.TARGET, 55)
 
 
@@ -344,7 +346,7 @@ PRICE_R = "SELECT zone, utc_timestamp, round(price_eur_mwh, 6) AS price_eur_mwh
 @register("topk_hours", TOPK, price_r=PRICE_R)
 def topk_hours(t):
     """The three cheapest and three dearest hours of every local day."""
-    prices = t.price_hourly.select(
+    prices = t.stored("price_hourly").select(
         "zone", cal.market_date(TS).alias("day"), TS, F.round("price_eur_mwh", 6).alias("price_eur_mwh")
     )
     cheap = reshape.top_hours(prices, ["zone", "day"], "price_eur_mwh")
@@ -698,7 +700,7 @@ def audit_duplicates(t):
     "WHERE step_minutes IS NOT NULL AND step_minutes <> 60",
 )
 def audit_unbroken_grid(t):
-    return quality.broken_grid(t.stg_price)
+    return quality.broken_grid(t.stored("stg_price"))
 
 
 COUNTED = (
@@ -809,8 +811,9 @@ def check_locations_complete(t):
     "stg_weather_national)) AS unmatched",
 )
 def check_join_loss(t):
-    lost = quality.uncovered_hours(t.stg_generation, t.stg_weather_national)
-    return quality.join_loss(t.mart, t.stg_weather_national, lost)
+    weather = t.stored("stg_weather_national")
+    lost = quality.uncovered_hours(t.stored("stg_generation"), weather)
+    return quality.join_loss(t.mart, weather, lost)
 
 
 HORIZONS = (
@@ -839,7 +842,7 @@ def check_horizon_hist(t):
 )
 def check_lag_correct(t):
     """On a grid with holes positional lags are not temporal ones; those rows show."""
-    return quality.lag_mismatches(t.mart, "capacity_factor_lag_48h", vocab.TARGET, 48)
+    return quality.lag_mismatches(t.stored("mart"), "capacity_factor_lag_48h", vocab.TARGET, 48)
 
 
 @register(

@@ -35,7 +35,7 @@ NOW = "2024-01-25 10:00:00"
     "capacity_factor_lag_48h capacity_factor_lag_72h capacity_factor_lag_168h",
 )
 def lag_join(t):
-    solar = t.stg_solar.select("zone", TS, vocab.TARGET)
+    solar = t.stored("stg_solar").select("zone", TS, vocab.TARGET)
     return ordered.value_at(
         solar.select("zone", TS), solar, ["zone"], TS, vocab.TARGET, marts.SOLAR_LAGS
     )
@@ -48,7 +48,7 @@ def lag_join(t):
 )
 def asof_backward(t):
     hours = t.stg_weather_national.select("zone", TS)
-    history = t.stg_generation.select("zone", TS, "solar_mw")
+    history = t.stored("stg_generation").select("zone", TS, "solar_mw")
     return ordered.asof_backward(hours, history, ["zone"], TS, ["solar_mw"], offset_hours=48)
 
 
@@ -64,8 +64,9 @@ def asof_backward(t):
 )
 def lookup_fallback(t):
     """Cell mean, else hour mean, else overall mean of the first five days."""
-    past = reshape.time_slice(t.mart, upto=cal.instant("2024-01-05 12:00:00"))
-    found = forecast.predict_climatology(t.mart, forecast.climatology_cells(past))
+    mart = t.stored("mart")
+    past = reshape.time_slice(mart, upto=cal.instant("2024-01-05 12:00:00"))
+    found = forecast.predict_climatology(mart, t.keep(forecast.climatology_cells(past)))
     return found.select("zone", TS, F.col(forecast.CLIMATOLOGY).alias("looked_up"))
 
 
@@ -75,7 +76,7 @@ PAST = f"SELECT * FROM mart WHERE utc_timestamp <= TIMESTAMP '{TRAIN_UPTO}'"
 
 
 def _past(t):
-    return reshape.time_slice(t.mart, upto=cal.instant(TRAIN_UPTO))
+    return reshape.time_slice(t.stored("mart"), upto=cal.instant(TRAIN_UPTO))
 
 
 @register(
@@ -87,7 +88,7 @@ def _past(t):
 )
 def fit_persistence(t):
     fitted = forecast.fit_persistence(_past(t))
-    return forecast.predict_persistence(t.mart, fitted).select("zone", TS, forecast.PERSISTENCE)
+    return forecast.predict_persistence(t.stored("mart"), fitted).select("zone", TS, forecast.PERSISTENCE)
 
 
 @register(
@@ -102,8 +103,8 @@ def fit_persistence(t):
     past=PAST,
 )
 def fit_climatology(t):
-    future = t.mart.where(F.col(TS) > cal.instant(TRAIN_UPTO))
-    cells = forecast.climatology_cells(_past(t))
+    future = t.stored("mart").where(F.col(TS) > cal.instant(TRAIN_UPTO))
+    cells = t.keep(forecast.climatology_cells(_past(t)))
     return forecast.predict_climatology(future, cells).select("zone", TS, forecast.CLIMATOLOGY)
 
 
@@ -111,7 +112,7 @@ def fit_climatology(t):
 def fit_ridge(t):
     """One row per zone and coefficient; checked against a direct solution in the tests."""
     names = F.array(F.lit("(intercept)"), *[F.lit(f) for f in vocab.FEATURES])
-    fitted = forecast.fit_ridge(t.frame)
+    fitted = forecast.fit_ridge(t.stored("frame"))
     pairs = F.arrays_zip(
         names.alias("feature"), F.concat(F.array("intercept"), "coefficients").alias("coefficient")
     )

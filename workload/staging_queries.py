@@ -69,7 +69,7 @@ def agg_weather_national(t):
 
 @register("agg_channel_p99", "channel_scale", "p99_kwh")
 def agg_channel_p99(t):
-    return staging.channel_scale(t.metered, exact=True)
+    return staging.channel_scale(t.stored("metered"), exact=True)
 
 
 @register("agg_price_mean_hour", "price_hourly", "price_eur_mwh")
@@ -121,7 +121,7 @@ def join_benchmark_left(t):
     "energy_kwh p99_kwh",
 )
 def join_channel_scale(t):
-    energy = t.metered.select("channel", TS, "energy_kwh")
+    energy = t.stored("metered").select("channel", TS, "energy_kwh")
     scale = staging.channel_scale(energy, exact=True)
     return ordered.join_small(energy, scale, ["channel"], "left")
 
@@ -133,7 +133,7 @@ def join_channel_scale(t):
     "capacity_factor_lag_48h actual",
 )
 def join_interval_self(t):
-    return quality.earlier_value(t.mart, "capacity_factor_lag_48h", vocab.TARGET, 48)
+    return quality.earlier_value(t.stored("mart"), "capacity_factor_lag_48h", vocab.TARGET, 48)
 
 
 @register(
@@ -146,7 +146,7 @@ def join_interval_self(t):
 def antijoin_coverage(t):
     """Weather hours inside the generation range that have no generation."""
     hours = t.stg_weather_national.select("zone", TS)
-    return quality.uncovered_hours(hours, t.stg_generation)
+    return quality.uncovered_hours(hours, t.stored("stg_generation"))
 
 
 # --- windows --------------------------------------------------------------------
@@ -158,7 +158,7 @@ def antijoin_coverage(t):
 )
 def win_prev_reading(t):
     seen = ordered.previous_row(
-        t.raw_household, ["channel"], TS, {"previous_kwh": "meter_kwh", "previous_timestamp": TS}
+        t.stored("raw_household"), ["channel"], TS, {"previous_kwh": "meter_kwh", "previous_timestamp": TS}
     )
     return seen.select("channel", TS, "meter_kwh", "previous_kwh", "previous_timestamp")
 
@@ -169,7 +169,7 @@ def win_prev_reading(t):
     "energy_kwh",
 )
 def win_meter_diff(t):
-    metered = staging.household(t.raw_household, exact=True)
+    metered = staging.household(t.stored("raw_household"), exact=True, store=t.keep)
     return metered.select("channel", TS, "meter_kwh", "energy_kwh", "is_implausible")
 
 
@@ -183,7 +183,7 @@ def win_meter_diff(t):
 )
 def win_carry_forward(t):
     """The hour-grain form; staging fills at month grain and must agree."""
-    hours = staging.month_capacity(t.daily_generation, t.monthly_capacity)
+    hours = t.keep(staging.month_capacity(t.daily_generation, t.monthly_capacity))
     filled = ordered.carry_forward(hours, ["zone"], TS, {"solar_ac_mw": "reported_capacity_mw"})
     return filled.select("zone", TS, "reported_capacity_mw", "solar_ac_mw")
 
@@ -199,7 +199,7 @@ def win_carry_forward(t):
     "WINDOW w AS (ORDER BY utc_timestamp)",
 )
 def win_cf_lags(t):
-    lagged = marts.with_history(t.stg_solar, ["zone"], vocab.TARGET, marts.SOLAR_LAGS, {})
+    lagged = marts.with_history(t.stored("stg_solar"), ["zone"], vocab.TARGET, marts.SOLAR_LAGS, {})
     return lagged.select("zone", TS, *marts.SOLAR_LAGS)
 
 
@@ -220,7 +220,7 @@ def _mean(df, name):
     "capacity_factor_mean_7d",
 )
 def win_cf_mean_7d(t):
-    return _mean(t.stg_solar, "capacity_factor_mean_7d")
+    return _mean(t.stored("stg_solar"), "capacity_factor_mean_7d")
 
 
 @register(
@@ -229,7 +229,7 @@ def win_cf_mean_7d(t):
 )
 def win_cf_mean_30d(t):
     """Over the seven-year series, so that the whole frame fills."""
-    return _mean(t.stg_solar_daily, "capacity_factor_mean_30d")
+    return _mean(t.stored("stg_solar_daily"), "capacity_factor_mean_30d")
 
 
 @register(
@@ -238,7 +238,7 @@ def win_cf_mean_30d(t):
     "consumption_lag_48h consumption_lag_168h",
 )
 def win_load_lags(t):
-    usable = t.stg_household_load.where(F.col("consumption_kwh") >= 0)
+    usable = t.stored("stg_household_load").where(F.col("consumption_kwh") >= 0)
     lagged = marts.with_history(usable, ["building"], "consumption_kwh", marts.LOAD_LAGS, {})
     return lagged.select("building", TS, *marts.LOAD_LAGS)
 
@@ -249,7 +249,7 @@ def win_load_lags(t):
     "consumption_mean_7d",
 )
 def win_load_mean_7d(t):
-    usable = t.stg_household_load.where(F.col("consumption_kwh") >= 0)
+    usable = t.stored("stg_household_load").where(F.col("consumption_kwh") >= 0)
     lagged = marts.with_history(usable, ["building"], "consumption_kwh", {}, marts.LOAD_MEANS)
     return lagged.select("building", TS, *marts.LOAD_MEANS)
 
@@ -265,7 +265,7 @@ def win_latest_issue(t):
     "(ORDER BY utc_timestamp), utc_timestamp) AS step_minutes FROM stg_generation",
 )
 def win_step_minutes(t):
-    return ordered.gap_minutes(t.stg_generation.select("zone", TS), ["zone"])
+    return ordered.gap_minutes(t.stored("stg_generation").select("zone", TS), ["zone"])
 
 
 @register(
@@ -278,7 +278,7 @@ def win_step_minutes(t):
 )
 def win_rolling_time(t):
     rolled = ordered.rolling_hours(
-        t.stg_solar, ["zone"], TS, vocab.TARGET, {"mean_7d": 168, "mean_30d": 720}
+        t.stored("stg_solar"), ["zone"], TS, vocab.TARGET, {"mean_7d": 168, "mean_30d": 720}
     )
     return rolled.select("zone", TS, "mean_7d", "mean_30d")
 
@@ -291,7 +291,7 @@ def win_rolling_time(t):
 )
 def win_shift_24h(t):
     shifted = ordered.trailing_rows(
-        t.stg_price, ["zone"], TS,
+        t.stored("stg_price"), ["zone"], TS,
         {"decision_price_eur_mwh": ("price_eur_mwh", vocab.NAIVE_PRICE_LAG_HOURS)},
     )
     return shifted.select("zone", TS, "price_eur_mwh", "decision_price_eur_mwh")

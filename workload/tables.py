@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from noonwatt.operators import scoring
 from noonwatt.plans import marts, staging
 from noonwatt.sources.tables import write_table
 from workload import adapters
@@ -34,6 +35,13 @@ class Tables:
         self.__dict__[name] = frame
         return frame
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        return write_table(df, self.spark, "part")
+
+    @cached_property
+    def raw_household(self):
+        return adapters.raw_household(self.spark, self.sf_dir, self.keep)
+
     @cached_property
     def stg_price(self):
         return staging.price(self.raw_price)
@@ -64,11 +72,11 @@ class Tables:
 
     @cached_property
     def stg_solar_daily(self):
-        return staging.solar_output(self.daily_generation, self.monthly_capacity)
+        return staging.solar_output(self.stored("daily_generation"), self.monthly_capacity)
 
     @cached_property
     def stg_solar(self):
-        return staging.solar_output(self.stg_generation, self.event_capacity)
+        return staging.solar_output(self.stored("stg_generation"), self.event_capacity)
 
     @cached_property
     def stg_weather(self):
@@ -80,19 +88,25 @@ class Tables:
 
     @cached_property
     def mart(self):
-        return marts.solar_features(self.stg_solar, self.stg_weather_national, self.stg_tso)
+        return marts.solar_features(
+            self.stg_solar, self.stg_weather_national, self.stg_tso, store=self.keep
+        )
 
     @cached_property
     def frame(self):
         return marts.modelling_rows(self.mart)
 
+    @cached_property
+    def latest_prediction(self):
+        return scoring.latest_issues(self.prediction_log)
+
     @cached_property
     def metered(self):
-        return staging.meter_energy(self.raw_household)
+        return staging.meter_energy(self.stored("raw_household"))
 
     @cached_property
     def stg_household(self):
-        return staging.household(self.raw_household)
+        return staging.household(self.stored("raw_household"), store=self.keep)
 
     @cached_property
     def stg_household_load(self):
@@ -100,4 +114,4 @@ class Tables:
 
     @cached_property
     def mart_household(self):
-        return marts.household_features(self.stg_household_load)
+        return marts.household_features(self.stg_household_load, store=self.keep)
