@@ -267,17 +267,28 @@ def rolling_hours(
     """Mean over the last ``n`` hours, ``(t - n h, t]``, of whatever rows exist.
 
     ``windows``: new column -> n. Blocks of time get the rows of the time before
-    them that their frames reach into.
+    them that their frames reach into. A mean is the difference of two running
+    sums, now and ``n`` hours ago, so its cost does not grow with the frame.
     """
     reach = max(windows.values())
     at = epoch_hours(order)
     halo = df.withColumn(_HOME, F.floor(at / block_hours)).withColumn(
         _BLOCK, F.explode(F.sequence(F.col(_HOME), F.floor((at + reach) / block_hours)))
     )
-    halo = halo.withColumn("__sec", epoch_seconds(order))
     ordered = W.partitionBy(*keys, _BLOCK).orderBy("__sec")
+    upto = ordered.rangeBetween(W.unboundedPreceding, W.currentRow)
+    known = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    halo = halo.withColumn("__sec", epoch_seconds(order)).withColumns(
+        {"__sum": F.sum(known).over(upto), "__cnt": F.count(value).over(upto)}
+    )
+
+    def since(running: str, n: int) -> Column:
+        ago = ordered.rangeBetween(W.unboundedPreceding, -n * 3600)
+        return F.col(running) - F.coalesce(F.last(running).over(ago), F.lit(0))
+
     made = {
-        n: F.avg(value).over(ordered.rangeBetween(-(h * 3600 - 1), 0)) for n, h in windows.items()
+        name: F.when(since("__cnt", n) > 0, since("__sum", n) / since("__cnt", n))
+        for name, n in windows.items()
     }
     out = halo.withColumns(made).where(F.col(_BLOCK) == F.col(_HOME))
     return out.select(*df.columns, *made)

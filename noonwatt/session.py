@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -44,6 +45,11 @@ def local_session(cores: str = "*", app: str = "noonwatt", partitions: int = 8)
     return configure(spark)
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="noonwatt-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for written tables, below the cluster's ``spark.checkpoint.dir``.
 
@@ -54,5 +60,5 @@ def shared_folder(spark: SparkSession) -> str:
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="noonwatt-")
+        base = _local_folder()
     return os.path.join(base, f"noonwatt-{uuid.uuid4().hex}")
