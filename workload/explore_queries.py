@@ -90,7 +90,7 @@ PROFILE_CTES = {
     "SELECT building, avg(abs(coalesce(mean_kwh, overall) - consumption_kwh)) AS profile_mae_kwh, "
     "avg(abs(overall - consumption_kwh)) AS flat_mae_kwh, count(*) AS hours, "
     "1 - avg(abs(coalesce(mean_kwh, overall) - consumption_kwh)) / "
-    "avg(abs(overall - consumption_kwh)) AS improvement FROM prof_rows "
+    "nullif(avg(abs(overall - consumption_kwh)), 0) AS improvement FROM prof_rows "
     "JOIN prof_level USING (building) LEFT JOIN prof_cells USING (building, hw) GROUP BY building",
     "profile_mae_kwh flat_mae_kwh improvement",
     **PROFILE_CTES,
@@ -261,7 +261,7 @@ def agg_negative_share(t):
 
 @register(
     "agg_daily_peak",
-    "SELECT zone, count(*) AS days, max(peak) AS best, min(peak) AS worst, max(peak) / min(peak) "
+    "SELECT zone, count(*) AS days, max(peak) AS best, min(peak) AS worst, max(peak) / nullif(min(peak), 0) "
     "AS ratio FROM (SELECT zone, CAST(local_datetime AS DATE) AS day, max(solar_capacity_factor) "
     "AS peak FROM mart WHERE local_datetime >= TIMESTAMP '2024-01-08' "
     "AND local_datetime < TIMESTAMP '2024-01-22' GROUP BY ALL) GROUP BY zone",
