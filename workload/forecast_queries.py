@@ -256,7 +256,7 @@ def backtest_fitted(t):
 
 METRICS = (
     "SELECT zone, model, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(e) AS bias, 1 - avg(abs(e)) "
-    "/ (SELECT avg(abs(tso_solar_forecast_capacity_factor - actual)) FROM bt_pred WHERE daylight) "
+    "/ nullif((SELECT avg(abs(tso_solar_forecast_capacity_factor - actual)) FROM bt_pred WHERE daylight), 0) "
     "AS skill_vs_tso FROM (SELECT zone, 'persistence_48h' AS model, persistence_48h - actual AS e "
     "FROM bt_pred WHERE daylight UNION ALL SELECT zone, 'climatology', climatology - actual FROM "
     "bt_pred WHERE daylight UNION ALL SELECT zone, 'TSO forecast', "
@@ -273,8 +273,8 @@ def backtest_summary(t):
 @register(
     "agg_error_metrics",
     "SELECT zone, model, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(e) AS bias, 1 - avg(abs(e)) "
-    "/ (SELECT avg(abs(tso_solar_forecast_capacity_factor - solar_capacity_factor)) FROM mart WHERE "
-    "ghi_max > 0) AS skill_vs_tso FROM (SELECT zone, 'capacity_factor_lag_72h' AS model, "
+    "/ nullif((SELECT avg(abs(tso_solar_forecast_capacity_factor - solar_capacity_factor)) FROM mart WHERE "
+    "ghi_max > 0), 0) AS skill_vs_tso FROM (SELECT zone, 'capacity_factor_lag_72h' AS model, "
     "capacity_factor_lag_72h - solar_capacity_factor AS e FROM mart WHERE ghi_max > 0 UNION ALL "
     "SELECT zone, 'capacity_factor_mean_7d', capacity_factor_mean_7d - solar_capacity_factor FROM mart "
     "WHERE ghi_max > 0 UNION ALL SELECT zone, 'TSO forecast', tso_solar_forecast_capacity_factor - "
