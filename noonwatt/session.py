@@ -15,9 +15,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Call sites are looked up for every column otherwise, which triples the time
-    # it takes to build a plan.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -37,6 +34,9 @@ def local_session(cores: str = "*", app: str = "noonwatt", partitions: int = 8)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        # Call sites are looked up for every column otherwise, which slows down
+        # building a plan. Can only be set when a session starts.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)
