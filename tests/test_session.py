@@ -13,13 +13,17 @@ def test_configure_sets_only_what_a_running_session_can_change(spark):
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
 
 
-def test_written_tables_go_below_the_shared_folder(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert session.shared_folder(spark).startswith(str(tmp_path))
-        assert session.shared_folder(spark) != session.shared_folder(spark)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+class Named:
+    """Stands in for a session started with ``spark.checkpoint.dir``."""
+
+    def __init__(self, folder):
+        self.conf = {"spark.checkpoint.dir": folder}
+
+
+def test_written_tables_go_below_the_shared_folder(tmp_path):
+    cluster = Named(str(tmp_path))
+    assert session.shared_folder(cluster).startswith(str(tmp_path))
+    assert session.shared_folder(cluster) != session.shared_folder(cluster)
 
 
 @pytest.mark.parametrize("name", ["mart_solar_features"])
