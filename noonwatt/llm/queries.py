@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noonwatt.llm import chat, decontaminate, exact_dedup, mixing, url_filter
+from noonwatt.llm import chat, decontaminate, exact_dedup, language_id, mixing, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -139,3 +139,30 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(TRICKY).alias("text"),
     )
     return chat.digests(logs.unionByName(more))
+
+
+@query()
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    return simhash.assign(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; the source stands for its host."""
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from its text, its markup, its host and the host's suffix."""
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.regexp_extract("html", '(?i)<html[^>]*\\slang="?([a-z]+)', 1).alias("lang"),
+        F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&\w+;", " ").alias("text"),
+        url_filter.host_of("url").alias("host"),
+    )
+    pages = pages.withColumn("lang", F.nullif("lang", F.lit("")))
+    return language_id.report(
+        pages, doc_id="page_id", host="host", suffix=F.substring_index("host", ".", -1)
+    )
