@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noonwatt.llm import chat, decontaminate, exact_dedup, language_id, mixing, simhash, url_filter
+from noonwatt.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    lm_score,
+    mixing,
+    quality,
+    simhash,
+    token_count,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -166,3 +177,28 @@ def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(
         pages, doc_id="page_id", host="host", suffix=F.substring_index("host", ".", -1)
     )
+
+
+@query()
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document; the good labelled ones are the target."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return lm_score.score(docs, labels.where("quality = 1").select("doc_id"))
+
+
+@query()
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, ~quality.held_out())
+    return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+#: The vocabulary file of the token counts; a public tokenizer's, not part of this repository.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query()
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), token_count.Unigram.load(VOCABULARY))
