@@ -2,7 +2,8 @@
 
 A log holds one row per event: whole messages, streamed deltas, edits and regenerations.
 Rows are partitioned by conversation, sorted by sequence and folded into final messages,
-which a template renders. Rendering is reversible: what is read back from the formatted
+which a template renders. Sorting and running sums spill and cost the same per row however long
+a conversation is. Rendering is reversible: what is read back from the formatted
 text are the very roles and texts that went in, whatever control strings they hold.
 
 Events (``kind``; null or any other value counts as ``message``):
@@ -14,7 +15,7 @@ Events (``kind``; null or any other value counts as ``message``):
 
 Defined results: a null text or role counts as empty; null conversation ids form one
 conversation; a null sequence comes first; equal sequences are ordered by kind, role and text,
-so a rerun gives the same result. Repeated rows are repeated events. Conversations of empty
+so a rerun gives the same result (nulls first). Repeated rows are repeated events. Conversations of empty
 texts are rendered like any other; an empty table gives no rows.
 
 A formatted conversation is one string, so its rows meet in one task: a sample of the
@@ -24,6 +25,7 @@ training data is never longer than one string. Different conversations are sprea
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -56,54 +58,60 @@ def unescape_role(role: Column) -> Column:
 
 def messages(events: DataFrame, conv_id: str = "conv_id", seq: str = "turn", kind: str | None = None,
              role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, messages): the final messages of each conversation, in order."""
+    """(conv_id, n, role, text): the final messages, numbered within their conversation.
+
+    A message's texts since its last edit or regeneration are joined. The log is shuffled
+    once; numbering and folding are running sums and aggregations within its partitions.
+    Without ``kind`` each event is a whole message.
+    """
     blank = F.lit("")
-    event = F.struct(
+    log = events.select(
+        F.col(f"`{conv_id}`").alias("conv_id"),
         F.col(f"`{seq}`").alias("seq"),
-        (F.col(f"`{kind}`") if kind else F.lit("message")).alias("kind"),
+        (F.coalesce(F.col(f"`{kind}`"), F.lit("message")) if kind else F.lit("message")).alias("kind"),
         F.col(f"`{role}`").alias("role"),
         F.col(f"`{text}`").alias("text"),
     )
-    log = events.groupBy(F.col(f"`{conv_id}`").alias("conv_id")).agg(F.sort_array(F.collect_list(event)).alias("log"))
-    if kind is None:  # nothing but whole messages: each event is one
-        return log.select("conv_id", F.transform("log", lambda e: F.struct(
-            F.coalesce(e["role"], blank).alias("role"), F.coalesce(e["text"], blank).alias("text"))).alias("messages"))
-    none = F.array().cast("array<struct<role:string,text:string>>")
-
-    def fold(done: Column, e: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        before = F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(none)
-        new = lambda r, t: F.array(F.struct(F.coalesce(r, blank).alias("role"), F.coalesce(t, blank).alias("text")))
-        begun = F.size(done) > 0
-        return (
-            F.when((e["kind"] == "delta") & begun, F.concat(before, new(last["role"], F.concat(last["text"], F.coalesce(e["text"], blank)))))
-            .when((e["kind"] == "edit") & begun, F.concat(before, new(last["role"], e["text"])))
-            .when((e["kind"] == "regenerate") & begun, F.concat(before, new(F.coalesce(e["role"], last["role"]), e["text"])))
-            .otherwise(F.concat(done, new(e["role"], e["text"])))
-        )
-
-    return log.select("conv_id", F.aggregate("log", none, fold).alias("messages"))
+    in_order = W.partitionBy("conv_id").orderBy("seq", "kind", "role", "text")
+    so_far = W.partitionBy("conv_id").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    begins = (F.col("at") == 1) | ~F.col("kind").isin("delta", "edit", "regenerate")
+    again = F.col("begins") | F.col("kind").isin("edit", "regenerate")
+    told = F.when(F.col("begins"), F.coalesce("role", blank)).when(F.col("kind") == "regenerate", F.col("role"))
+    placed = (
+        log.withColumn("at", F.row_number().over(in_order))
+        .withColumn("begins", begins)
+        .withColumns({
+            "n": F.sum(F.col("begins").cast("int")).over(so_far),
+            "version": F.sum(again.cast("int")).over(so_far),
+            "told": told,
+        })
+    )
+    parts = placed.groupBy("conv_id", "n", "version").agg(
+        F.sort_array(F.collect_list(F.struct("at", F.coalesce("text", blank).alias("text")))).alias("parts"),
+        F.max_by("told", F.when(F.col("told").isNotNull(), F.col("at"))).alias("told"),
+    )
+    return parts.groupBy("conv_id", "n").agg(
+        F.max_by("told", F.when(F.col("told").isNotNull(), F.col("version"))).alias("role"),
+        F.array_join(F.max_by("parts", "version")["text"], "").alias("text"),
+    )
 
 
 def render(folded: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_spans): the text of each conversation, and the spans
     (start from 0, length, in characters) of it that are trained on."""
-    head = lambda m: F.concat(F.lit(START), escape_role(m["role"]), F.lit("\n"))
-    parts = F.transform("messages", lambda m: F.struct(
-        (m["role"] == LEARNED).alias("learned"), head(m).alias("head"), escape_text(m["text"]).alias("body")))
-    tail = len(END) + 1
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def walk(done: Column, p: Column) -> Column:
-        begin = done["at"] + F.char_length(p["head"])
-        span = F.array(F.struct(begin.alias("start"), F.char_length(p["body"]).alias("length")))
-        spans = F.when(p["learned"], F.concat(done["spans"], span)).otherwise(done["spans"])
-        return F.struct((begin + F.char_length(p["body"]) + tail).alias("at"), spans.alias("spans"))
-
-    return folded.withColumn("parts", parts).select(
+    before = W.partitionBy("conv_id").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    body = escape_text(F.col("text"))
+    parts = (
+        folded.withColumns({"head": F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")), "body": body})
+        .withColumn("part", F.concat("head", "body", F.lit(END + "\n")))
+        .withColumn("start", F.coalesce(F.sum(F.char_length("part")).over(before), F.lit(0)) + F.char_length("head"))
+    )
+    span = F.when(F.col("role") == LEARNED, F.struct("start", F.char_length("body").alias("length")))
+    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "part", span.alias("span")))).alias("parts"))
+    return whole.select(
         "conv_id",
-        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))), "").alias("formatted"),
-        F.aggregate("parts", start, walk)["spans"].alias("loss_spans"),
+        F.array_join(F.col("parts")["part"], "").alias("formatted"),
+        F.filter(F.col("parts")["span"], lambda s: s.isNotNull()).alias("loss_spans"),
     )
 
 
@@ -117,7 +125,7 @@ def read_back(rendered: DataFrame) -> DataFrame:
         unescape_text(F.substr(body(p), F.instr(body(p), "\n") + 1)).alias("text"),
     )
     learned = F.transform(
-        "loss_spans", lambda s: unescape_text(F.substr(F.col("formatted"), s["start"] + 1, s["length"]))
+        "loss_spans", lambda s: unescape_text(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"]))
     )
     return rendered.select(
         "conv_id", "formatted", F.transform(turns, message).alias("messages"), F.array_join(learned, "").alias("learned")

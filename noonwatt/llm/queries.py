@@ -131,8 +131,8 @@ _ESCAPED = r"regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')"
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-1, 0, 'user', '{TRICKY}'), (-1, 1, 'assistant', '{TRICKY}')),
 g AS (SELECT conv_id, count(*) AS n_turns,
-             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
-             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learned,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(text)) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, md5(text)) FILTER (role = 'assistant'), '') AS learned,
              sum(length(role) + 2 * (length(role) - length(translate(role, '%<' || chr(10), '')))
                  + length({_ESCAPED}) + {len(chat.START) + len(chat.END) + 2})::BIGINT AS formatted_chars
       FROM c GROUP BY conv_id)
@@ -141,7 +141,10 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned)::BIGINT
 FROM g
 """)
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every conversation, read back from its formatted text."""
+    """Digests of every conversation, read back from its formatted text.
+
+    The log streams each row: a message with the first half of the text, a delta with the rest.
+    """
     logs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(
         F.lit(-1).cast("bigint").alias("conv_id"),
@@ -149,7 +152,19 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(TRICKY).alias("text"),
     )
-    return chat.digests(logs.unionByName(more))
+    rows = logs.unionByName(more).withColumn("row", F.monotonically_increasing_id())
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    event = lambda part, kind, role, piece: F.struct(
+        # Rows of one turn stay apart, in the order of their contents.
+        F.struct("turn", F.coalesce("role", F.lit("")), F.md5(text), "row", F.lit(part)).alias("seq"),
+        F.lit(kind).alias("kind"), role.alias("role"), piece.alias("text"),
+    )
+    stream = F.inline(F.array(
+        event(0, "message", F.col("role"), F.substr(text, F.lit(1), half)),
+        event(1, "delta", F.lit(None).cast("string"), F.substr(text, half + 1)),
+    ))
+    return chat.digests(rows.select("conv_id", stream), seq="seq", kind="kind")
 
 
 @query()

@@ -49,6 +49,7 @@ def test_spans_hold_the_learned_texts(spark):
 
 def fold(events):
     done = []
+    events = [(s, kind or "message", role, text) for s, kind, role, text in events]
     for _, kind, role, text in sorted(events, key=lambda e: tuple((x is not None, x) for x in e)):
         text = text or ""
         if kind in ("delta", "edit", "regenerate") and done:
@@ -66,8 +67,11 @@ def test_deltas_edits_and_regenerations(spark):
     rng.shuffle(events)
     df = spark.createDataFrame(events, "c int, s int, k string, r string, t string")
     got = chat.messages(df, conv_id="c", seq="s", kind="k", role="r", text="t")
+    final = {c: [] for c in {e[0] for e in events}}
+    for r in sorted(got.collect()):
+        final[r.conv_id].append((r.role, r.text))
     want = {c: fold([e[1:] for e in events if e[0] == c]) for c in {e[0] for e in events}}
-    assert {r.conv_id: [tuple(m) for m in r.messages] for r in got.collect()} == want
+    assert final == want
     back = chat.read_back(chat.render(got))
     assert {r.conv_id: [tuple(m) for m in r.messages] for r in back.collect()} == want
 
