@@ -1,5 +1,6 @@
 """Calendar columns. Instants are UTC wall clocks (``timestamp_ntz``); the
-calendar is the market's local one."""
+calendar is the market's local one. Nothing here goes through the session's time
+zone, so every session gives the same hours."""
 
 from __future__ import annotations
 
@@ -27,11 +28,20 @@ def instant(text: str) -> Column:
 
 def hour_start(ts: Column | str) -> Column:
     """The start of the hour, still without a zone."""
-    return F.date_trunc("HOUR", _c(ts)).cast("timestamp_ntz")
+    at = _c(ts).cast("timestamp_ntz")
+    return at.cast("date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(at))
+
+
+def month_start(ts: Column | str) -> Column:
+    """The first instant of the month."""
+    return F.trunc(_c(ts).cast("date"), "MM").cast("timestamp_ntz")
 
 
 def epoch_seconds(ts: Column | str) -> Column:
-    return F.unix_seconds(_c(ts).cast("timestamp"))
+    """Whole seconds since 1970 on the UTC wall clock."""
+    at = _c(ts).cast("timestamp_ntz")
+    days = F.unix_date(at.cast("date")).cast("bigint")
+    return days * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
 
 
 def epoch_hours(ts: Column | str) -> Column:
@@ -72,11 +82,12 @@ def gate(
 
 
 def hours_between(start: Column | str, end: Column | str) -> Column:
-    return F.timestamp_diff("HOUR", _c(start), _c(end)).cast("bigint")
+    """Whole hours, cut towards zero."""
+    return ((epoch_seconds(end) - epoch_seconds(start)) / 3600).cast("bigint")
 
 
 def minutes_between(start: Column | str, end: Column | str) -> Column:
-    return F.timestamp_diff("MINUTE", _c(start), _c(end)).cast("bigint")
+    return ((epoch_seconds(end) - epoch_seconds(start)) / 60).cast("bigint")
 
 
 def month_key(local: Column | str) -> Column:
@@ -132,7 +143,10 @@ def hour_spine(day: Column | str, tz: str = vocab.MARKET_TZ) -> Column:
 
 
 def from_epoch(seconds: Column | str) -> Column:
-    return F.timestamp_seconds(_c(seconds)).cast("timestamp_ntz")
+    at = _c(seconds)
+    day = F.floor(at / 86400).cast("int")
+    rest = F.make_dt_interval(secs=F.pmod(at, F.lit(86400)).cast("decimal(18,6)"))
+    return instant("1970-01-01 00:00:00") + F.make_dt_interval(days=day) + rest
 
 
 def from_month_label(label: Column | str) -> Column:

@@ -16,9 +16,9 @@ def ratio(a: Column | str, b: Column | str) -> Column:
 
 
 def to_number(value: Column | str) -> Column:
-    """Text or number -> double; anything unreadable, and NaN, becomes NULL."""
+    """Text or number -> double; anything unreadable, NaN and infinities become NULL."""
     number = _c(value).try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
 
 
 def clip_unit(value: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noonwatt import vocab
-from noonwatt.functions.calendar import market_date, to_market
+from noonwatt.functions.calendar import hours_between, market_date, to_market
 from noonwatt.operators.ordered import join_small
 from noonwatt.operators.quantiles import exact_quantiles
 from noonwatt.operators.reshape import spread
@@ -125,7 +125,7 @@ def histogram(
     """Rows per equal-width bin between the least and greatest value."""
     known = df.where(F.col(value).isNotNull()).select(*keys, value)
     ends = known.groupBy(*keys).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
-    placed = join_small(known, ends, keys, spread_by=[value]).withColumn(
+    placed = join_small(known, ends, keys).withColumn(
         "bin", _bin(F.col(value), F.col("__low"), F.col("__high"), bins)
     )
     return placed.groupBy(*keys, "bin").agg(_rows().alias("hours"))
@@ -140,7 +140,7 @@ def density(
         F.min(x).alias("__xl"), F.max(x).alias("__xh"),
         F.min(y).alias("__yl"), F.max(y).alias("__yh"),
     )
-    placed = join_small(known, ends, keys, spread_by=[x, y]).withColumns(
+    placed = join_small(known, ends, keys).withColumns(
         {
             "x_bin": _bin(F.col(x), F.col("__xl"), F.col("__xh"), bins),
             "y_bin": _bin(F.col(y), F.col("__yl"), F.col("__yh"), bins),
@@ -257,5 +257,5 @@ def series_era(df: DataFrame, keys: Sequence[str] = ZONE) -> DataFrame:
     return df.groupBy(*keys).agg(
         _rows().alias("n"),
         F.year(F.min(TS)).cast("bigint").alias("first_year"),
-        F.floor(F.timestamp_diff("HOUR", F.min(TS), F.max(TS)) / 24).cast("bigint").alias("span_days"),
+        F.floor(hours_between(F.min(TS), F.max(TS)) / 24).cast("bigint").alias("span_days"),
     )

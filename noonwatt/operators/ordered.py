@@ -6,7 +6,8 @@ order rows inside *slots* of a fixed time span (or blocks of a fixed number of
 positions) and carry what must cross a slot border through a per-slot summary:
 one row per key and slot, so its size is bounded by the time span covered.
 
-``keys`` names the series columns, ``order`` the UTC timestamp column.
+``keys`` names the series columns, ``order`` the UTC timestamp column. Rows whose
+key or timestamp is NULL form groups of their own and stay, as in SQL windows.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noonwatt.functions.calendar import epoch_hours, epoch_seconds, hours
+from noonwatt.functions.calendar import epoch_hours, epoch_seconds, hours, minutes_between
 
 SLOT_HOURS = 28 * 24
 BLOCK_ROWS = 8192
-_SLOT, _BLOCK, _HOME = "__slot", "__block", "__home"
+_GROUP, _SLOT, _BLOCK, _HOME = "__group", "__slot", "__block", "__home"
 
 
 def _slot(order: str, slot_hours: int) -> Column:
@@ -36,18 +37,22 @@ def _with_earlier_slots(
     summaries: dict[str, Column],
     carries: dict[str, Callable[[W], Column]],
 ) -> DataFrame:
-    """Tag rows with their slot and join what the key's earlier slots add up to.
+    """Tag rows with their (keys, slot) group and join what the key's earlier slots add up to.
 
-    ``summaries`` are aggregates per (keys, slot); ``carries`` turn them into
-    values over all earlier slots, given the window that spans those.
+    ``summaries`` are aggregates per group; ``carries`` turn them into values over all
+    earlier slots, given the window that spans those. The group is a struct: it is never
+    NULL itself, so rows with NULL parts find their summary.
     """
-    tagged = df.withColumn(_SLOT, _slot(order, slot_hours))
-    per_slot = tagged.groupBy(*keys, _SLOT).agg(*[a.alias(n) for n, a in summaries.items()])
+    parts = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    tagged = df.withColumn(_GROUP, F.struct(*parts, _slot(order, slot_hours).alias("slot")))
+    per_slot = tagged.groupBy(_GROUP).agg(*[a.alias(n) for n, a in summaries.items()])
     earlier = (
-        W.partitionBy(*keys).orderBy(_SLOT).rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy(*[f"{_GROUP}.k{i}" for i in range(len(keys))])
+        .orderBy(f"{_GROUP}.slot")
+        .rowsBetween(W.unboundedPreceding, -1)
     )
-    carried = per_slot.select(*keys, _SLOT, *[c(earlier).alias(n) for n, c in carries.items()])
-    return tagged.join(carried, [*keys, _SLOT])
+    carried = per_slot.select(_GROUP, *[c(earlier).alias(n) for n, c in carries.items()])
+    return tagged.join(carried, _GROUP)
 
 
 def with_position(
@@ -63,9 +68,40 @@ def with_position(
         {"__rows": F.count(F.lit(1))},
         {"__before": lambda w: F.coalesce(F.sum("__rows").over(w), F.lit(0))},
     )
-    inside = W.partitionBy(*keys, _SLOT).orderBy(order)
+    inside = W.partitionBy(_GROUP).orderBy(order)
     numbered = tagged.withColumn(name, F.col("__before") + F.row_number().over(inside) - 1)
-    return numbered.drop("__before", _SLOT)
+    return numbered.drop("__before", _GROUP)
+
+
+_SUMMANDS = ("sum", "cnt", "high", "low", "nan")
+
+
+def _summands(column: str) -> dict[str, Column]:
+    """What running totals of a column need: finite values, and the count of each kind of
+    other ones, since a difference of sums never gets rid of an infinity again."""
+    value = F.col(column).cast("double")
+    endless = F.lit(float("inf"))
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < endless)
+    one = lambda kind: F.when(kind, F.lit(1)).otherwise(F.lit(0))
+    return {
+        "sum": F.when(finite, value).otherwise(F.lit(0.0)),
+        "cnt": one(value.isNotNull()),
+        "high": one(value.isNotNull() & ~F.isnan(value) & (value == endless)),
+        "low": one(value == -endless),
+        "nan": one(value.isNotNull() & F.isnan(value)),
+    }
+
+
+def _mean(total: dict[str, Column]) -> Column:
+    """The mean of a frame from its totals, as ``avg`` gives it."""
+    mixed = (total["nan"] > 0) | ((total["high"] > 0) & (total["low"] > 0))
+    return (
+        F.when(total["cnt"] == 0, F.lit(None).cast("double"))
+        .when(mixed, F.lit(float("nan")))
+        .when(total["high"] > 0, F.lit(float("inf")))
+        .when(total["low"] > 0, F.lit(float("-inf")))
+        .otherwise(F.try_divide(total["sum"], total["cnt"]))
+    )
 
 
 def trailing_rows(
@@ -108,12 +144,7 @@ def trailing_rows(
 
     columns = sorted({c for c, _, _ in means.values()})
     for i, c in enumerate(columns):
-        halo = halo.withColumns(
-            {
-                f"__sum{i}": F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(running),
-                f"__cnt{i}": F.count(c).over(running),
-            }
-        )
+        halo = halo.withColumns({f"__{k}{i}": F.sum(v).over(running) for k, v in _summands(c).items()})
 
     def between(running_column: str, first: int, last: int) -> Column:
         upto = F.lag(running_column, last).over(ordered) if last else F.col(running_column)
@@ -122,8 +153,7 @@ def trailing_rows(
     made = {name: F.lag(c, n).over(ordered) if n else F.col(c) for name, (c, n) in lags.items()}
     for name, (c, first, last) in means.items():
         i = columns.index(c)
-        count = between(f"__cnt{i}", first, last)
-        made[name] = F.when(count > 0, between(f"__sum{i}", first, last) / count)
+        made[name] = _mean({k: between(f"__{k}{i}", first, last) for k in _SUMMANDS})
 
     out = halo.withColumns(made).where(F.col(_BLOCK) == F.col(_HOME))
     return out.select(*df.columns, *made)
@@ -140,10 +170,10 @@ def previous_row(
     values = F.struct(F.col(order).alias("__at"), *[F.col(c).alias(n) for n, c in columns.items()])
     tagged = _with_earlier_slots(
         df, keys, order, slot_hours,
-        {"__last": F.max_by(values, order)},
+        {"__last": F.max_by(values, F.struct(order))},
         {"__carried": lambda w: F.last("__last", ignorenulls=True).over(w)},
     )
-    inside = W.partitionBy(*keys, _SLOT).orderBy(order)
+    inside = W.partitionBy(_GROUP).orderBy(order)
     found = tagged.withColumn("__prev", F.coalesce(F.lag(values).over(inside), F.col("__carried")))
     return found.select(*df.columns, *[F.col(f"__prev.{n}").alias(n) for n in columns])
 
@@ -170,7 +200,7 @@ def carry_forward(
         },
     )
     inside = (
-        W.partitionBy(*keys, _SLOT)
+        W.partitionBy(_GROUP)
         .orderBy(*([order, tie] if tie else [order]))
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
@@ -196,7 +226,7 @@ def running_total(
         {"__earlier": lambda w: F.sum("__total").over(w)},
     )
     inside = (
-        W.partitionBy(*keys, _SLOT).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        W.partitionBy(_GROUP).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     total = F.sum(value).over(inside) + F.coalesce(F.col("__earlier"), F.lit(0))
     return tagged.withColumn(name, total).select(*df.columns, name)
@@ -268,29 +298,30 @@ def rolling_hours(
 
     ``windows``: new column -> n. Blocks of time get the rows of the time before
     them that their frames reach into. A mean is the difference of two running
-    sums, now and ``n`` hours ago, so its cost does not grow with the frame.
+    sums, now and ``n`` hours ago, so its cost does not grow with the frame. Rows
+    without a timestamp stay and have no mean.
     """
     reach = max(windows.values())
     at = epoch_hours(order)
     halo = df.withColumn(_HOME, F.floor(at / block_hours)).withColumn(
-        _BLOCK, F.explode(F.sequence(F.col(_HOME), F.floor((at + reach) / block_hours)))
+        _BLOCK, F.explode_outer(F.sequence(F.col(_HOME), F.floor((at + reach) / block_hours)))
     )
     ordered = W.partitionBy(*keys, _BLOCK).orderBy("__sec")
     upto = ordered.rangeBetween(W.unboundedPreceding, W.currentRow)
-    known = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
     halo = halo.withColumn("__sec", epoch_seconds(order)).withColumns(
-        {"__sum": F.sum(known).over(upto), "__cnt": F.count(value).over(upto)}
+        {f"__{k}": F.sum(v).over(upto) for k, v in _summands(value).items()}
     )
 
     def since(running: str, n: int) -> Column:
         ago = ordered.rangeBetween(W.unboundedPreceding, -n * 3600)
         return F.col(running) - F.coalesce(F.last(running).over(ago), F.lit(0))
 
+    timed = F.col(_HOME).isNotNull()
     made = {
-        name: F.when(since("__cnt", n) > 0, since("__sum", n) / since("__cnt", n))
+        name: F.when(timed, _mean({k: since(f"__{k}", n) for k in _SUMMANDS}))
         for name, n in windows.items()
     }
-    out = halo.withColumns(made).where(F.col(_BLOCK) == F.col(_HOME))
+    out = halo.withColumns(made).where(F.col(_BLOCK).eqNullSafe(F.col(_HOME)))
     return out.select(*df.columns, *made)
 
 
@@ -304,28 +335,22 @@ def gap_minutes(
     """Minutes since the previous row; NULL on the first."""
     found = previous_row(df, keys, order, {"__previous": order}, slot_hours)
     return found.withColumn(
-        name, F.timestamp_diff("MINUTE", "__previous", order).cast("bigint")
+        name, minutes_between("__previous", order)
     ).drop("__previous")
 
 
 def join_small(
-    rows: DataFrame,
-    per_key: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    spread_by: Sequence[str] = ("utc_timestamp",),
-    salts: int = 32,
+    rows: DataFrame, per_key: DataFrame, on: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Join many rows to one or few rows per key without a hot task.
+    """Join many rows to one or few rows per key without shuffling the many for nothing.
 
-    Spark broadcasts the small side when its measured size allows; where it does
-    not, each small row is repeated once per salt so that a key with a third of
-    all rows is spread over ``salts`` tasks. The salt is a hash of ``spread_by``,
-    so a task that has to run again deals its rows out the same way.
+    The small side is usually a fresh aggregate whose size no one knows, and Spark would
+    shuffle both sides to be safe. It is written first: then its true size is known, Spark
+    broadcasts it where that is small enough, and otherwise joins by shuffle, where adaptive
+    execution splits hot keys.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"join_small does inner and left joins, not {how!r}")
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    repeated = per_key.withColumn("__salt", F.explode(numbers))
-    return salted.join(repeated, [*on, "__salt"], how).drop("__salt")
+    from noonwatt.sources.tables import write_table
+
+    return rows.join(write_table(per_key, rows.sparkSession, "small_side"), list(on), how)

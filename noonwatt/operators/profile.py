@@ -55,6 +55,20 @@ def profile_level(profiles: DataFrame) -> DataFrame:
     )
 
 
+def _weeks(profiles: DataFrame) -> DataFrame:
+    """One row per building: its mean, and the means of its hours of the week as a map."""
+    return profiles.groupBy(BUILDING).agg(
+        F.max("overall_mean_kwh").alias("overall_mean_kwh"),
+        F.map_from_entries(
+            F.collect_list(F.when(F.col("hour_of_week").isNotNull(), F.struct("hour_of_week", "mean_kwh")))
+        ).alias("__week"),
+    )
+
+
+def _expected():
+    return F.coalesce(F.try_element_at("__week", F.col("hour_of_week")), "overall_mean_kwh")
+
+
 def profile_for_days(profiles: DataFrame, days: DataFrame) -> DataFrame:
     """The 24 values each profile gives for each local ``day`` in ``days``.
 
@@ -66,22 +80,14 @@ def profile_for_days(profiles: DataFrame, days: DataFrame) -> DataFrame:
     hours = days.withColumn(TS, F.explode(hour_spine("day"))).withColumn(
         "hour_of_week", hour_of_week(to_market(TS))
     )
-    cells = profiles.select(BUILDING, "hour_of_week", "mean_kwh")
-    level = profile_level(profiles)
-    found = join_small(hours, cells, [BUILDING, "hour_of_week"], "left")
-    filled = join_small(found, level.select(BUILDING, "overall_mean_kwh"), [BUILDING])
-    return filled.select(
-        *days.columns, TS, F.coalesce("mean_kwh", "overall_mean_kwh").alias("load_kwh")
-    )
+    found = join_small(hours, _weeks(profiles), [BUILDING])
+    return found.select(*days.columns, TS, _expected().alias("load_kwh"))
 
 
 def score_profiles(load: DataFrame, profiles: DataFrame) -> DataFrame:
     """Error of the profile against a flat load at the building's mean."""
-    cells = profiles.select(BUILDING, "hour_of_week", "mean_kwh")
-    level = profile_level(profiles).select(BUILDING, "overall_mean_kwh")
-    rows = join_small(_keyed(load), cells, [BUILDING, "hour_of_week"], "left")
-    rows = join_small(rows, level, [BUILDING])
-    error = F.coalesce("mean_kwh", "overall_mean_kwh") - F.col(LOAD)
+    rows = join_small(_keyed(load), _weeks(profiles), [BUILDING])
+    error = _expected() - F.col(LOAD)
     scored = rows.groupBy(BUILDING).agg(
         F.avg(F.abs(error)).alias("profile_mae_kwh"),
         F.avg(F.abs(F.col("overall_mean_kwh") - F.col(LOAD))).alias("flat_mae_kwh"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noonwatt import vocab
+from noonwatt.functions.calendar import hours, hours_between
 from noonwatt.operators.ordered import gap_minutes
 from noonwatt.operators.reshape import union_all
 
@@ -103,7 +104,7 @@ def span_agreement(models: dict[str, DataFrame]) -> DataFrame:
         F.min("n").alias("min_rows"),
         F.max("n").alias("max_rows"),
         (F.max("n") - F.min("n")).alias("row_difference"),
-        F.floor(F.timestamp_diff("HOUR", F.max("first_ts"), F.min("last_ts")) / 24)
+        F.floor(hours_between(F.max("first_ts"), F.min("last_ts")) / 24)
         .cast("bigint").alias("overlap_days"),
     )
 
@@ -139,8 +140,6 @@ def earlier_value(
     df: DataFrame, lagged: str, value: str, lag_hours: int, keys: Sequence[str] = ZONE
 ) -> DataFrame:
     """Self-join on the hour shifted by the lag: a plain equi-join."""
-    from noonwatt.functions.calendar import hours
-
     shifted = df.select(
         *keys, (F.col(TS) + hours(lag_hours)).alias(TS), F.col(value).alias("actual")
     )

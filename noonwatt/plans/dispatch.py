@@ -155,7 +155,7 @@ def dispatch(days: DataFrame, fleet: DataFrame, keys: Sequence[str] = ZONE) -> D
     ``fleet`` names the batteries of each key; every day of a key is planned for
     each of its batteries.
     """
-    work = join_small(days, checked_batteries(fleet), keys, spread_by=["day"])
+    work = join_small(days, checked_batteries(fleet), keys)
     planned = work.withColumn(
         "__s", _solver()(_field("planning"), "energy_mwh", "power_mw", "round_trip_efficiency")
     )

@@ -63,21 +63,24 @@ def climatology_cells(train: DataFrame, keys: Sequence[str] = ZONE) -> DataFrame
 def predict_climatology(
     rows: DataFrame, cells: DataFrame, keys: Sequence[str] = ZONE
 ) -> DataFrame:
-    """Cell mean, else the hour's mean, else the overall mean."""
-
-    def level(n: int, on: Sequence[str], name: str) -> DataFrame:
-        return cells.where(F.col("level") == n).select(
-            *on, F.col("mean_capacity_factor").alias(name)
-        )
-
-    found = rows.withColumn("week", week_bucket("day_of_year"))
-    for n, on, name in (
-        (0, [*keys, "week", "hour_of_day"], "__cell"),
-        (1, [*keys, "hour_of_day"], "__hour"),
-        (2, [*keys], "__all"),
-    ):
-        found = join_small(found, level(n, on, name), on, "left")
-    value = F.coalesce("__cell", "__hour", "__all")
+    """Cell mean, else the hour's mean, else the overall mean.
+
+    The three levels of a key become one row per hour of day with a map of its weeks, so
+    the rows are joined once.
+    """
+    mean = F.col("mean_capacity_factor")
+    overall = cells.where("level = 2").select(*keys, mean.alias("__all"))
+    hour = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(vocab.HOURS_PER_DAY - 1).cast("bigint")))
+    per_hour = cells.where("level < 2").groupBy(*keys, "hour_of_day").agg(
+        F.map_from_entries(
+            F.collect_list(F.when((F.col("level") == 0) & F.col("week").isNotNull(), F.struct("week", mean)))
+        ).alias("__weeks"),
+        F.max(F.when(F.col("level") == 1, mean)).alias("__hour"),
+    )
+    table = overall.withColumn("hour_of_day", hour).join(per_hour, [*keys, "hour_of_day"], "left")
+    found = join_small(rows, table, [*keys, "hour_of_day"], "left")
+    cell = F.try_element_at("__weeks", week_bucket("day_of_year"))
+    value = F.coalesce(cell, "__hour", "__all")
     return found.select(*rows.columns, clip_unit(value).alias(CLIMATOLOGY))
 
 

@@ -65,15 +65,23 @@ def build(
     target: str,
     audit: bool = True,
     partition_by: Sequence[str] = (),
+    models: Sequence[str] | None = None,
 ) -> Built:
-    """Build every model whose inputs are there; a failed audit stops the build.
+    """Build every model, or the named ones; a missing input or a failed audit stops the build.
 
     The audits read the written table, so offending rows can be looked at.
     """
+    known = _models(spark)
+    unknown = sorted(set(models or ()) - set(known))
+    if unknown:
+        raise ValueError(f"unknown models: {unknown}. Available: {sorted(known)}")
     tables = dict(raw)
-    for name, (needs, make) in _models(spark).items():
-        if any(n not in tables for n in needs):
+    for name, (needs, make) in known.items():
+        if models is not None and name not in models:
             continue
+        missing = [n for n in needs if n not in tables]
+        if missing:
+            raise KeyError(f"{name} needs {missing}, which are neither given nor built before it")
         path = os.path.join(target, name)
         model = make(tables)
         columns = [c for c in partition_by if c in model.columns]

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noonwatt import vocab
-from noonwatt.functions.calendar import month_key, to_market
+from noonwatt.functions.calendar import hour_start, minutes_between, month_key, to_market
 from noonwatt.functions.numbers import consumption, ratio
 from noonwatt.operators.ordered import join_small, previous_row
 from noonwatt.operators.quantiles import exact_quantiles
@@ -40,8 +40,6 @@ def price_hourly_mean(raw: DataFrame, keys: Sequence[str] = ZONE) -> DataFrame:
 
 
 def to_hours_any(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
-    from noonwatt.functions.calendar import hour_start
-
     return df.groupBy(*keys, hour_start(TS).alias(TS)).agg(*aggregates)
 
 
@@ -172,7 +170,7 @@ def meter_energy(raw: DataFrame, keys: Sequence[str] = CHANNEL) -> DataFrame:
     gives NULL.
     """
     seen = previous_row(raw, keys, TS, {"__kwh": "meter_kwh", "__ts": TS})
-    one_hour = F.timestamp_diff("MINUTE", "__ts", TS) == 60
+    one_hour = minutes_between("__ts", TS) == 60
     step = F.when(
         one_hour & (F.col("meter_kwh") >= F.col("__kwh")), F.col("meter_kwh") - F.col("__kwh")
     )

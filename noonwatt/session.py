@@ -1,16 +1,16 @@
 """Session settings the transformations rely on."""
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
-#: Settings that change results or plans; all can be set on a running session.
+#: Settings that change plans; all can be set on a running session. Results depend on none:
+#: instants are UTC wall clocks without a zone.
 RUNTIME_SETTINGS = {
-    # UTC wall clocks are stored without a zone, so implicit casts must be UTC.
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -40,25 +40,35 @@ def local_session(cores: str = "*", app: str = "noonwatt", partitions: int = 8)
     )
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)
-    spark = builder.getOrCreate()
+    # One machine, so a folder of its own will do. Removed when the process ends.
+    folder = tempfile.mkdtemp(prefix="noonwatt-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark = builder.config("spark.checkpoint.dir", folder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="noonwatt-")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for written tables, below the cluster's ``spark.checkpoint.dir``.
 
-    Executors on other machines must see what is written here, so a local
-    temporary folder is only taken when the session itself is local.
+    Executors on other machines must see what is written here, so a cluster has to name the
+    folder; a local session falls back on its warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = _local_folder()
-    return os.path.join(base, f"noonwatt-{uuid.uuid4().hex}")
+        base = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "noonwatt-tables")
+    _WRITTEN.append(os.path.join(base, f"noonwatt-{uuid.uuid4().hex}"))
+    return _WRITTEN[-1]
+
+
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that were written for plans so far. Frames that read them are of no
+    use afterwards; their results must have been written or collected."""
+    while _WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

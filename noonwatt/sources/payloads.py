@@ -16,7 +16,6 @@ from noonwatt import vocab
 from noonwatt.functions.calendar import from_epoch, from_iso, from_month_label, market_date
 from noonwatt.functions.numbers import gw_to_mw, to_number
 from noonwatt.functions.text import channel_parts
-from noonwatt.operators.reshape import union_all
 
 TS = "utc_timestamp"
 PAYLOAD = "payload"
@@ -56,8 +55,19 @@ def _carried(documents: DataFrame) -> list[str]:
     return [c for c in documents.columns if c != PAYLOAD]
 
 
+def _refuse(df: DataFrame, bad: Column, message: Column) -> DataFrame:
+    """``df``; a row where ``bad`` holds fails the job."""
+    stop = F.when(F.coalesce(bad, F.lit(False)), F.raise_error(message).cast("boolean"))
+    return df.where(F.coalesce(stop, F.lit(True)))
+
+
 def _exploded(parsed: DataFrame, keep: Sequence[str], arrays: dict[str, Column]) -> DataFrame:
-    """One row per position of the parallel arrays."""
+    """One row per position of the parallel arrays, which must be there and equally long."""
+    first, *others = arrays.values()
+    for name, array in list(arrays.items())[1:]:
+        parsed = _refuse(parsed, array.isNull(), F.lit(f"a series has no {name}"))
+        lengths = F.format_string(f"%d instants but %d values of {name}", F.size(first), F.size(array))
+        parsed = _refuse(parsed, F.size(first) != F.size(array), lengths)
     zipped = F.arrays_zip(*[c.alias(n) for n, c in arrays.items()])
     rows = parsed.select(*keep, F.explode(zipped).alias("__r"))
     return rows.select(*keep, "__r.*")
@@ -74,19 +84,19 @@ def _series(parsed: DataFrame, keep: Sequence[str], axis: str) -> DataFrame:
     return _exploded(
         named,
         [*keep, "production_type"],
-        {"at": F.col("__axis"), "number": F.col("__data")},
+        {"at": F.col("__axis"), "data": F.col("__data")},
     )
 
 
 def price(documents: DataFrame) -> DataFrame:
     """Day-ahead prices; unreadable values are NULL, negative ones are kept."""
     keep = _carried(documents)
-    parsed = _parsed(documents, PRICE_SCHEMA, ["unix_seconds"])
+    parsed = _parsed(documents, PRICE_SCHEMA, ["unix_seconds", "price"])
     rows = _exploded(
-        parsed, keep, {"at": F.col("doc.unix_seconds"), "number": F.col("doc.price")}
+        parsed, keep, {"at": F.col("doc.unix_seconds"), "price": F.col("doc.price")}
     )
     return rows.select(
-        *keep, from_epoch("at").alias(TS), to_number("number").alias("price_eur_mwh")
+        *keep, from_epoch("at").alias(TS), to_number("price").alias("price_eur_mwh")
     )
 
 
@@ -107,7 +117,7 @@ def public_power(documents: DataFrame) -> DataFrame:
     parsed = _parsed(documents, POWER_SCHEMA, ["unix_seconds", "production_types"])
     rows = _series(parsed, keep, "unix_seconds")
     return rows.select(
-        *keep, from_epoch("at").alias(TS), "production_type", to_number("number").alias("power_mw")
+        *keep, from_epoch("at").alias(TS), "production_type", to_number("data").alias("power_mw")
     )
 
 
@@ -117,14 +127,14 @@ def operator_forecast(
     """The operators' published forecasts; each document holds one type, and all
     types are read in one pass."""
     keep = _carried(documents)
-    parsed = _parsed(documents, FORECAST_SCHEMA, ["unix_seconds"]).where(
-        F.col("doc.production_type").isin(*production_types)
-    )
+    parsed = _parsed(
+        documents, FORECAST_SCHEMA, ["unix_seconds", "forecast_values", "production_type"]
+    ).where(F.col("doc.production_type").isin(*production_types))
     named = parsed.withColumn("production_type", F.col("doc.production_type"))
-    arrays = {"at": F.col("doc.unix_seconds"), "number": F.col("doc.forecast_values")}
+    arrays = {"at": F.col("doc.unix_seconds"), "forecast_values": F.col("doc.forecast_values")}
     rows = _exploded(named, [*keep, "production_type"], arrays)
     return rows.select(
-        *keep, from_epoch("at").alias(TS), "production_type", to_number("number").alias("forecast_mw")
+        *keep, from_epoch("at").alias(TS), "production_type", to_number("forecast_values").alias("forecast_mw")
     )
 
 
@@ -137,7 +147,7 @@ def installed_power(documents: DataFrame) -> DataFrame:
         *keep,
         from_month_label("at").alias("month"),
         "production_type",
-        gw_to_mw("number").alias("capacity_mw"),
+        gw_to_mw("data").alias("capacity_mw"),
     )
 
 
@@ -158,7 +168,7 @@ def _weather(documents: DataFrame, names: dict[str, str]) -> DataFrame:
     keep = _carried(documents)
     fields = ", ".join(f"{api}: array<string>" for api in ["time", *names])
     schema = f"latitude double, longitude double, hourly struct<{fields}>"
-    parsed = _parsed(documents, schema, ["hourly", *[f"hourly.{api}" for api in names]])
+    parsed = _parsed(documents, schema, ["hourly", "hourly.time", *[f"hourly.{api}" for api in names]])
     placed = parsed.select(
         *keep, F.col("doc.latitude").alias("latitude"), F.col("doc.longitude").alias("longitude"), "doc"
     )
@@ -241,8 +251,3 @@ def builders(
         "household": lambda: household(documents["household"]),
     }
     return {name: build for name, build in made.items() if name in documents}
-
-
-def all_types(documents: Sequence[DataFrame]) -> DataFrame:
-    """Documents landed in several places, as one set."""
-    return union_all(list(documents))

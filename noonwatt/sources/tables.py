@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from noonwatt.operators.quality import require_columns
@@ -24,14 +25,62 @@ def write_table(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def replace_table(
-    df: DataFrame, path: str, partition_by: Sequence[str] = ()
+def _filesystem(spark: SparkSession, path: str):
+    """The Hadoop file system that holds ``path``, and a maker of its paths."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def _swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put the table at ``fresh`` in the place of the one at ``path``."""
+    files, at = _filesystem(spark, path)
+    old = f"{path.rstrip('/')}-old-{uuid.uuid4().hex}"
+    if files.exists(at(path)) and not files.rename(at(path), at(old)):
+        raise OSError(f"cannot move the old table at {path} aside")
+    if not files.rename(at(fresh), at(path)):
+        if files.exists(at(old)):
+            files.rename(at(old), at(path))
+        raise OSError(f"cannot move the new table to {path}")
+    files.delete(at(old), True)
+
+
+def load_table(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), replace: bool = True
 ) -> int:
+    """Load ``df`` into the table at ``path`` and return the rows loaded.
+
+    The input is evaluated once. It is written beside the table and takes its place, or
+    joins it with ``replace=False``, only when the write has succeeded and brought rows.
+    """
+    spark = df.sparkSession
+    fresh = f"{path.rstrip('/')}-new-{uuid.uuid4().hex}"
+    counted, seen = _counted(df)
+    files, at = _filesystem(spark, path)
+    try:
+        counted.write.partitionBy(*partition_by).parquet(fresh)
+        rows = seen.get["rows"]
+        if rows == 0:
+            raise ValueError(f"refusing to load an empty frame into {path}")
+        if replace or not files.exists(at(path)):
+            _swap(spark, fresh, path)
+        else:
+            spark.read.schema(df.schema).parquet(fresh).write.mode("append").partitionBy(
+                *partition_by
+            ).parquet(path)
+    finally:
+        files.delete(at(fresh), True)
+    return rows
+
+
+def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
     """Replace a table; a reload gives the same rows. Refuses to load nothing."""
-    if df.isEmpty():
-        raise ValueError(f"refusing to load an empty frame into {path}")
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return row_count(df.sparkSession, path)
+    return load_table(df, path, partition_by)
 
 
 def row_count(spark: SparkSession, path: str) -> int:
@@ -45,9 +94,7 @@ def save_predictions(prediction: DataFrame, path: str, model_name: str) -> int:
     record = prediction.withColumns(
         {"model_name": F.lit(model_name), "target_date": F.to_date("target_date")}
     )
-    if record.isEmpty():
-        raise ValueError(f"refusing to save an empty forecast into {path}")
-    record.write.mode("append").partitionBy("target_date").parquet(path)
+    load_table(record, path, ["target_date"], replace=False)
     return row_count(prediction.sparkSession, path)
 
 
@@ -71,16 +118,8 @@ def ingest(
     unknown = sorted(set(selected) - set(builders))
     if unknown:
         raise ValueError(f"unknown tables: {unknown}. Available: {sorted(builders)}")
-    parts = []
-    for name in selected:
-        path = os.path.join(target, name)
-        replace_table(builders[name](), path)
-        loaded = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
-        parts.append(loaded.select(F.lit(name).alias("table"), "rows"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = [(name, load_table(builders[name](), os.path.join(target, name))) for name in selected]
+    return spark.createDataFrame(rows, "table string, rows bigint")
 
 
 _PARAMETER_TYPES = (bool, int, float, str, dt.datetime)

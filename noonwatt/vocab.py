@@ -162,3 +162,12 @@ BATTERY_ROUND_TRIP = 0.90
 FLAT_LOAD_MW = 0.0004
 SYSTEM_KWP = 10.0
 NAIVE_PRICE_LAG_HOURS = 24
+
+# The sentences of a day's advice.
+ADVICE = {
+    "prices": "Cheapest power at %s; dearest at %s.",
+    "charge": "Charge from the grid around %s.",
+    "discharge": "Discharge around %s.",
+    "solar": "Solar peaks near %02d:00 at %.1f kW.",
+    "benefit": "Expected benefit on %s: EUR %.2f (%.2f from the battery, %.2f from solar offsetting purchases).",
+}

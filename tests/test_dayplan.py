@@ -44,11 +44,21 @@ def load(prediction):
     return prediction.select(F.lit("b1").alias("building"), TS, F.lit(0.8).alias("load_kwh"))
 
 
+@pytest.fixture(scope="module")
+def days(prediction, prices, sites, batteries, load):
+    return dayplan.planned_days(prediction, prices, sites, batteries, load).cache()
+
+
 @pytest.fixture(scope="module")
 def plan(prediction, prices, sites, batteries, load):
     return dayplan.plan_hours(prediction, prices, sites, batteries, load).cache()
 
 
+def test_a_flat_draw_can_be_set(prediction, prices, sites, batteries):
+    flat = dayplan.planned_days(prediction, prices, sites, batteries, flat_mw=0.001)
+    assert {r.expected_load_kw[0] for r in flat.collect()} == {1.0}
+
+
 def test_a_plan_covers_every_hour(plan):
     for site in (1, 2, 3):
         hours = [r["local_hour"] for r in plan.where(F.col("site_id") == site).collect()]
@@ -63,19 +73,19 @@ def test_it_charges_cheap_and_discharges_dear(plan):
     assert row["c"] < row["d"]
 
 
-def test_worth_adds_up_and_grows_with_the_array(plan):
-    rows = {r["site_id"]: r for r in dayplan.plan_days(plan).collect()}
+def test_worth_adds_up_and_grows_with_the_array(days):
+    rows = {r["site_id"]: r for r in dayplan.plan_days(days).collect()}
     for r in rows.values():
         assert r["revenue_eur"] > 0 and r["solar_value_eur"] > 0
         assert r["total_benefit_eur"] == pytest.approx(r["revenue_eur"] + r["solar_value_eur"])
     assert rows[2]["solar_value_eur"] > rows[1]["solar_value_eur"]
-    totals = {r["site_id"]: r for r in dayplan.day_totals(plan).collect()}
+    totals = {r["site_id"]: r for r in dayplan.day_totals(days).collect()}
     assert totals[2]["expected_consumption_kwh"] == pytest.approx(24 * 0.8)
     assert totals[3]["expected_consumption_kwh"] == pytest.approx(24 * 0.4), "flat draw"
 
 
-def test_advice_is_actionable(plan):
-    row = dayplan.advice(plan).where("site_id = 1").collect()[0]
+def test_advice_is_actionable(days):
+    row = dayplan.advice(days).where("site_id = 1").collect()[0]
     assert row["cheapest_hours"] == "00:00, 01:00, 02:00"
     assert row["dearest_hours"] == "21:00, 22:00, 23:00"
     assert row["solar_peak_hour"] == 12

@@ -142,3 +142,33 @@ def test_join_small_keeps_every_row(gappy, spark):
     assert left.where("zone = 'C' and n is not null").isEmpty()
     with pytest.raises(ValueError):
         ordered.join_small(gappy, names, ["zone"], "full")
+
+
+def test_rows_with_null_keys_or_times_stay(spark):
+    rows = [("A", "2024-01-01 00:00:00", 1.0), ("A", "2024-01-01 01:00:00", 2.0), (None, "2024-01-01 00:00:00", 3.0),
+            (None, "2024-01-01 01:00:00", 4.0), ("A", None, 5.0)]
+    df = spark.createDataFrame(rows, "zone string, at string, v double").selectExpr("zone", "cast(at as timestamp_ntz) AS at", "v")
+    one = ["zone"]
+    lagged = ordered.trailing_rows(df, one, "at", {"before": ("v", 1)}, {"mean": ("v", 1, 0)})
+    got = {(r.zone, str(r.at), r.v): (r.before, r["mean"]) for r in lagged.collect()}
+    assert len(got) == 5
+    assert got[None, "2024-01-01 01:00:00", 4.0] == (3.0, 3.5)
+    assert got["A", "2024-01-01 00:00:00", 1.0] == (5.0, 3.0)  # no time comes first
+    for made in (
+        ordered.with_position(df, one, "at"), ordered.previous_row(df, one, "at", {"p": "v"}),
+        ordered.carry_forward(df, one, "at", {"c": "v"}), ordered.running_total(df, one, "at", "v", "t"),
+        ordered.gap_minutes(df, one, "at"), ordered.rolling_hours(df, one, "at", "v", {"m": 2}),
+    ):
+        assert made.count() == 5
+
+
+def test_an_infinite_value_spoils_only_its_own_frames(spark, hours):
+    base = hours("2024-01-01 00:00:00", 100).withColumn(
+        "v", F.when(F.col("id") == 40, float("inf")).when(F.col("id") == 60, float("nan")).otherwise(F.col("id").cast("double"))
+    )
+    got = ordered.trailing_rows(base, ["zone"], "utc_timestamp", means={"m": ("v", 9, 0)})
+    frame = W.partitionBy("zone").orderBy("utc_timestamp").rowsBetween(-9, 0)
+    rolled = ordered.rolling_hours(base, ["zone"], "utc_timestamp", "v", {"r": 10})
+    want = {r.id: str(r.w) for r in base.withColumn("w", F.avg("v").over(frame)).collect()}
+    assert {r.id: str(r.m) for r in got.collect()} == want
+    assert {r.id: str(r.r) for r in rolled.collect()} == want

@@ -51,13 +51,17 @@ def test_every_model_is_built_and_audited(spark, raw, tmp_path):
     assert tuple(horizons.collect()[0]) == (12, 35)
 
 
-def test_models_without_inputs_are_left_out(spark, raw, tmp_path):
-    built = pipeline.build(spark, {"price": raw["price"]}, str(tmp_path / "w"))
+def test_named_models_are_built_and_a_missing_input_stops_the_build(spark, raw, tmp_path):
+    built = pipeline.build(spark, {"price": raw["price"]}, str(tmp_path / "w"), models=["stg_price"])
     assert list(built) == ["stg_price"]
+    with pytest.raises(KeyError, match="stg_generation needs"):
+        pipeline.build(spark, {"price": raw["price"]}, str(tmp_path / "v"))
+    with pytest.raises(ValueError, match="unknown models"):
+        pipeline.build(spark, raw, str(tmp_path / "u"), models=["nothing"])
 
 
 def test_a_hole_in_the_grid_stops_the_build(spark, raw, tmp_path):
     broken = raw["price"].where(F.col(TS) != F.lit("2024-03-20 05:00:00").cast("timestamp_ntz"))
     with pytest.raises(ValueError, match="stg_price failed its audits .broken_grid: 2"):
-        pipeline.build(spark, {"price": broken}, str(tmp_path / "w"))
+        pipeline.build(spark, {"price": broken}, str(tmp_path / "w"), models=["stg_price"])
     assert spark.read.parquet(str(tmp_path / "w" / "stg_price")).count() == 2 * (24 * DAYS - 1)

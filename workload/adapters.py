@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from noonwatt import vocab
-from noonwatt.functions.calendar import hour_start, market_date, to_market
+from noonwatt.functions.calendar import hour_start, market_date, month_start, to_market
 from noonwatt.operators.ordered import running_total
 
 # How event types stand in for series, user ids for locations.
@@ -168,7 +168,7 @@ def daily_generation(spark, sf_dir) -> DataFrame:
 
 def raw_installed_power(spark, sf_dir) -> DataFrame:
     """Monthly AC capacity with May and October missing."""
-    month = F.date_trunc("MONTH", "o_orderdate").cast("timestamp_ntz")
+    month = month_start("o_orderdate")
     total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
     return (
         table(spark, sf_dir, "orders")
@@ -180,7 +180,7 @@ def raw_installed_power(spark, sf_dir) -> DataFrame:
 
 def raw_capacity_types(spark, sf_dir) -> DataFrame:
     """Monthly capacity of five types, by order priority."""
-    month = F.date_trunc("MONTH", "o_orderdate").cast("timestamp_ntz")
+    month = month_start("o_orderdate")
     total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
     kind = _named("o_orderpriority", CAPACITY_TYPES, OTHER_CAPACITY)
     return (
@@ -192,7 +192,7 @@ def raw_capacity_types(spark, sf_dir) -> DataFrame:
 
 def raw_event_capacity(spark, sf_dir, zones=1) -> DataFrame:
     """AC capacity of the months the hourly series covers: 1.25 times the peak."""
-    month = F.date_trunc("MONTH", "ts").cast("timestamp_ntz")
+    month = month_start("ts")
     return (
         table(spark, sf_dir, "events")
         .groupBy(zone(zones), month.alias("month"), F.lit("Solar AC").alias("production_type"))

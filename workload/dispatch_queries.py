@@ -65,8 +65,7 @@ PLAN_CTES = {
     "CROSS JOIN range(24) r(k)",
     "pl_profile": "SELECT h.building, h.utc_timestamp, coalesce(c.mean_kwh, h.overall) AS load_kwh FROM "
     "pl_load h LEFT JOIN prof_cells c ON c.building = h.building AND c.hw = "
-    f"(isodow({local('h.utc_timestamp')}) - 1) * 24 + hour({local('h.utc_timestamp')}) "
-    "WHERE h.building <> 'residential0'",
+    f"(isodow({local('h.utc_timestamp')}) - 1) * 24 + hour({local('h.utc_timestamp')})",
     "pl_hours": "SELECT s.site_id, s.zone, s.building, p.target_date, p.utc_timestamp, p.price_eur_mwh, "
     "p.predicted_capacity_factor * (s.system_kwp / 1000) AS solar_mw, coalesce(f.load_kwh / 1000, 0.0004) "
     "AS load_mw FROM pl_sites s JOIN pl_priced p ON s.zone = p.zone LEFT JOIN pl_profile f ON "
@@ -82,25 +81,25 @@ def _prediction(t):
     return t.stored("latest_prediction")
 
 
-def _load(t):
-    """Profiles of all buildings but one, whose sites fall back to the flat draw."""
-    fitted = profile.fit_profiles(t.stored("mart_household")).where(
-        F.col("building") != "residential0"
-    )
-    buildings = sites(t.spark, t.sf_dir).select("zone", "building").distinct()
+def _load(t, without: str | None = None):
+    """Profiles of all buildings; the sites of one ``without`` a profile draw a flat load."""
+    load = t.stored("mart_household")
+    if without:
+        load = load.where(F.col("building") != without)
+    buildings = t.stored("sites").select("zone", "building").distinct()
     zoned = _prediction(t).select("zone", F.col("target_date").alias("day")).distinct()
     wanted = buildings.join(zoned, "zone").select("building", "day").distinct()
-    return profile.profile_for_days(fitted, wanted)
+    return profile.profile_for_days(profile.fit_profiles(load), wanted)
 
 
-def _site_hours(t):
+def _site_days(t, without: str | None = None):
     priced = dayplan.priced_hours(_prediction(t), _prices(t))
-    return dayplan.site_hours(priced, sites(t.spark, t.sf_dir), _load(t))
+    return dayplan.site_days(priced, t.stored("sites"), _load(t, without))
 
 
 def _plan(t):
-    return dayplan.plan_hours(
-        _prediction(t), _prices(t), sites(t.spark, t.sf_dir), batteries(t.spark), _load(t)
+    return dayplan.planned_days(
+        _prediction(t), _prices(t), t.stored("sites"), batteries(t.spark), _load(t)
     )
 
 
@@ -122,10 +121,17 @@ def join_priced_hours(t):
     "load_fallback",
     "SELECT zone, site_id, target_date, utc_timestamp, load_mw FROM pl_hours",
     "load_mw",
-    **PLAN_CTES,
+    **{
+        **PLAN_CTES,
+        "pl_profile": PLAN_CTES["pl_profile"] + " WHERE h.building <> 'residential0'",
+    },
 )
 def load_fallback(t):
-    return _site_hours(t).select("zone", "site_id", "target_date", TS, "load_mw")
+    """One building has no profile here, so its sites fall back to the flat draw."""
+    hours = _site_days(t, without="residential0").select(
+        "zone", "site_id", F.col("day").alias("target_date"), F.explode(F.arrays_zip("hours", "load_mw")).alias("h")
+    )
+    return hours.select("zone", "site_id", "target_date", F.col(f"h.hours.{TS}").alias(TS), "h.load_mw")
 
 
 @register(
@@ -136,7 +142,7 @@ def load_fallback(t):
     **PLAN_CTES,
 )
 def solar_value(t):
-    return dayplan.solar_values(_site_hours(t))
+    return dayplan.solar_values(_site_days(t))
 
 
 @register("plan_day")
@@ -176,16 +182,7 @@ def _best(order: str) -> str:
 )
 def plan_advice_hours(t):
     """The part of the advice that does not depend on the schedule."""
-    from noonwatt.functions.calendar import to_market
-    from noonwatt.functions.numbers import mw_to_kw, watts_clean
-
-    hours = _site_hours(t).withColumns(
-        {
-            "local_hour": F.hour(to_market(TS)).cast("bigint"),
-            "predicted_solar_kw": watts_clean(mw_to_kw("solar_mw")),
-        }
-    )
-    return dayplan.hour_advice(hours)
+    return dayplan.hour_advice(dayplan.in_kw(_site_days(t)))
 
 
 @register(
@@ -197,12 +194,4 @@ def plan_advice_hours(t):
     **PLAN_CTES,
 )
 def day_totals(t):
-    from noonwatt.functions.numbers import mw_to_kw, watts_clean
-
-    hours = _site_hours(t).withColumns(
-        {
-            "predicted_solar_kw": watts_clean(mw_to_kw("solar_mw")),
-            "expected_load_kw": watts_clean(mw_to_kw("load_mw")),
-        }
-    )
-    return dayplan.day_totals(hours)
+    return dayplan.day_totals(dayplan.in_kw(_site_days(t)))
