@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noonwatt.sources.tables import write_table
@@ -43,6 +43,14 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of at most ``rows``: a task then holds a few MB of
+    them, whatever the length of the documents. A smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the cluster's shared folder and read back: evaluated once, and
     its lineage ends at files that outlive executors."""

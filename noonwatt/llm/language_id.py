@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noonwatt.llm.common import fresh, small_side, stored
+from noonwatt.llm.common import fresh, small_batches, small_side, stored
 
 #: Trigrams of bytes are hashed to 2 ** BITS counters.
 BITS = 15
@@ -137,6 +137,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     stems = ("letters", "scores", "language", "posterior", "rejected", "suffix", "host", "prior")
     col = dict(zip(stems, fresh(docs, *stems), strict=True))
     names = languages(docs, declared)
+    small_batches(docs.sparkSession)
     if not names:
         found = docs.withColumns({
             col["letters"]: F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(r"[a-zA-Z\x{80}-\x{10FFFF}]")), F.lit(0)).cast("bigint"),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noonwatt.llm.common import small_side, stored
+from noonwatt.llm.common import small_batches, small_side, stored
 from noonwatt.llm.token_count import slices
 
 VOCABULARY = 1 << 15
@@ -179,6 +179,7 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str =
 
     ``targets``: the ids of the target documents, in its first column.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     ids = targets.select(F.col(f"`{targets.columns[0]}`").alias("target_id")).dropna().distinct()
     flagged = rows.join(small_side(ids, ids.count()), F.col("doc_id") == F.col("target_id"), "left").select(

@@ -29,6 +29,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noonwatt.llm.common import small_batches
+
 LEVEL = 6
 DICTIONARY_BYTES = 1 << 20
 BLOCK = 500
@@ -117,6 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "tex
 
     ``learn_from``: which rows of ``labels`` may be used.
     """
+    small_batches(docs.sparkSession)
     pool = _pool(labels, doc_id, label, learn_from)
     half = F.pmod("order", F.lit(2)) == 0
     order = ("order", "id", "label")
@@ -157,6 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "tex
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, score (chance of label 1), predicted."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 

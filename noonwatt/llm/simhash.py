@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noonwatt.llm.common import fresh, stored
+from noonwatt.llm.common import fresh, small_batches, stored
 
 SHINGLE = 3
 SEED = 42
@@ -61,6 +61,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", more: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, fp) of every row, and ``more`` columns of it."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(
         F.col(f"`{text}`").cast("string").alias("text"),
         F.col(f"`{doc_id}`").alias("doc_id"),

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noonwatt.llm.common import small_batches
+
 #: What a sentence piece begins a word with.
 SPACE = "▁"
 RANK_SHIFT = 10.0
@@ -110,6 +112,7 @@ def terminal_counts(words: Iterable[bytes], model: Unigram) -> dict[bytes, int]:
 
 def count_tokens(docs: DataFrame, model: Unigram, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_words (pre-tokens), n_tokens."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
