@@ -9,7 +9,6 @@ accumulated over the (few) steps.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,14 +20,13 @@ from noonwatt.functions.numbers import clip_unit
 from noonwatt.operators.ordered import join_small
 from noonwatt.operators.reshape import complete_rows
 from noonwatt.operators.scoring import error_metrics
+from noonwatt.plans.boosting import Forecaster, boosted, predict_per_key
 from noonwatt.plans.forecast import (
     BOOSTED,
     CLIMATOLOGY,
     PERSISTENCE,
     RIDGE,
-    boosted_pipeline,
     feature_moments,
-    predict_fitted,
     predict_ridge,
     solve_ridge,
 )
@@ -167,29 +165,24 @@ def fold_ridge(
     return solve_ridge(every, keys, order="fold", alpha=alpha)
 
 
-def _boosted(
-    placed: DataFrame, steps: DataFrame, trees: int, parallel: int
+def _fitted(
+    placed: DataFrame, steps: DataFrame, forecasters: dict[str, Forecaster], keys: Sequence[str]
 ) -> DataFrame:
-    """Boosted trees, one fit per fold over the rows of all keys.
+    """(keys, timestamp, a column per forecaster): one fit per key and fold.
 
-    Each fit is itself a distributed job; a few run side by side.
+    A fit needs all its past rows at once, so these are copied to the folds they train; only
+    inputs and target are copied. No row of a fold's training data is later than the gate of
+    that fold and key.
     """
-    numbers = [r["fold"] for r in steps.select("fold").distinct().orderBy("fold").collect()]
-    pipeline = boosted_pipeline(trees=trees)
-
-    def one(fold: int) -> DataFrame | None:
-        train = placed.where(F.col("train_from") <= fold)
-        test = placed.where(F.col("fold") == fold)
-        if train.isEmpty() or test.isEmpty():
-            return None
-        return predict_fitted(test, pipeline.fit(train)).select(*ZONE, TS, BOOSTED)
-
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        made = [p for p in pool.map(one, numbers) if p is not None]
-    out = made[0]
-    for p in made[1:]:
-        out = out.unionByName(p)
-    return out
+    last = steps.groupBy(*keys).agg(F.max("fold").alias("__last"))
+    train = (
+        join_small(placed.where(F.col("train_from").isNotNull()), last, keys)
+        .where(F.col("train_from") <= F.col("__last"))
+        .drop("fold")
+        .withColumn("fold", F.explode(F.sequence("train_from", "__last")))
+    )
+    test = placed.where(F.col("fold").isNotNull())
+    return predict_per_key(train, test, forecasters, [*keys, "fold"]).drop("fold")
 
 
 def backtest(
@@ -199,14 +192,20 @@ def backtest(
     test_days: int = 30,
     keys: Sequence[str] = ZONE,
     trees: int = vocab.GBT_TREES,
-    parallel: int = 4,
-    strict: bool = False,
+    strict: bool = True,
+    own: dict[str, Forecaster] | None = None,
 ) -> DataFrame:
     """Replay history: refit on each fold's past, forecast its test window.
 
     One row per tested hour with fold, actual, daylight, benchmark and a column
-    per model. ``frame`` is read several times, so pass a stored table.
+    per model. ``own``: more forecasters by name, functions of (training inputs, training
+    target, inputs to predict). ``frame`` is read several times, so pass a stored table. With
+    ``strict`` a series without any fold is an error.
     """
+    own = dict(own or {})
+    taken = sorted(set(own) & {*SINGLE_PASS, BOOSTED})
+    if taken:
+        raise ValueError(f"these names are built in: {taken}")
     unknown = sorted(set(models) - {*SINGLE_PASS, BOOSTED})
     if unknown:
         raise ValueError(f"unknown models: {unknown}")
@@ -214,7 +213,7 @@ def backtest(
         raise ValueError("test_days and initial_train_days must be at least one")
     steps = folds(frame, initial_train_days, test_days, keys)
     if strict and steps.isEmpty():
-        raise ValueError("no folds produced; the series is shorter than the warm-up")
+        raise ValueError("the series is shorter than the warm-up, so there is no fold")
     placed = place_in_folds(frame, initial_train_days, test_days, keys)
     tested = _cell_means(placed, keys) if CLIMATOLOGY in models else placed.where(
         F.col("fold").isNotNull()
@@ -238,7 +237,9 @@ def backtest(
         *[made[m].alias(m) for m in models if m in SINGLE_PASS],
     )
     if BOOSTED in models:
-        out = out.join(_boosted(placed, steps, trees, parallel), [*keys, TS])
+        own[BOOSTED] = boosted(trees)
+    if own:
+        out = out.join(_fitted(placed, steps, own, keys), [*keys, TS])
     return complete_rows(out, ["actual", vocab.BENCHMARK])
 
 

@@ -27,7 +27,7 @@ SITE = ("site_id", "battery_id", "system_kwp", "building")
 
 
 def priced_hours(
-    prediction: DataFrame, prices: DataFrame, keys: Sequence[str] = ZONE, strict: bool = False
+    prediction: DataFrame, prices: DataFrame, keys: Sequence[str] = ZONE, strict: bool = True
 ) -> DataFrame:
     """Predicted hours with a published price, for days priced around the clock. With
     ``strict``, no such day at all is an error."""
@@ -105,7 +105,7 @@ def planned_days(
     batteries: DataFrame,
     load: DataFrame | None = None,
     keys: Sequence[str] = ZONE,
-    strict: bool = False,
+    strict: bool = True,
     flat_mw: float = vocab.FLAT_LOAD_MW,
 ) -> DataFrame:
     """The plan of every site and day of ``prediction``, one row each.

@@ -204,33 +204,7 @@ def predict_ridge(
     return joined.select(*rows.columns, clip_unit(value).alias(RIDGE))
 
 
-# --- boosted trees --------------------------------------------------------------------------
-
-
-def boosted_pipeline(
-    trees: int = vocab.GBT_TREES,
-    step: float = vocab.GBT_STEP,
-    depth: int = 6,
-    min_leaf: int = vocab.GBT_MIN_LEAF,
-    seed: int = vocab.GBT_SEED,
-    features: Sequence[str] = vocab.FEATURES,
-):
-    """Gradient boosted trees on the allow-listed features.
-
-    Trees grow level by level; depth 6 allows the 63 leaves the published results
-    were made with.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    inputs = VectorAssembler(inputCols=list(features), outputCol="__features")
-    trees_model = GBTRegressor(
-        featuresCol="__features", labelCol=vocab.TARGET, predictionCol="__predicted",
-        maxIter=trees, stepSize=step, maxDepth=depth, minInstancesPerNode=min_leaf,
-        maxBins=255, seed=seed,
-    )
-    return Pipeline(stages=[inputs, trees_model])
+# --- fitted pipelines ---------------------------------------------------------------------
 
 
 def predict_fitted(rows: DataFrame, model, name: str = BOOSTED) -> DataFrame:

@@ -34,7 +34,7 @@ def day_hours(zones: DataFrame, day: Column, keys: Sequence[str] = ZONE) -> Data
 
 
 def weather_features(
-    forecast: DataFrame, keys: Sequence[str] = ZONE, strict: bool = False
+    forecast: DataFrame, keys: Sequence[str] = ZONE, strict: bool = True
 ) -> DataFrame:
     """Forward forecasts collapsed to the training columns. There is one lead here,
     so the plain columns are read."""
@@ -70,7 +70,7 @@ def live_features(
     forecast: DataFrame,
     day: Column,
     keys: Sequence[str] = ZONE,
-    strict: bool = False,
+    strict: bool = True,
 ) -> DataFrame:
     """One row per key and hour of the target day with every model input and the
     last known capacity."""

@@ -146,13 +146,43 @@ def test_summary_scores_daylight_against_the_benchmark(predictions):
 
 def test_boosted_trees_are_bounded_and_learn(frame):
     one = frame.where("zone = 'B'")
-    result = bt.backtest(one, (forecast.PERSISTENCE, forecast.BOOSTED), TRAIN, 20, trees=5)
+    result = bt.backtest(one, (forecast.PERSISTENCE, forecast.BOOSTED), TRAIN, 20, trees=40)
     pdf = result.toPandas()
     assert pdf[forecast.BOOSTED].between(0, 1).all()
     error = (pdf[forecast.BOOSTED] - pdf["actual"]).abs().mean()
     assert error < (pdf[forecast.PERSISTENCE] - pdf["actual"]).abs().mean()
 
 
+def test_no_fold_learns_from_after_its_gate(frame, spark):
+    """Zones that start at different times: what each fit has seen, told by the forecaster."""
+    later = frame.withColumn(TS, F.when(F.col("zone") == "A", F.col(TS) + F.expr("INTERVAL '100' DAY")).otherwise(F.col(TS)))
+    stamped = later.withColumn(vocab.FEATURES[0], F.unix_date(F.to_date(TS)) * 24.0 + F.hour(TS))
+    newest = lambda x, y, z: np.full(len(z), x[:, 0].max() / 1e7)
+    got = bt.backtest(stamped, (forecast.PERSISTENCE,), TRAIN, 20, own={"newest": newest})
+    gates = bt.folds(stamped, TRAIN, 20).withColumn("gate", F.unix_date(F.to_date("train_end")) * 24.0 + F.hour("train_end"))
+    seen = got.join(gates, ["zone", "fold"]).select("zone", "fold", F.round(F.col("newest") * 1e7).alias("newest"), "gate").distinct()
+    rows = seen.collect()
+    assert {r.zone for r in rows} == {"A", "B"}
+    assert all(r.gate - 1 <= r.newest <= r.gate for r in rows)
+
+
+def test_own_names_must_be_new(frame):
+    with pytest.raises(ValueError, match="built in"):
+        bt.backtest(frame, own={forecast.RIDGE: lambda x, y, z: z[:, 0]})
+
+
+def test_boosting_fits_steps_exactly():
+    from noonwatt.plans.boosting import boosted
+
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 20, (800, 3)) / 20
+    y = np.where(x[:, 1] > 0.5, 0.8, 0.2) + np.where(x[:, 2] > 0.3, 0.1, 0.0)
+    made = boosted(trees=200, step=0.1, min_leaf=5)(x, y, x)
+    assert np.abs(made - y).max() < 0.02
+    flat = boosted(trees=5)(x[:10], y[:10], x[:4])  # too few rows to split
+    np.testing.assert_allclose(flat, y[:10].mean())
+
+
 def test_too_short_a_series_is_reported(frame):
     with pytest.raises(ValueError, match="shorter than the warm-up"):
         bt.backtest(frame, bt.SINGLE_PASS, 400, 30, strict=True)

@@ -8,7 +8,7 @@ from noonwatt import vocab
 from noonwatt.functions import calendar as cal
 from noonwatt.operators import ordered, profile, reshape, scoring
 from noonwatt.plans import backtest as bt
-from noonwatt.plans import forecast, live, marts
+from noonwatt.plans import boosting, forecast, live, marts
 from workload.ctes import LOCATION_NAMES, calendar, gate, local, national, pivot, utc
 from workload.explore_queries import BY_DAY, PROFILE_CTES
 from workload.registry import register
@@ -121,16 +121,12 @@ def fit_ridge(t):
     )
 
 
-# Few trees: the test series is a month long.
-TREES = 10
-
-
 @register("fit_gbt")
 def fit_gbt(t):
-    model = forecast.boosted_pipeline(trees=TREES).fit(t.stored("frame"))
-    return forecast.predict_fitted(t.stored("frame"), model).select(
-        "zone", TS, vocab.TARGET, forecast.BOOSTED
-    )
+    """Boosted trees fitted per zone, over the rows they were fitted on."""
+    frame = t.stored("frame")
+    made = boosting.predict_per_key(frame, frame, {forecast.BOOSTED: boosting.boosted()})
+    return frame.select("zone", TS, vocab.TARGET).join(made, ["zone", TS])
 
 
 @register(
@@ -251,7 +247,7 @@ def backtest(t):
 def backtest_fitted(t):
     """All four models, refitted on every fold."""
     models = (*bt.SINGLE_PASS, forecast.BOOSTED)
-    return bt.backtest(t.stored("frame"), models, TRAIN_DAYS, TEST_DAYS, trees=TREES)
+    return bt.backtest(t.stored("frame"), models, TRAIN_DAYS, TEST_DAYS)
 
 
 METRICS = (
@@ -348,7 +344,7 @@ def scan_recent(t):
     WEATHER + " " + " ".join(vocab.LOCATION_FEATURES), **LIVE_CTES,
 )
 def live_weather_features(t):
-    return live.weather_features(t.raw_weather, strict=True)
+    return live.weather_features(t.raw_weather)
 
 
 @register("live_calendar_features", "SELECT * FROM lv_cal", CYCLES, **LIVE_CTES)
@@ -396,11 +392,13 @@ def assemble_columns(t):
 def predict_day(t):
     """Train on the mart up to now, forecast the target day with boosted trees."""
     frame = reshape.time_slice(t.stored("frame"), upto=_now())
-    model = forecast.boosted_pipeline(trees=TREES).fit(frame)
-    features = live.live_features(_history(t), t.raw_weather, cal.target_day(_now()), strict=True)
-    return live.predict_day(
-        features, lambda rows: forecast.predict_fitted(rows, model, "predicted"), _now()
-    )
+    features = live.live_features(_history(t), t.raw_weather, cal.target_day(_now()))
+
+    def predict(rows):
+        made = boosting.predict_per_key(frame, rows, {"predicted": boosting.boosted()})
+        return rows.join(made, ["zone", TS])
+
+    return live.predict_day(features, predict, _now())
 
 
 # --- saved forecasts -----------------------------------------------------------------------------
