@@ -6,22 +6,22 @@ word's loss under either model is taken, and a document's score is the mean of t
 differences: below 0, its text is more like the target than like the rest.
 
 Words and bigrams are counted over the whole of every text, by partial sums in the tasks and a
-shuffle. What the model keeps of them is bounded, so that it fits every task: the VOCABULARY
-most frequent words, and the most frequent bigrams, at most BIGRAMS. Other words are one
+shuffle. What the model keeps of them is bounded, so that it fits every task: the most
+frequent words, at most VOCABULARY, and the most frequent bigrams, at most BIGRAMS. Other words are one
 unknown word; other bigrams fall back to single words.
 
 Defined results: words are runs of characters other than white space, with A-Z lower-cased;
 words of more than LONGEST bytes are unknown. A null, empty or blank text has no words, null
 losses and score 0. Without any target document the target model is uniform. An id that is
 null is no target; a target id that repeats counts once; repeated documents count as often as
-they occur. Of equally frequent words the first in byte order is kept. An empty table gives no
+they occur. Words and bigrams of equal counts are kept or left together. An empty table gives no
 rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,15 +70,41 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
-    """Ids from 2 of the ``size`` most frequent words."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
-    return {bytes(r["word"]): i for i, r in enumerate(top, 2)}
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of the greatest counts ``n``, at most ``most`` of them: all that reach the
+    least count which leaves so few. Found by a histogram in eighths of a power of two, so
+    nothing is sorted and only chosen rows leave the tasks."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    least, used = None, 0
+    for bin_, n in sorted(counted.groupBy(step.alias("bin")).count().collect(), reverse=True):
+        used += n
+        if used > most:
+            break
+        least = bin_
+    return counted.where(step >= least) if least is not None else counted.limit(0)
 
 
-def encode(text: str | None, vocab: dict[bytes, int]) -> np.ndarray:
-    split = words(text)
-    return np.fromiter((vocab.get(w, UNKNOWN) for w in split), np.int64, len(split))
+def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
+    """Ids from 2 of the most frequent words, at most ``size``; a word that occurs once is none."""
+    counted = stored(word_counts(docs).where("n > 1"), "words")
+    top = sorted(bytes(r["word"]) for r in most_frequent(counted, size).select("word").collect())
+    return {w: i for i, w in enumerate(top, 2)}
+
+
+def encode(texts: Iterable[str | None], vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word ids of the texts one after the other, the id before each (BEGIN at the start of a
+    text), and the number of words of each text."""
+    ids: list[int] = []
+    lengths = []
+    for text in texts:
+        split = words(text)
+        ids += [vocab.get(w, UNKNOWN) for w in split]
+        lengths.append(len(split))
+    word, n = np.array(ids, np.int64), np.array(lengths, np.int64)
+    before = np.concatenate(([BEGIN], word))[:-1] if len(word) else word
+    starts = np.cumsum(n) - n
+    before[starts[n > 0]] = BEGIN
+    return word, before, n
 
 
 def gram_counts(flagged: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
@@ -95,15 +121,10 @@ def gram_counts(flagged: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for part in slices(batch, 200):
-                codes, weights = [], []
-                for text, is_target in zip(part.column(0), part.column(1).to_pylist(), strict=True):
-                    ids = encode(text.as_py(), shared.value)
-                    before = np.concatenate(([BEGIN], ids[:-1])) if len(ids) else ids
-                    both = np.concatenate((before * size + ids, size * size + ids))
-                    codes.append(both)
-                    weights.append(np.full(len(both), bool(is_target), np.int64))
-                target = np.concatenate(weights)
-                held.append(merged(codes, [np.ones(len(target), np.int64)], [target]))
+                word, before, n = encode((t.as_py() for t in part.column(0)), shared.value)
+                target = np.repeat(part.column(1).to_numpy(zero_copy_only=False), n).astype(np.int64)
+                codes = [before * size + word, size * size + word]
+                held.append(merged(codes, [np.ones(2 * len(word), np.int64)], [target, target]))
                 if sum(len(h[0]) for h in held) > HELD:
                     held = [merged(*map(list, zip(*held, strict=True)))]
                     if len(held[0][0]) > HELD:
@@ -121,31 +142,27 @@ def gram_counts(flagged: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Models:
-    """Both models: the vocabulary, sorted bigrams with their counts, word counts, texts begun.
-    The counts' columns are background and target."""
+    """-log P under the background (column 0) and the target model (1).
+
+    ``pairs`` holds it for the kept ``bigrams``, which are sorted; for any other bigram it is
+    ``words`` of its second word plus ``contexts`` of its first.
+    """
 
     vocab: dict[bytes, int]
     bigrams: np.ndarray
     pairs: np.ndarray
-    singles: np.ndarray
-
-    def losses(self, text: str | None) -> np.ndarray:
-        """-log P of each word, under the background and the target model."""
-        ids = encode(text, self.vocab)
-        if not len(ids):
-            return np.empty((0, 2))
-        size = len(self.vocab) + 2
-        before = np.concatenate(([BEGIN], ids[:-1]))
-        code = before * size + ids
-        at = np.minimum(np.searchsorted(self.bigrams, code), max(0, len(self.bigrams) - 1))
-        seen = np.zeros((len(ids), 2))
-        if len(self.bigrams):
-            hit = self.bigrams[at] == code
-            seen[hit] = self.pairs[at[hit]]
-        word = np.arange(size) != BEGIN
-        total = self.singles[word].sum(axis=0)
-        single = (self.singles[ids] + 1) / (total + size - 1)
-        return -np.log((seen + PRIOR * single) / (self.singles[before] + PRIOR))
+    words: np.ndarray
+    contexts: np.ndarray
+
+    def losses(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Of each word after the one before, a row per word."""
+        out = self.words[word] + self.contexts[before]
+        if len(self.bigrams) and len(word):
+            code = before * (len(self.vocab) + 2) + word
+            at = np.minimum(np.searchsorted(self.bigrams, code), len(self.bigrams) - 1)
+            hit = np.flatnonzero(self.bigrams[at] == code)
+            out[hit] = self.pairs[at[hit]]
+        return out
 
 
 def models(flagged: DataFrame, vocab: dict[bytes, int], most: int = BIGRAMS) -> Models:
@@ -153,25 +170,24 @@ def models(flagged: DataFrame, vocab: dict[bytes, int], most: int = BIGRAMS) ->
     size = len(vocab) + 2
     kept = (F.col("gram") >= size * size) | (F.col("n") > 1)
     counted = stored(gram_counts(flagged, vocab).where(kept), "grams")
-    # The least count with which at most ``most`` bigrams are kept, from a histogram of counts
-    # in eighths of a power of two.
-    step = F.floor(F.log2("n") * 8).cast("int")
     bigram = F.col("gram") < size * size
-    bins = sorted(counted.where(bigram).groupBy(step.alias("bin")).count().collect(), reverse=True)
-    least, used = None, 0
-    for bin_, n in bins:
-        used += n
-        if used > most:
-            break
-        least = bin_
-    chosen = counted.where(bigram & (step >= least)) if least is not None else counted.limit(0)
-    pairs = chosen.toArrow().sort_by("gram")
-    single = counted.where(~bigram).toArrow()
+    pairs = most_frequent(counted.where(bigram), most).toArrow().sort_by("gram")
+    single = counted.where(~bigram).toArrow()  # at most a row per word
     singles = np.zeros((size, 2))
     singles[single["gram"].to_numpy() - size * size] = np.c_[single["n"].to_numpy(), single["target"].to_numpy()]
-    texts = flagged.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).agg(F.count(F.lit(1)), F.count_if("is_target")).first()
-    singles[BEGIN] = texts
-    return Models(vocab, pairs["gram"].to_numpy(), np.c_[pairs["n"].to_numpy(), pairs["target"].to_numpy()].astype(float), singles)
+    p = (singles + 1) / (singles.sum(axis=0) + size - 1)
+    begun = flagged.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).agg(F.count(F.lit(1)), F.count_if("is_target")).first()
+    singles[BEGIN] = begun
+    code = pairs["gram"].to_numpy().astype(np.int64)
+    first, second = code // size, code % size
+    seen = np.c_[pairs["n"].to_numpy(), pairs["target"].to_numpy()]
+    return Models(
+        vocab,
+        code,
+        -np.log((seen + PRIOR * p[second]) / (singles[first] + PRIOR)),
+        -np.log(PRIOR * p),
+        np.log(singles + PRIOR),
+    )
 
 
 def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -189,18 +205,19 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str =
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, background, target, difference = [], [], [], []
-            for t in batch.column(1):
-                losses = shared.value.losses(t.as_py())
-                n.append(len(losses))
-                b, g = losses.mean(axis=0) if len(losses) else (None, None)
-                background.append(b)
-                target.append(g)
-                difference.append(float((losses[:, 1] - losses[:, 0]).mean()) if len(losses) else 0.0)
-            yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(c, pa.float64()) for c in (target, background, difference))],
-                names=["doc_id", "n_words", "target_loss", "background_loss", "score"],
-            )
+            for part in slices(batch, 200):
+                word, before, n = encode((t.as_py() for t in part.column(1)), shared.value.vocab)
+                losses = shared.value.losses(word, before)
+                any_word = n > 0
+                mean = np.zeros((len(n), 2))
+                if len(word):
+                    starts = (np.cumsum(n) - n)[any_word]
+                    mean[any_word] = np.add.reduceat(losses, starts, axis=0) / n[any_word, None]
+                columns = [pa.array(mean[:, i], pa.float64(), mask=~any_word) for i in (1, 0)]
+                yield pa.record_batch(
+                    [part.column(0), pa.array(n), *columns, pa.array(mean[:, 1] - mean[:, 0])],
+                    names=["doc_id", "n_words", "target_loss", "background_loss", "score"],
+                )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(judge, f"doc_id {kind}, n_words bigint, target_loss double, background_loss double, score double")

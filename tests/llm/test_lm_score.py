@@ -17,7 +17,9 @@ def split(text):
 
 def by_hand(rows, targets, size):
     counts = Counter(w for _, t in rows for w in split(t) if len(w.encode()) <= m.LONGEST)
-    vocab = {w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:size]}
+    level = lambda n: math.floor(math.log2(n) * 8)
+    fit = [b for b in map(level, counts.values()) if sum(level(n) >= b for n in counts.values()) <= size]
+    vocab = {w for w, n in counts.items() if n > 1 and fit and level(n) >= min(fit)}
     ids = lambda t: [w if w in vocab else None for w in split(t)]
     models = []
     for side in (rows, [r for r in rows if r[0] in targets]):
