@@ -18,6 +18,7 @@ from noonwatt.llm import (
     simhash,
     token_count,
     url_filter,
+    url_sql,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,10 +64,11 @@ URL_RULES = [
 ]
 
 
-@query()
+@query(url_sql.sql(URL_RULES))
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
-    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 _WORDS = rf"regexp_extract_all({_TEXT}, '{decontaminate.WORD}')"
