@@ -1,7 +1,7 @@
 """Battery schedules and day plans.
 
-Schedules are not unique, so those queries are checked by invariants and by a
-second solver in the tests; everything around the solver has SQL.
+The best value of a day is unique, and with prices that differ so is the schedule: SQL
+finds both by dynamic programming. ``plan_advice`` is checked through its parts.
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from noonwatt.operators import profile
 from noonwatt.plans import dayplan, dispatch
+from workload import dispatch_sql
 from workload.adapters import batteries, sites
 from workload.ctes import local, utc
 from workload.explore_queries import PROFILE_CTES
 from workload.registry import register
 
 TS = "utc_timestamp"
+DAILY = "energy_mwh revenue_eur:7 planned_revenue_eur:7 energy_cycled_mwh:7 price_spread_eur_mwh:6"
 
 
 def _fleet(t):
@@ -25,23 +27,34 @@ def _fleet(t):
     return owners.join(every, "battery_id")
 
 
-@register("dispatch_days")
+@register(
+    "dispatch_days",
+    "SELECT zone, day, battery_id, utc_timestamp, actual AS price_eur_mwh, charge_mw, discharge_mw, "
+    "state_of_charge_mwh FROM dp_schedule",
+    "price_eur_mwh charge_mw:8 discharge_mw:8 state_of_charge_mwh:8",
+    **dispatch_sql.PERFECT,
+)
 def dispatch_days(t):
     days = dispatch.price_days(t.price_hourly)
     return dispatch.schedule_hours(dispatch.dispatch(days, _fleet(t)))
 
 
-@register("dispatch_perfect")
+@register("dispatch_perfect", "SELECT * FROM dp_daily", DAILY, **dispatch_sql.PERFECT)
 def dispatch_perfect(t):
     return dispatch.perfect_foresight(t.price_hourly, _fleet(t))
 
 
-@register("dispatch_naive")
+@register("dispatch_naive", "SELECT * FROM nv_daily", DAILY, **dispatch_sql.NAIVE)
 def dispatch_naive(t):
     return dispatch.previous_day_prices(t.price_hourly, _fleet(t))
 
 
-@register("dispatch_summary")
+@register(
+    "dispatch_summary",
+    dispatch_sql.SUMMARY,
+    "total_eur:7 mean_daily_eur:7 annual_eur:5 cycles_per_day:6 cycles_per_year:4 capture_rate:6 forecast_value_eur:5",
+    **dispatch_sql.SUMMARY_CTES,
+)
 def dispatch_summary(t):
     prices, fleet = t.stored("price_hourly"), _fleet(t)
     return dispatch.strategy_summary(
@@ -58,6 +71,7 @@ PLAN_CTES = {
     "p.predicted_capacity_factor, q.price_eur_mwh, count(*) OVER (PARTITION BY p.zone, p.target_date) "
     "AS priced_hours FROM latest_issue p JOIN pl_prices q USING (utc_timestamp)) WHERE priced_hours >= 24",
     "pl_sites": "SELECT s_suppkey AS site_id, 'DE' AS zone, 4.0 + s_nationkey * 0.5 AS system_kwp, "
+    "'B' || CAST(s_nationkey % 5 AS VARCHAR) AS battery_id, "
     "'residential' || CAST(s_suppkey % 11 AS VARCHAR) AS building FROM supplier",
     "pl_days": "SELECT DISTINCT target_date AS day FROM latest_issue",
     "pl_load": f"SELECT l.building, d.day, {utc('CAST(d.day AS TIMESTAMP)')} + INTERVAL '1' HOUR * "
@@ -93,13 +107,13 @@ def _load(t, without: str | None = None):
 
 
 def _site_days(t, without: str | None = None):
-    priced = dayplan.priced_hours(_prediction(t), _prices(t))
+    priced = dayplan.priced_hours(_prediction(t), _prices(t), strict=False)
     return dayplan.site_days(priced, t.stored("sites"), _load(t, without))
 
 
 def _plan(t):
     return dayplan.planned_days(
-        _prediction(t), _prices(t), t.stored("sites"), batteries(t.spark), _load(t)
+        _prediction(t), _prices(t), t.stored("sites"), batteries(t.spark), _load(t), strict=False
     )
 
 
@@ -111,7 +125,7 @@ def _plan(t):
     **PLAN_CTES,
 )
 def join_priced_hours(t):
-    priced = dayplan.priced_hours(_prediction(t), _prices(t))
+    priced = dayplan.priced_hours(_prediction(t), _prices(t), strict=False)
     return priced.select(
         "zone", TS, "target_date", "predicted_capacity_factor", "price_eur_mwh", "priced_hours"
     )
@@ -145,7 +159,20 @@ def solar_value(t):
     return dayplan.solar_values(_site_days(t))
 
 
-@register("plan_day")
+@register(
+    "plan_day",
+    "SELECT s.zone, s.site_id, h.target_date, any_value(d.revenue_eur) AS revenue_eur, "
+    "sum(h.price_eur_mwh * least(h.solar_mw, h.load_mw)) AS solar_value_eur, any_value(d.revenue_eur) + "
+    "sum(h.price_eur_mwh * least(h.solar_mw, h.load_mw)) AS total_benefit_eur, "
+    "sum(round(h.solar_mw * 1000, 6)) AS predicted_generation_kwh, "
+    "sum(round(h.load_mw * 1000, 6)) AS expected_consumption_kwh FROM pl_hours h JOIN pl_sites s USING (site_id) "
+    "JOIN pn_daily d ON d.day = h.target_date AND d.battery_id = s.battery_id GROUP BY s.zone, s.site_id, h.target_date",
+    "revenue_eur:7 solar_value_eur:7 total_benefit_eur:7 predicted_generation_kwh:6 expected_consumption_kwh:6",
+    **PLAN_CTES,
+    **dispatch_sql.schedule(
+        "SELECT zone, target_date AS day, utc_timestamp, price_eur_mwh AS actual, price_eur_mwh AS planning FROM pl_priced", "pn"
+    ),
+)
 def plan_day(t):
     return dayplan.plan_days(_plan(t))
 

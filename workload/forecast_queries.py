@@ -240,14 +240,14 @@ def folds(t):
     **BT_CTES,
 )
 def backtest(t):
-    return bt.backtest(t.stored("frame"), SIMPLE, TRAIN_DAYS, TEST_DAYS)
+    return bt.backtest(t.stored("frame"), SIMPLE, TRAIN_DAYS, TEST_DAYS, strict=False)
 
 
 @register("backtest_fitted")
 def backtest_fitted(t):
     """All four models, refitted on every fold."""
     models = (*bt.SINGLE_PASS, forecast.BOOSTED)
-    return bt.backtest(t.stored("frame"), models, TRAIN_DAYS, TEST_DAYS)
+    return bt.backtest(t.stored("frame"), models, TRAIN_DAYS, TEST_DAYS, strict=False)
 
 
 METRICS = (
@@ -262,7 +262,7 @@ METRICS = (
 
 @register("backtest_summary", METRICS, "mae rmse bias skill_vs_tso", **BT_CTES)
 def backtest_summary(t):
-    predictions = bt.backtest(t.stored("frame"), SIMPLE, TRAIN_DAYS, TEST_DAYS)
+    predictions = bt.backtest(t.stored("frame"), SIMPLE, TRAIN_DAYS, TEST_DAYS, strict=False)
     return bt.summary(predictions, SIMPLE).orderBy("mae")
 
 
