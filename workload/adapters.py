@@ -26,7 +26,7 @@ CAPACITY_TYPES = {
     "3-MEDIUM": "Wind onshore",
     "4-NOT SPECIFIED": "Wind offshore",
 }
-OTHER_CAPACITY = "Battery storage (power)"
+OTHER_CAPACITY, SIXTH_CAPACITY = "Battery storage (power)", "Battery storage (capacity)"
 BUILDINGS = 11
 METER_WRAP = 5000
 
@@ -179,10 +179,12 @@ def raw_installed_power(spark, sf_dir) -> DataFrame:
 
 
 def raw_capacity_types(spark, sf_dir) -> DataFrame:
-    """Monthly capacity of five types, by order priority."""
+    """Monthly capacity of six types, by order priority; part of the last is the sixth."""
     month = month_start("o_orderdate")
     total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
-    kind = _named("o_orderpriority", CAPACITY_TYPES, OTHER_CAPACITY)
+    named = _named("o_orderpriority", CAPACITY_TYPES, OTHER_CAPACITY)
+    sixth = (named == OTHER_CAPACITY) & (F.col("o_orderstatus") == "F")
+    kind = F.when(sixth, F.lit(SIXTH_CAPACITY)).otherwise(named)
     return (
         table(spark, sf_dir, "orders")
         .groupBy(zone(), month.alias("month"), kind.alias("production_type"))

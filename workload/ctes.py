@@ -128,7 +128,8 @@ CTES: dict[str, str] = {
  SELECT 'DE' AS zone, date_trunc('month', o_orderdate) AS month,
    CASE o_orderpriority WHEN '1-URGENT' THEN 'Solar AC' WHEN '2-HIGH' THEN 'Solar DC'
      WHEN '3-MEDIUM' THEN 'Wind onshore' WHEN '4-NOT SPECIFIED' THEN 'Wind offshore'
-     ELSE 'Battery storage (power)' END AS production_type,
+     ELSE CASE WHEN o_orderstatus = 'F' THEN 'Battery storage (capacity)' ELSE 'Battery storage (power)' END
+     END AS production_type,
    CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS capacity_mw
  FROM orders GROUP BY ALL""",
     "raw_event_capacity": """

@@ -65,8 +65,8 @@ def forecast_documents(t) -> DataFrame:
 
 
 def capacity_documents(t) -> DataFrame:
-    """One document per year, in GW; battery capacity of half the months missing."""
-    names = {n: f"s{i}" for i, n in enumerate(list(vocab.CAPACITY_COLUMNS)[:5])}
+    """One document per year, in GW; battery power of half the months missing."""
+    names = {n: f"s{i}" for i, n in enumerate(vocab.CAPACITY_COLUMNS)}
     months = t.raw_capacity_types.groupBy("zone", "month").agg(
         *spread("production_type", "capacity_mw", names, F.max)
     )
@@ -74,8 +74,10 @@ def capacity_documents(t) -> DataFrame:
         _sorted(
             "month",
             F.date_format("month", "MM.yyyy").alias("label"),
-            *[(F.col(c) / 1000).alias(c) for c in list(names.values())[:4]],
-            F.when(F.month("month") > 6, F.col("s4") / 1000).alias("s4"),
+            *[
+                F.when((F.lit(n) != "Battery storage (power)") | (F.month("month") > 6), F.col(c) / 1000).alias(c)
+                for n, c in names.items()
+            ],
         ).alias("r")
     )
     series = F.array(

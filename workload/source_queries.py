@@ -65,7 +65,7 @@ def src_tso_forecast(t):
 
 
 CAPACITY_ROWS = (
-    "SELECT m.zone, m.month, n.production_type, CASE WHEN n.production_type LIKE 'Battery%' AND "
+    "SELECT m.zone, m.month, n.production_type, CASE WHEN n.production_type = 'Battery storage (power)' AND "
     "month(m.month) <= 6 THEN NULL ELSE c.capacity_mw / 1000 * 1000 END AS capacity_mw FROM (SELECT DISTINCT zone, "
     "month FROM raw_capacity_types) m CROSS JOIN (SELECT DISTINCT production_type FROM "
     "raw_capacity_types) n LEFT JOIN raw_capacity_types c USING (month, production_type)"
