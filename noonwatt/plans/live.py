@@ -104,3 +104,15 @@ def predict_day(
         now.alias("issued_at"),
         "target_date",
     )
+
+
+def require_usable(prediction: DataFrame, history: DataFrame, keys: Sequence[str] = ZONE) -> None:
+    """Stop where no hour could be forecast, and say up to when history reaches and what the
+    lags need: the last hour before the longest safe offset."""
+    if not prediction.isEmpty():
+        return
+    seen = history.where(F.col(vocab.TARGET).isNotNull()).agg(F.max(TS).alias("last")).first()["last"]
+    raise ValueError(
+        f"no hour of the target day has all inputs: the last observed hour is {seen}, and the lags "
+        f"need every hour up to {vocab.GATE_SAFE_OFFSET} hours before the target"
+    )

@@ -184,9 +184,22 @@ def _weather(documents: DataFrame, names: dict[str, str]) -> DataFrame:
     )
 
 
-def weather_archive(documents: DataFrame, start: str = vocab.WEATHER_START) -> DataFrame:
+def require_locations(documents: DataFrame, locations: Sequence[str] = tuple(vocab.LOCATIONS)) -> None:
+    """Stop when a wanted location never landed."""
+    landed = documents.where(F.col("location").isin(*locations)).select("location").distinct()
+    found = {r["location"] for r in landed.collect()}  # at most the wanted ones
+    if missing := sorted(set(locations) - found):
+        raise ValueError(f"wanted {len(locations)} locations, got {len(found)}; missing: {missing}")
+
+
+def weather_archive(
+    documents: DataFrame, start: str = vocab.WEATHER_START, locations: Sequence[str] = ()
+) -> DataFrame:
     """Archived forecasts per location at both lead times. ``documents`` carry a
-    ``location`` column; a document that lacks a variable fails the read."""
+    ``location`` column; a document that lacks a variable fails the read, and so does a
+    missing one of the ``locations``, if any are named."""
+    if locations:
+        require_locations(documents, locations)
     if str(start) < vocab.WEATHER_ARCHIVE_START:
         raise ValueError(f"the archive starts {vocab.WEATHER_ARCHIVE_START}; got start={start}")
     rows = _weather(documents, _weather_names(archive=True))

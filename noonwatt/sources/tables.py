@@ -133,6 +133,22 @@ def query(spark: SparkSession, sql: str, **parameters) -> DataFrame:
     return spark.sql(sql, args=parameters)
 
 
+def describe_catalog(spark: SparkSession, names: dict[str, str]) -> DataFrame:
+    """Rows and columns of tables or views as the catalog knows them; ``names``: label -> name.
+    A name that is not there fails."""
+    parts = []
+    for label, name in names.items():
+        if not table_exists(spark, name):
+            raise ValueError(f"no table or view {name}")
+        columns = len(spark.catalog.listColumns(name))
+        counted = spark.table(name).agg(F.count(F.lit(1)).alias("rows"))
+        parts.append(counted.select(F.lit(label).alias("table"), "rows", F.lit(columns).cast("bigint").alias("columns")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def describe_tables(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows and columns per table."""
     parts = [

@@ -167,3 +167,42 @@ def test_parameters_are_values_of_known_types(spark):
         tables.query(spark, "select :a", a=[1])
     assert not tables.table_exists(spark, "no_such_table")
     assert tables.columns_like(spark.range(1).selectExpr("1 lag_1", "2 x"), "lag") == ["lag_1"]
+
+
+def test_a_response_without_values_or_of_unequal_lengths_fails(spark):
+    def documents(text):
+        return spark.createDataFrame([("DE", text)], "zone string, payload string")
+
+    for text, message in (
+        ('{"unix_seconds": [0, 3600]}', "no price"),
+        ('{"unix_seconds": [0, 3600], "price": [1.0]}', "2 instants but 1 values"),
+        ('{"unix_seconds": [0], "price": [1.0, 2.0]}', "1 instants but 2 values"),
+    ):
+        with pytest.raises(Exception, match=message):
+            payloads.price(documents(text)).collect()
+    with pytest.raises(Exception, match="no forecast_values"):
+        payloads.operator_forecast(documents('{"unix_seconds": [0], "production_type": "solar"}')).collect()
+    series = '{"unix_seconds": [0], "production_types": [{"name": "Solar"}]}'
+    with pytest.raises(Exception, match="a series has no data"):
+        payloads.public_power(documents(series)).collect()
+
+
+def test_loading_evaluates_its_input_once_and_keeps_the_old_table_on_failure(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    path = str(tmp_path / "t")
+    df = spark.range(10).mapInArrow(look, "id bigint")
+    assert tables.load_table(df, path) == 10 and seen.value == 10
+    assert tables.load_table(spark.range(3), path, replace=False) == 3
+    assert spark.read.parquet(path).count() == 13
+    with pytest.raises(ValueError, match="empty"):
+        tables.load_table(spark.range(0), path)
+    with pytest.raises(Exception, match="broken"):
+        tables.load_table(spark.range(1).selectExpr("raise_error('broken') AS id"), path)
+    assert spark.read.parquet(path).count() == 13
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]

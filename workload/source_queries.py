@@ -21,13 +21,29 @@ PRICE_ROWS = (
 )
 
 
+def _landed(documents):
+    """Written as files, one document each, and read back as a feed's landing folder is."""
+    spark = documents.sparkSession
+    path = os.path.join(shared_folder(spark), "landed")
+    keys = [c for c in documents.columns if c != "payload"]
+    named = documents.withColumn("doc", F.md5("payload"))
+    named.write.partitionBy(*keys, "doc").text(path)
+    return payloads.read_documents(spark, path).drop("doc")
+
+
+def _landed_csv(wide):
+    path = os.path.join(shared_folder(wide.sparkSession), "meters")
+    wide.write.csv(path, header=True)
+    return payloads.read_household_csv(wide.sparkSession, path)
+
+
 def _day(text: str):
     return F.lit(text).cast("date")
 
 
 @register("src_price", PRICE_ROWS, "price_eur_mwh")
 def src_price(t):
-    return payloads.price(docs.price_documents(t))
+    return payloads.price(_landed(docs.price_documents(t)))
 
 
 @register(
@@ -38,7 +54,7 @@ def src_price(t):
     price_rows=PRICE_ROWS,
 )
 def src_upcoming_price(t):
-    return payloads.upcoming_price(docs.price_documents(t), _day(TODAY))
+    return payloads.upcoming_price(_landed(docs.price_documents(t)), _day(TODAY))
 
 
 POWER_ROWS = (
@@ -50,7 +66,7 @@ POWER_ROWS = (
 
 @register("src_public_power", POWER_ROWS)
 def src_public_power(t):
-    return payloads.public_power(docs.power_documents(t))
+    return payloads.public_power(_landed(docs.power_documents(t)))
 
 
 FORECAST_ROWS = (
@@ -61,7 +77,7 @@ FORECAST_ROWS = (
 
 @register("src_tso_forecast", FORECAST_ROWS)
 def src_tso_forecast(t):
-    return payloads.operator_forecast(docs.forecast_documents(t))
+    return payloads.operator_forecast(_landed(docs.forecast_documents(t)))
 
 
 CAPACITY_ROWS = (
@@ -74,12 +90,12 @@ CAPACITY_ROWS = (
 
 @register("src_installed_power", CAPACITY_ROWS, "capacity_mw:4")
 def src_installed_power(t):
-    return payloads.installed_power(docs.capacity_documents(t))
+    return payloads.installed_power(_landed(docs.capacity_documents(t)))
 
 
 @register("src_weather_archive", "SELECT * FROM raw_weather")
 def src_weather_archive(t):
-    return payloads.weather_archive(docs.weather_documents(t))
+    return payloads.weather_archive(_landed(docs.weather_documents(t)))
 
 
 @register(
@@ -89,7 +105,7 @@ def src_weather_archive(t):
     f"CAST(utc_timestamp AS DATE) BETWEEN DATE '{TODAY}' - 1 AND DATE '{TODAY}' + 2",
 )
 def src_weather_forward(t):
-    return payloads.weather_forward(docs.weather_documents(t, archive=False), _day(TODAY))
+    return payloads.weather_forward(_landed(docs.weather_documents(t, archive=False)), _day(TODAY))
 
 
 @register(
@@ -97,7 +113,7 @@ def src_weather_forward(t):
     "SELECT utc_timestamp, channel, meter_kwh, building, building_type, device FROM raw_household",
 )
 def src_household_long(t):
-    return payloads.household(docs.household_wide(t))
+    return payloads.household(_landed_csv(docs.household_wide(t)))
 
 
 @register(
@@ -179,10 +195,9 @@ def param_query(t):
     "'raw.household', count(*), 6 FROM raw_household",
 )
 def catalog_meta(t):
-    return tables.describe_tables(
-        {
-            "raw.price": t.raw_price,
-            "staging.stg_generation": t.stg_generation,
-            "raw.household": t.raw_household,
-        }
-    )
+    """Asked of the catalog, where the tables are registered as views."""
+    views = {"raw.price": t.raw_price, "staging.stg_generation": t.stg_generation, "raw.household": t.raw_household}
+    names = {label: "noonwatt_" + label.replace(".", "_") for label in views}
+    for label, df in views.items():
+        df.createOrReplaceTempView(names[label])
+    return tables.describe_catalog(t.spark, names)
