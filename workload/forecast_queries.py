@@ -9,6 +9,7 @@ from noonwatt.functions import calendar as cal
 from noonwatt.operators import ordered, profile, reshape, scoring
 from noonwatt.plans import backtest as bt
 from noonwatt.plans import boosting, forecast, live, marts
+from workload import ridge_sql
 from workload.ctes import LOCATION_NAMES, calendar, gate, local, national, pivot, utc
 from workload.explore_queries import BY_DAY, PROFILE_CTES
 from workload.registry import register
@@ -108,9 +109,9 @@ def fit_climatology(t):
     return forecast.predict_climatology(future, cells).select("zone", TS, forecast.CLIMATOLOGY)
 
 
-@register("fit_ridge")
+@register("fit_ridge", ridge_sql.SQL, "coefficient:6", **ridge_sql.ctes())
 def fit_ridge(t):
-    """One row per zone and coefficient; checked against a direct solution in the tests."""
+    """One row per zone and coefficient."""
     names = F.array(F.lit("(intercept)"), *[F.lit(f) for f in vocab.FEATURES])
     fitted = forecast.fit_ridge(t.stored("frame"))
     pairs = F.arrays_zip(
