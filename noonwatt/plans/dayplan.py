@@ -86,6 +86,13 @@ def _with_solar(days: DataFrame) -> DataFrame:
     return days.withColumn("solar_mw", solar).withColumn("solar_value_eur", worth)
 
 
+def _spread(sites: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The sites over all cores: each becomes a row per day, and their own file may be one
+    small partition. Only their narrow rows move."""
+    cores = sites.sparkSession.sparkContext.defaultParallelism
+    return sites.select(*keys, *SITE).repartition(cores, "site_id")
+
+
 def site_days(
     priced: DataFrame,
     sites: DataFrame,
@@ -94,7 +101,7 @@ def site_days(
     flat_mw: float = vocab.FLAT_LOAD_MW,
 ) -> DataFrame:
     """Every site's priced days with its own solar output and demand, as arrays."""
-    days = join_small(sites.select(*keys, *SITE), priced_days(priced, keys), keys)
+    days = join_small(_spread(sites, keys), priced_days(priced, keys), keys)
     return _with_solar(_with_load(days, load, flat_mw))
 
 
@@ -118,7 +125,7 @@ def planned_days(
     schedules = dispatch(days, fleet, keys).select(
         *keys, "day", "battery_id", "hours", "charge_mw", "discharge_mw", "state_of_charge_mwh"
     )
-    own = join_small(sites.select(*keys, *SITE), schedules, [*keys, "battery_id"])
+    own = join_small(_spread(sites, keys), schedules, [*keys, "battery_id"])
     full = _with_solar(_with_load(own, load, flat_mw))
     net = F.zip_with("discharge_mw", "charge_mw", lambda d, c: d - c)
     earned = F.zip_with(net, F.col("hours"), lambda mw, h: h["actual"] * mw)
