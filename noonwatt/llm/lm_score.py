@@ -5,34 +5,35 @@ model is counted over the target documents, the background model over all docume
 word's loss under either model is taken, and a document's score is the mean of the
 differences: below 0, its text is more like the target than like the rest.
 
-Words and bigrams are counted over the whole of every text, by partial sums in the tasks and a
-shuffle. What the model keeps of them is bounded, so that it fits every task: the most
-frequent words, at most VOCABULARY, and the most frequent bigrams, at most BIGRAMS. Other words are one
-unknown word; other bigrams fall back to single words.
+The vocabulary is every word that occurs twice, and the model keeps every bigram that occurs
+twice, so both grow with the input. The most frequent ones, VOCABULARY words and BIGRAMS
+bigrams at most, are held by every task; the others stay tables, and what documents have of
+them is looked up by shuffle joins. A key that is not held is rare, so no key is hot there.
+All other words are one unknown word; other bigrams fall back to single words.
 
 Defined results: words are runs of characters other than white space, with A-Z lower-cased;
 words of more than LONGEST bytes are unknown. A null, empty or blank text has no words, null
 losses and score 0. Without any target document the target model is uniform. An id that is
 null is no target; a target id that repeats counts once; repeated documents count as often as
-they occur. Words and bigrams of equal counts are kept or left together. An empty table gives no
-rows.
+they occur. What tasks hold changes no result. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noonwatt.llm.common import small_batches, small_side, stored
 from noonwatt.llm.token_count import slices
 
-VOCABULARY = 1 << 15
+#: Most frequent words and bigrams that every task holds.
+VOCABULARY = 1 << 16
 BIGRAMS = 1 << 18
 LONGEST = 64
 #: Words that the single-word model contributes to a bigram's context, as if counted.
@@ -70,48 +71,127 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counted: DataFrame, most: int) -> DataFrame:
-    """The rows of the greatest counts ``n``, at most ``most`` of them: all that reach the
-    least count which leaves so few. Found by a histogram in eighths of a power of two, so
-    nothing is sorted and only chosen rows leave the tasks."""
-    step = F.floor(F.log2("n") * 8).cast("int")
+def _step() -> Column:
+    """The count ``n`` in eighths of a power of two."""
+    return F.floor(F.log2("n") * 8).cast("int")
+
+
+def least_step(counted: DataFrame, most: int) -> int | None:
+    """The least step that at most ``most`` rows reach, from a histogram, so nothing is sorted;
+    None where even the highest step has more rows."""
     least, used = None, 0
-    for bin_, n in sorted(counted.groupBy(step.alias("bin")).count().collect(), reverse=True):
+    for bin_, n in sorted(counted.groupBy(_step().alias("bin")).count().collect(), reverse=True):
         used += n
         if used > most:
             break
         least = bin_
-    return counted.where(step >= least) if least is not None else counted.limit(0)
+    return least
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
-    """Ids from 2 of the most frequent words, at most ``size``; a word that occurs once is none."""
-    counted = stored(word_counts(docs).where("n > 1"), "words")
-    top = sorted(bytes(r["word"]) for r in most_frequent(counted, size).select("word").collect())
-    return {w: i for i, w in enumerate(top, 2)}
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of the greatest counts ``n``, at most ``most`` of them: all that reach the
+    least step which leaves so few."""
+    least = least_step(counted, most)
+    return counted.where(_step() >= least) if least is not None else counted.limit(0)
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """Ids from 2 of all words: those of ``held``, then those of the table ``rest`` (word, id)."""
+
+    held: dict[bytes, int]
+    rest: DataFrame | None = None
+    n_rest: int = 0
+
 
+def vocabulary(docs: DataFrame, size: int | None = None) -> Vocabulary:
+    """All words but those that occur once; given ``size``, the most frequent ones of them."""
+    counted = stored(word_counts(docs).where("n > 1"), "words")
+    if size is not None:
+        return Vocabulary(_ids(most_frequent(counted, size)))
+    least = least_step(counted, VOCABULARY)
+    held = _ids(counted.where(_step() >= least) if least is not None else counted.limit(0))
+    rest = counted.where(_step() < least) if least is not None else counted
+    rest = stored(rest.select("word", F.monotonically_increasing_id().alias("at")), "rare_words")
+    # Row numbers without gaps: the high bits of ``at`` are a task, the low 33 count its rows.
+    task, first, offsets = F.shiftright("at", 33), len(held) + 2, {}
+    for t, n in sorted(rest.groupBy(task.alias("task")).count().collect()):
+        offsets[t] = first
+        first += n
+    if not offsets:
+        return Vocabulary(held)
+    start = F.create_map(*[F.lit(int(x)) for item in offsets.items() for x in item])
+    ids = (start[task.cast("int")] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int")
+    return Vocabulary(held, stored(rest.select("word", ids.alias("id")), "word_ids"), first - len(held) - 2)
+
+
+def _ids(chosen: DataFrame) -> dict[bytes, int]:
+    return {w: i for i, w in enumerate(sorted(bytes(r["word"]) for r in chosen.select("word").collect()), 2)}
+
+
+def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(row, ids and the other columns) of rows with a ``text``: a number of its own and the
+    words' ids, written."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocab.held)
+    others = [c for c in rows.columns if c != "text"]
+    rows = rows.select("text", *others)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 200):
+                found = [[w for w in set(words(t.as_py())) if w not in shared.value and len(w) <= LONGEST] for t in part.column(0)]
+                key = np.repeat(part.column(1).to_numpy(), [len(f) for f in found])
+                yield pa.record_batch([pa.array(key, pa.int64()), pa.array([w for f in found for w in f], pa.binary())], names=["key", "word"])
+
+    if vocab.rest is None:
+        met = rows.withColumns({"found": F.lit(None).cast("array<binary>"), "found_id": F.lit(None).cast("array<int>")})
+    else:
+        keyed = rows.withColumn("key", F.xxhash64("text"))
+        looked = (
+            keyed.select("text", "key")
+            .mapInArrow(rare, "key bigint, word binary")
+            .join(vocab.rest, "word")
+            .groupBy("key")
+            .agg(F.collect_set(F.struct("word", "id")).alias("found"))
+            .select("key", F.col("found.word").alias("found"), F.col("found.id").alias("found_id"))
+        )
+        met = keyed.join(looked, "key", "left").select(*rows.columns, "found", "found_id")
 
-def encode(texts: Iterable[str | None], vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 200):
+                ids, lengths = [], []
+                for text, found, found_id in zip(part.column("text"), part.column("found"), part.column("found_id"), strict=True):
+                    split = words(text.as_py())
+                    own = dict(zip(found.as_py() or (), found_id.as_py() or (), strict=True))
+                    if own:
+                        ids += [shared.value.get(w) or own.get(w, UNKNOWN) for w in split]
+                    else:
+                        ids += [shared.value.get(w, UNKNOWN) for w in split]
+                    lengths.append(len(split))
+                ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
+                yield pa.record_batch([lists, *[part.column(c) for c in others]], names=["ids", *others])
+
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
+    done = met.mapInArrow(encode, f"ids array<int>{kinds}")
+    return stored(done.withColumn("row", F.monotonically_increasing_id()), "encoded")
+
+
+def sequences(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word ids of the texts one after the other, the id before each (BEGIN at the start of a
     text), and the number of words of each text."""
-    ids: list[int] = []
-    lengths = []
-    for text in texts:
-        split = words(text)
-        ids += [vocab.get(w, UNKNOWN) for w in split]
-        lengths.append(len(split))
-    word, n = np.array(ids, np.int64), np.array(lengths, np.int64)
+    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    word = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     before = np.concatenate(([BEGIN], word))[:-1] if len(word) else word
     starts = np.cumsum(n) - n
     before[starts[n > 0]] = BEGIN
     return word, before, n
 
 
-def gram_counts(flagged: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
-    """(gram, n, target): occurrences over all rows of (text, is_target) and over the targets.
-    A gram is first * size + second, or size * size + word for a single word."""
-    shared = flagged.sparkSession.sparkContext.broadcast(vocab)
-    size = len(vocab) + 2
+def gram_counts(coded: DataFrame) -> DataFrame:
+    """(gram, n, target): occurrences over all rows of (ids, is_target) and over the targets.
+    A gram is first << 32 | second, or -1 - word for a single word."""
 
     def merged(codes: list[np.ndarray], all_n: list[np.ndarray], target_n: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         gram, at = np.unique(np.concatenate(codes), return_inverse=True)
@@ -121,10 +201,9 @@ def gram_counts(flagged: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for part in slices(batch, 200):
-                word, before, n = encode((t.as_py() for t in part.column(0)), shared.value)
+                word, before, n = sequences(part.column(0))
                 target = np.repeat(part.column(1).to_numpy(zero_copy_only=False), n).astype(np.int64)
-                codes = [before * size + word, size * size + word]
-                held.append(merged(codes, [np.ones(2 * len(word), np.int64)], [target, target]))
+                held.append(merged([before << 32 | word, -1 - word], [np.ones(2 * len(word), np.int64)], [target, target]))
                 if sum(len(h[0]) for h in held) > HELD:
                     held = [merged(*map(list, zip(*held, strict=True)))]
                     if len(held[0][0]) > HELD:
@@ -133,61 +212,91 @@ def gram_counts(flagged: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
             yield pa.record_batch(list(merged(*map(list, zip(*held, strict=True)))), names=["gram", "n", "target"])
 
     return (
-        flagged.select("text", "is_target")
+        coded.select("ids", "is_target")
         .mapInArrow(count, "gram bigint, n bigint, target bigint")
         .groupBy("gram")
         .agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
     )
 
 
+#: Key of a word as the first of a bigram, below those of single words.
+CONTEXT = -(1 << 40)
+
+
 @dataclass(frozen=True)
 class Models:
-    """-log P under the background (column 0) and the target model (1).
+    """-log P under the background (column 0) and the target model (1), as a sum.
 
-    ``pairs`` holds it for the kept ``bigrams``, which are sorted; for any other bigram it is
-    ``words`` of its second word plus ``contexts`` of its first.
+    A word's loss is ``words`` of it plus ``contexts`` of the one before, and ``pairs`` where
+    the two are a kept bigram; ``bigrams`` are sorted.
     """
 
-    vocab: dict[bytes, int]
     bigrams: np.ndarray
     pairs: np.ndarray
     words: np.ndarray
     contexts: np.ndarray
 
-    def losses(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Of each word after the one before, a row per word."""
-        out = self.words[word] + self.contexts[before]
+    def losses(self, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word after the one before, a row per word, as far as it is held here; and
+        where its bigram is not."""
+        out = np.zeros((len(word), 2))
+        for values, ids in ((self.words, word), (self.contexts, before)):
+            here = ids < len(values)
+            out[here] += values[ids[here]]
+        away = np.ones(len(word), bool)
         if len(self.bigrams) and len(word):
-            code = before * (len(self.vocab) + 2) + word
+            code = before << 32 | word
             at = np.minimum(np.searchsorted(self.bigrams, code), len(self.bigrams) - 1)
             hit = np.flatnonzero(self.bigrams[at] == code)
-            out[hit] = self.pairs[at[hit]]
-        return out
-
-
-def models(flagged: DataFrame, vocab: dict[bytes, int], most: int = BIGRAMS) -> Models:
-    """Counted over all rows of (text, is_target)."""
-    size = len(vocab) + 2
-    kept = (F.col("gram") >= size * size) | (F.col("n") > 1)
-    counted = stored(gram_counts(flagged, vocab).where(kept), "grams")
-    bigram = F.col("gram") < size * size
-    pairs = most_frequent(counted.where(bigram), most).toArrow().sort_by("gram")
-    single = counted.where(~bigram).toArrow()  # at most a row per word
+            out[hit] += self.pairs[at[hit]]
+            away[hit] = False
+        return out, away
+
+
+def models(flagged: DataFrame, vocab: Vocabulary | dict[bytes, int], most: int = BIGRAMS) -> Models:
+    """What tasks hold of the models, counted over all rows of (text, is_target)."""
+    vocab = vocab if isinstance(vocab, Vocabulary) else Vocabulary(vocab)
+    return fit(encoded(flagged, vocab), vocab, most)[0]
+
+
+def fit(coded: DataFrame, vocab: Vocabulary, most: int) -> tuple[Models, DataFrame | None]:
+    """What tasks hold of the models, and the values (key, v0, v1) of all other words, contexts
+    and bigrams, or None where there are none."""
+    size = len(vocab.held) + 2
+    counted = stored(gram_counts(coded).where("gram < 0 OR n > 1"), "grams")
+    single = counted.where("gram < 0").select((-1 - F.col("gram")).alias("word"), "n", "target")
+    every = single.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
+    whole = [n + size + vocab.n_rest - 1 for n in every]
+    here = single.where(F.col("word") < size).toArrow()
     singles = np.zeros((size, 2))
-    singles[single["gram"].to_numpy() - size * size] = np.c_[single["n"].to_numpy(), single["target"].to_numpy()]
-    p = (singles + 1) / (singles.sum(axis=0) + size - 1)
-    begun = flagged.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).agg(F.count(F.lit(1)), F.count_if("is_target")).first()
-    singles[BEGIN] = begun
-    code = pairs["gram"].to_numpy().astype(np.int64)
-    first, second = code // size, code % size
-    seen = np.c_[pairs["n"].to_numpy(), pairs["target"].to_numpy()]
-    return Models(
-        vocab,
-        code,
-        -np.log((seen + PRIOR * p[second]) / (singles[first] + PRIOR)),
+    singles[here["word"].to_numpy()] = np.c_[here["n"].to_numpy(), here["target"].to_numpy()]
+    p = (singles + 1) / whole
+    singles[BEGIN] = coded.where(F.size("ids") > 0).agg(F.count(F.lit(1)), F.count_if("is_target")).first()
+    # Per kept bigram, what it adds to the loss of its second word.
+    second = single.select("word", F.col("n").alias("w0"), F.col("target").alias("w1"))
+    bigram = counted.where("gram >= 0").withColumn("word", F.col("gram").bitwiseAND(F.lit((1 << 32) - 1)))
+    near = bigram.where(F.col("word") < size).join(F.broadcast(second.where(F.col("word") < size)), "word")
+    far = bigram.where(F.col("word") >= size).join(second.where(F.col("word") >= size), "word")
+    added = lambda seen, w, i: -F.log(1 + F.col(seen) / (PRIOR * (F.col(w) + 1) / whole[i]))
+    pairs = (near.unionByName(far) if vocab.n_rest else near).select("gram", "n", added("n", "w0", 0).alias("v0"), added("target", "w1", 1).alias("v1"))
+    pairs = stored(pairs, "pairs")
+    top = most_frequent(pairs, most).toArrow().sort_by("gram")
+    held = Models(
+        top["gram"].to_numpy().astype(np.int64),
+        np.c_[top["v0"].to_numpy(), top["v1"].to_numpy()],
         -np.log(PRIOR * p),
         np.log(singles + PRIOR),
     )
+    rest = None
+    if pairs.count() > len(top):
+        rest = pairs.select(F.col("gram").alias("key"), "v0", "v1")
+    if vocab.n_rest:
+        rare = single.where(F.col("word") >= size)
+        loss = [(-F.log(PRIOR * (F.col(c) + 1) / whole[i])).alias(f"v{i}") for i, c in enumerate(("n", "target"))]
+        context = [F.log(F.col(c) + PRIOR).alias(f"v{i}") for i, c in enumerate(("n", "target"))]
+        for part in (rare.select((-1 - F.col("word")).alias("key"), *loss), rare.select((CONTEXT - F.col("word")).alias("key"), *context)):
+            rest = part if rest is None else rest.unionByName(part)
+    return held, rest
 
 
 def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -199,25 +308,46 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str =
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     ids = targets.select(F.col(f"`{targets.columns[0]}`").alias("target_id")).dropna().distinct()
     flagged = rows.join(small_side(ids, ids.count()), F.col("doc_id") == F.col("target_id"), "left").select(
-        "text", F.col("target_id").isNotNull().alias("is_target")
+        "doc_id", "text", F.col("target_id").isNotNull().alias("is_target")
     )
-    shared = docs.sparkSession.sparkContext.broadcast(models(flagged, vocabulary(rows)))
+    vocab = vocabulary(rows)
+    coded = encoded(flagged, vocab)
+    held, rest = fit(coded, vocab, BIGRAMS)
+    shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Number and id of a text, its words, and the sums of the losses that are held."""
         for batch in batches:
             for part in slices(batch, 200):
-                word, before, n = encode((t.as_py() for t in part.column(1)), shared.value.vocab)
-                losses = shared.value.losses(word, before)
-                any_word = n > 0
-                mean = np.zeros((len(n), 2))
+                word, before, n = sequences(part.column(0))
+                sums = np.zeros((len(n), 2))
                 if len(word):
-                    starts = (np.cumsum(n) - n)[any_word]
-                    mean[any_word] = np.add.reduceat(losses, starts, axis=0) / n[any_word, None]
-                columns = [pa.array(mean[:, i], pa.float64(), mask=~any_word) for i in (1, 0)]
+                    starts = (np.cumsum(n) - n)[n > 0]
+                    sums[n > 0] = np.add.reduceat(shared.value.losses(word, before)[0], starts, axis=0)
                 yield pa.record_batch(
-                    [part.column(0), pa.array(n), *columns, pa.array(mean[:, 1] - mean[:, 0])],
-                    names=["doc_id", "n_words", "target_loss", "background_loss", "score"],
+                    [part.column(1), part.column(2), pa.array(n), pa.array(sums[:, 0]), pa.array(sums[:, 1])],
+                    names=["row", "doc_id", "n_words", "s0", "s1"],
                 )
 
+    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The keys of all that is not held, once for each time it occurs."""
+        for batch in batches:
+            for part in slices(batch, 200):
+                word, before, n = sequences(part.column(0))
+                row = np.repeat(part.column(1).to_numpy(), n)
+                _, away = shared.value.losses(word, before)
+                rare, after = word >= len(shared.value.words), before >= len(shared.value.contexts)
+                key = np.concatenate(((before << 32 | word)[away], -1 - word[rare], CONTEXT - before[after]))
+                yield pa.record_batch([pa.array(np.concatenate((row[away], row[rare], row[after]))), pa.array(key)], names=["row", "key"])
+
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(judge, f"doc_id {kind}, n_words bigint, target_loss double, background_loss double, score double")
+    found = coded.select("ids", "row", "doc_id").mapInArrow(judge, f"row bigint, doc_id {kind}, n_words bigint, s0 double, s1 double")
+    if rest is not None:
+        keys = coded.select("ids", "row").mapInArrow(missing, "row bigint, key bigint")
+        more = keys.join(rest, "key").groupBy("row").agg(F.sum("v0").alias("m0"), F.sum("v1").alias("m1"))
+        zero = F.lit(0.0)
+        found = found.join(more, "row", "left").withColumns({f"s{i}": F.col(f"s{i}") + F.coalesce(f"m{i}", zero) for i in (0, 1)})
+    mean = [F.when(F.col("n_words") > 0, F.col(f"s{i}") / F.col("n_words")) for i in (0, 1)]
+    return found.select(
+        "doc_id", "n_words", mean[1].alias("target_loss"), mean[0].alias("background_loss"), F.coalesce(mean[1] - mean[0], F.lit(0.0)).alias("score")
+    )

@@ -76,3 +76,29 @@ def test_no_targets_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 1, None)], SCHEMA)
     assert m.score(docs, none).count() == 1
     assert m.score(docs.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize(("held_words", "held_bigrams"), [(4, 6), (0, 0), (1 << 16, 6), (4, 1 << 18)])
+def test_no_word_or_bigram_is_lost_beyond_what_tasks_hold(spark, monkeypatch, held_words, held_bigrams):
+    monkeypatch.setattr(m, "VOCABULARY", held_words)
+    monkeypatch.setattr(m, "BIGRAMS", held_bigrams)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abÉ") for _ in range(rng.choice([1, 2, 3, 6])))
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(0, 60)))) for i in range(80)]
+    rows += [(200, None), (201, " "), (5, rows[5][1]), (None, "a b"), (204, "a " + "b" * 70 + " A")]
+    docs = spark.createDataFrame([(*r, "x", 1, None) for r in rows], SCHEMA).repartition(3)
+    got = m.score(docs, spark.createDataFrame([(t,) for t in range(40)], "doc_id bigint")).collect()
+    want = by_hand(rows, set(range(40)), 1 << 40)
+    key = lambda r: (str(r[0]), r[1], round(r[4], 9))
+    for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2]
+        assert g[2:] == pytest.approx(w[2:], abs=1e-9) if w[1] else g[2:] == (None, None, 0.0)
+
+
+def test_more_equally_frequent_words_than_tasks_hold_are_all_known(spark):
+    text = " ".join(f"w{i}" for i in range(70_000))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string")
+    p = 3 / (140_000 + 70_001)
+    for r in m.score(docs, spark.createDataFrame([], "doc_id bigint")).collect():
+        assert r.n_words == 70_000
+        assert r.background_loss == pytest.approx(-math.log((2 + m.PRIOR * p) / (2 + m.PRIOR)))
