@@ -90,9 +90,10 @@ def least_step(counted: DataFrame, most: int) -> int | None:
 
 def most_frequent(counted: DataFrame, most: int) -> DataFrame:
     """The rows of the greatest counts ``n``, at most ``most`` of them: all that reach the
-    least step which leaves so few."""
+    least step which leaves so few. Of a highest step with more rows, the first by count and
+    then by the first column."""
     least = least_step(counted, most)
-    return counted.where(_step() >= least) if least is not None else counted.limit(0)
+    return counted.where(_step() >= least) if least is not None else counted.orderBy(F.desc("n"), counted.columns[0]).limit(most)
 
 
 @dataclass(frozen=True)

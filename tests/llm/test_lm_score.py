@@ -95,6 +95,11 @@ def test_no_word_or_bigram_is_lost_beyond_what_tasks_hold(spark, monkeypatch, he
         assert g[2:] == pytest.approx(w[2:], abs=1e-9) if w[1] else g[2:] == (None, None, 0.0)
 
 
+def test_a_highest_step_with_more_rows_is_split_by_count_and_word(spark):
+    counted = spark.createDataFrame([(b"d", 100), (b"a", 101), (b"c", 100), (b"b", 100)], "word binary, n bigint")
+    assert {bytes(r.word) for r in m.most_frequent(counted, 2).collect()} == {b"a", b"b"}
+
+
 def test_more_equally_frequent_words_than_tasks_hold_are_all_known(spark):
     text = " ".join(f"w{i}" for i in range(70_000))
     docs = spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string")
