@@ -8,9 +8,9 @@ gives all of them.
 
 A row is rejected when its text has no letters, or when no language reaches MIN_POSTERIOR.
 
-Defined results: a null or blank text has no letters. A null declaration, or one of a rare
-language, says nothing; a null host or suffix is a host or suffix like any other. Languages
-are the declared ones with at least MIN_SHARE of all declaring rows, so at most 1 / MIN_SHARE.
+Defined results: a null or blank text has no letters. A null declaration
+says nothing; a null host or suffix is a host or suffix like any other. Every declared
+language is one, however few rows declare it; more than MAX_LANGUAGES of them raise an error.
 Where no row declares a language there is nothing to compare with: ``language`` is null and
 only texts without letters are rejected. Of equal scores the first language by name wins.
 Repeated rows are judged one by one; an empty table gives no rows.
@@ -30,7 +30,12 @@ from noonwatt.llm.common import fresh, small_batches, small_side, stored
 
 #: Trigrams of bytes are hashed to 2 ** BITS counters.
 BITS = 15
-MIN_SHARE = 0.01
+#: Least share of the declaring rows that makes a language: none.
+MIN_SHARE = 0.0
+#: Languages whose models every task holds, 128 KB each.
+MAX_LANGUAGES = 256
+#: Trigrams whose scores are added up at once.
+CHUNK = 1 << 14
 #: Neighbouring trigrams overlap: so many count as one independent observation.
 EVIDENCE = 4
 #: Chance that a declared language is the true one.
@@ -54,11 +59,11 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def languages(docs: DataFrame, declared: str) -> list[str]:
-    per = docs.where(F.col(f"`{declared}`").isNotNull()).groupBy(F.col(f"`{declared}`").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    total = per.agg(F.sum("n")).first()[0]
-    if not total:
-        return []
-    return sorted(r["lang"] for r in per.where(F.col("n") >= MIN_SHARE * total).collect())
+    named = docs.select(F.col(f"`{declared}`").alias("lang")).dropna().distinct()
+    names = sorted(r["lang"] for r in named.limit(MAX_LANGUAGES + 1).collect())
+    if len(names) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} declared languages")
+    return names
 
 
 def text_model(docs: DataFrame, names: list[str], text: str, declared: str) -> np.ndarray:
@@ -100,7 +105,10 @@ def _evidence(docs: DataFrame, names: list[str], model: np.ndarray):
         letters, scores = [], []
         for t, lang in zip(text, declared, strict=True):
             grams = trigrams(t)
-            score = shared.value[grams].sum(axis=0, dtype=np.float64) / EVIDENCE
+            score = np.zeros(len(names))
+            for start in range(0, len(grams), CHUNK):
+                score += shared.value[grams[start : start + CHUNK]].sum(axis=0, dtype=np.float64)
+            score /= EVIDENCE
             if lang in index:
                 told = np.full(len(names), other)
                 told[index[lang]] = np.log(DECLARED)

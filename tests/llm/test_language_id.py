@@ -90,3 +90,17 @@ def test_without_declared_languages(spark):
     got = {r.doc_id: (r.language, r.posterior, r.rejected) for r in li.report(docs).collect()}
     assert got == {1: (None, None, False), 2: (None, None, True), 3: (None, None, True), 4: (None, None, False)}
     assert li.report(docs.limit(0)).count() == 0
+
+
+def test_languages_of_few_rows_are_told(spark):
+    rows = [(i, "the of and with that thing " * 3, "en", "a") for i in range(400)]
+    rows += [(1000, "over het niet naar zijn wordt " * 3, "nl", "b"), (1001, "over het niet naar zijn wordt " * 3, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: (r.language, r.rejected) for r in li.report(docs).collect()}
+    assert got[1000] == got[1001] == ("nl", False) and got[0] == ("en", False)
+
+
+def test_too_many_languages_raise(spark):
+    docs = spark.range(li.MAX_LANGUAGES + 1).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"), F.col("id").cast("string").alias("lang"), F.lit("a").alias("source"))
+    with pytest.raises(ValueError, match="languages"):
+        li.report(docs)
