@@ -6,7 +6,10 @@ declare a language. The host priors are hierarchically smoothed: counts per host
 counts of its address suffix, and those on the counts of all rows; one grouped aggregation
 gives all of them.
 
-A row is rejected when its text has no letters, or when no language reaches MIN_POSTERIOR.
+A row is rejected when its text has no letters, when no language reaches MIN_POSTERIOR, or when
+"none of these" explains text and declaration better than every language: trigrams that are all
+equally likely, as in random letters, encoded data or scripts that no row declares. Such rows
+do not vote for their host. ``posterior`` is that among the languages.
 
 Defined results: a null or blank text has no letters. A null declaration
 says nothing; a null host or suffix is a host or suffix like any other. Every declared
@@ -43,6 +46,8 @@ DECLARED = 0.9
 #: Rows that the level above contributes to a host or suffix, as if counted.
 PRIOR = 20.0
 MIN_POSTERIOR = 0.5
+#: Chance that a text is in none of the languages.
+NONE_OF_THESE = 0.01
 
 #: Letters and bytes of other characters stay, A-Z as a-z; all else is a space.
 _LETTERS = np.full(256, 32, np.uint8)
@@ -120,6 +125,14 @@ def _evidence(docs: DataFrame, names: list[str], model: np.ndarray):
     return evidence
 
 
+def foreign(letters: Column, scores: Column, declared: Column, n: int) -> Column:
+    """Whether "none of these" scores above all ``n`` languages. Hosts have no say: a language
+    that is rare at its host is still a language."""
+    told = F.when(declared.isNull(), 0.0).otherwise(float(np.log((1 - DECLARED) / max(1, n - 1))))
+    uniform = letters * float(-BITS * np.log(2) / EVIDENCE)
+    return F.array_max(scores) < uniform + told + float(np.log(NONE_OF_THESE))
+
+
 def host_priors(votes: DataFrame, names: list[str]) -> DataFrame:
     """(suffix, host, prior): log P(language | host) from one vote per row."""
     counted = votes.groupBy("suffix", "host").agg(
@@ -157,7 +170,9 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     found = evidence(F.col(f"`{text}`").cast("string"), F.col(f"`{declared}`"))
     place = (suffix if suffix is not None else F.lit("")).alias("suffix"), F.col(f"`{host}`").alias("host")
     best = F.array_position(F.col("found.scores"), F.array_max("found.scores")) - 1
-    votes = docs.select(*place, found.alias("found")).where("found.letters > 0").select("suffix", "host", best.alias("vote"))
+    votes = docs.select(*place, F.col(f"`{declared}`").alias("declared"), found.alias("found")).where("found.letters > 0")
+    votes = votes.where(~foreign(F.col("found.letters"), F.col("found.scores"), F.col("declared"), len(names)))
+    votes = votes.select("suffix", "host", best.alias("vote"))
     priors = stored(host_priors(votes, names), "priors")
     known = small_side(priors.select(*[F.col(c).alias(col[c]) for c in ("suffix", "host", "prior")]), priors.count())
     (whole,) = fresh(docs, "found")
@@ -173,7 +188,8 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
         .withColumn(col["posterior"], 1 / F.aggregate(
             col["scores"], F.lit(0.0), lambda total, s: total + F.exp(s - top)))
         .withColumn(col["language"], F.get(F.array(*[F.lit(n) for n in names]), (F.array_position(col["scores"], top) - 1).cast("int")))
-        .withColumn(col["rejected"], (F.col(col["letters"]) == 0) | (F.col(col["posterior"]) < MIN_POSTERIOR))
+        .withColumn(col["rejected"], (F.col(col["letters"]) == 0) | (F.col(col["posterior"]) < MIN_POSTERIOR)
+                    | foreign(F.col(whole)["letters"], F.col(whole)["scores"], F.col(f"`{declared}`"), len(names)))
         .drop(whole, col["scores"], col["suffix"], col["host"], col["prior"])
     )
     return out, col

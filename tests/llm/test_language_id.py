@@ -104,3 +104,16 @@ def test_too_many_languages_raise(spark):
     docs = spark.range(li.MAX_LANGUAGES + 1).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"), F.col("id").cast("string").alias("lang"), F.lit("a").alias("source"))
     with pytest.raises(ValueError, match="languages"):
         li.report(docs)
+
+
+def test_gibberish_and_undeclared_scripts_are_rejected(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(WORDS[x]) for _ in range(rng.choice([3, 40, 80]))), x if i % 5 else None, "a") for i in range(3000) for x in [rng.choice(list(WORDS))]]
+    letters = lambda alphabet: " ".join("".join(rng.choice(alphabet) for _ in range(7)) for _ in range(60))
+    odd = [letters("abcdefghijklmnopqrstuvwxyz"), letters("ABCDEFGHabcdefgh0123456789+/"), letters("αβγδεζηθικλμνξοπρστυφχψω"), letters("абвгдежзийклмнопрстуфхцчшщ")]
+    rows += [(1000 + i, text, None, "a") for i, text in enumerate(odd)]
+    # A false declaration does not help where its language has many other rows.
+    rows += [(2000, letters("bcdfghjklmnpqrstvwxz"), "en", "a")]
+    rows += [(3000, "the", None, "b"), (3001, "für", None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert {r.doc_id for r in li.report(docs).collect() if r.rejected} == {1000, 1001, 1002, 1003, 2000}
