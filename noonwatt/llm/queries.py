@@ -9,17 +9,22 @@ from pyspark.sql import functions as F
 
 from noonwatt.llm import (
     chat,
+    collocations,
     decontaminate,
     exact_dedup,
     language_id,
+    license_scan,
+    license_sql,
     lm_score,
     mixing,
+    prefix_trie,
     quality,
     simhash,
     token_count,
     url_filter,
     url_sql,
 )
+from noonwatt.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -219,3 +224,89 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_count.count_tokens(table(spark, sf_dir, "documents"), token_count.Unigram.load(VOCABULARY))
+
+
+@query(license_sql.sql(license_scan.BASE + license_scan.SENTENCES))
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and sentences of every document."""
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
+@query(rf"""
+WITH piece AS (
+    SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS p,
+           regexp_extract_all(unnest(regexp_split_to_array({_TEXT}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+    FROM documents),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY lang),
+gram AS (SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase
+         FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS s FROM piece, range(1, 4) AS ks(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM gram GROUP BY lang, k, phrase HAVING count(*) >= 10),
+cut AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS c FROM f WHERE k > 1),
+scored AS (SELECT cut.lang, cut.k, cut.phrase, a, c, x.f AS l, y.f AS r, (1000000 * a * a) // (x.f * y.f) AS score
+           FROM cut JOIN f AS x ON x.lang = cut.lang AND x.k = c AND x.phrase = array_to_string(w[:c], ' ')
+                    JOIN f AS y ON y.lang = cut.lang AND y.k = cut.k - c AND y.phrase = array_to_string(w[c + 1:], ' ')),
+best AS (SELECT lang, k, phrase, a, unnest(min_by(struct_pack(l := l, r := r, score := score), score * 10 + c))
+         FROM scored GROUP BY lang, k, phrase, a),
+inside AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, f AS longer
+           FROM (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k = 3)),
+kept AS (SELECT * FROM best WHERE NOT EXISTS (SELECT 1 FROM inside AS i WHERE k = 2 AND i.lang = best.lang
+                                             AND i.phrase = best.phrase AND 100 * longer >= 50 * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def _branched(turns: DataFrame) -> DataFrame:
+    """Every conversation begins with up to five turns of the one at its hundred, of the contract.
+
+    A row without a turn names each conversation, also those left without any.
+    """
+    turns = stored(turns, "numbered")
+    convs = turns.select("conv_id").distinct().withColumn("shared", F.crc32(F.col("conv_id").cast("string")) % 6)
+    heads = turns.where((F.col("conv_id") % 100 == 0) & (F.col("pos") <= 5)).withColumnRenamed("conv_id", "head")
+    taken = convs.join(heads, (F.col("conv_id") - F.col("conv_id") % 100 == F.col("head")) & (F.col("pos") <= F.col("shared")))
+    own = turns.where(F.col("pos") > F.crc32(F.col("conv_id").cast("string")) % 6)
+    named = convs.select("conv_id", F.lit(0).alias("pos"), F.lit(None).cast("binary").alias("key"), F.lit(0).cast("bigint").alias("chars"))
+    return own.unionByName(taken.select(*own.columns)).unionByName(named)
+
+
+#: CRC-32 of decimal digits: a byte is mixed in, then eight single shifts follow.
+_CRC = """
+xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+        lambda ch: list_prepend(ascii(ch)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT)
+"""
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS chars,
+                  sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+           FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos, k, chars FROM t),
+conv AS (SELECT conv_id, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+rebuilt AS (SELECT c.conv_id, pos, k, chars FROM conv AS c JOIN own AS o ON o.conv_id = c.conv_id - c.conv_id % 100 AND pos <= h
+            UNION ALL SELECT conv_id, pos, k, chars FROM own JOIN conv USING (conv_id) WHERE pos > h),
+step AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS d, k, chars FROM rebuilt),
+path AS (SELECT conv_id, d, chars, string_agg(k, '/') OVER (PARTITION BY conv_id ORDER BY d) AS p FROM step
+         UNION ALL SELECT conv_id, 0, 0, '' FROM conv),
+long AS (SELECT conv_id, max(d) AS len FROM path GROUP BY conv_id),
+node AS (SELECT p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(chars) AS saved,
+                count_if(d = len) = count(*) AS leaf,
+                string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = len) AS ends
+         FROM path JOIN long USING (conv_id) GROUP BY p, d),
+above AS (SELECT a.p, node.depth - a.d AS up, saved, leaf FROM node JOIN path AS a ON a.conv_id = node.conv_id AND a.d <= node.depth),
+sums AS (SELECT p, sum(saved)::BIGINT AS saved_tokens, count_if(leaf)::BIGINT AS n_leaves, count_if(up = 1)::BIGINT AS n_children
+         FROM above GROUP BY p)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens,
+       sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM node AS n JOIN sums USING (p)
+LEFT JOIN path AS u ON u.conv_id = n.conv_id AND u.d = n.depth - 1
+LEFT JOIN node AS m ON m.p = u.p
+""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, branched off their hundreds."""
+    return prefix_trie.trie(_branched(prefix_trie.turns(table(spark, sf_dir, "conversations"))))
