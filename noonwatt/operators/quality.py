@@ -153,6 +153,23 @@ def missing_names(expected: Sequence[str], found: DataFrame, column: str) -> Dat
     return wanted.join(found.select(column).distinct(), column, "left_anti")
 
 
+#: Keys that an error names before it only counts them.
+NAMED_KEYS = 20
+
+
+def require_keys(expected: DataFrame, found: DataFrame, keys: Sequence[str], message: str) -> None:
+    """Stop where a key of ``expected`` has no row in ``found``, and name it: one key that lacks
+    its data must not be missing silently among the others."""
+    wanted, there = expected.select(*keys).distinct().alias("e"), found.select(*keys).distinct().alias("f")
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    absent = wanted.join(there, same, "left_anti")
+    rows = absent.orderBy(*keys).limit(NAMED_KEYS + 1).collect()
+    if rows:
+        names = ["/".join(str(v) for v in r) for r in rows[:NAMED_KEYS]]
+        more = " and more" if len(rows) > NAMED_KEYS else ""
+        raise ValueError(f"{message} (for {', '.join(names)}{more})")
+
+
 def require_columns(df: DataFrame, required: Sequence[str], what: str = "frame") -> None:
     missing = sorted(set(required) - set(df.columns))
     if missing:

@@ -18,6 +18,7 @@ from noonwatt import vocab
 from noonwatt.functions.calendar import epoch_seconds, gate, to_market, week_bucket
 from noonwatt.functions.numbers import clip_unit
 from noonwatt.operators.ordered import join_small
+from noonwatt.operators.quality import require_keys
 from noonwatt.operators.reshape import complete_rows
 from noonwatt.operators.scoring import error_metrics
 from noonwatt.plans.boosting import Forecaster, boosted, predict_per_key
@@ -200,7 +201,7 @@ def backtest(
     One row per tested hour with fold, actual, daylight, benchmark and a column
     per model. ``own``: more forecasters by name, functions of (training inputs, training
     target, inputs to predict). ``frame`` is read several times, so pass a stored table. With
-    ``strict`` a series without any fold is an error.
+    ``strict`` a key without any fold is an error.
     """
     own = dict(own or {})
     taken = sorted(set(own) & {*SINGLE_PASS, BOOSTED})
@@ -212,8 +213,11 @@ def backtest(
     if test_days < 1 or initial_train_days < 1:
         raise ValueError("test_days and initial_train_days must be at least one")
     steps = folds(frame, initial_train_days, test_days, keys)
-    if strict and steps.isEmpty():
-        raise ValueError("the series is shorter than the warm-up, so there is no fold")
+    if strict:
+        message = "the series is shorter than the warm-up, so there is no fold"
+        if frame.isEmpty():
+            raise ValueError(message)
+        require_keys(frame, steps, keys, message)
     placed = place_in_folds(frame, initial_train_days, test_days, keys)
     tested = _cell_means(placed, keys) if CLIMATOLOGY in models else placed.where(
         F.col("fold").isNotNull()

@@ -35,17 +35,20 @@ def run(
     sites: DataFrame,
     batteries: DataFrame,
     now: Column,
-    log_path: str,
+    log_path: str | None,
     load: DataFrame | None = None,
     forecaster: Forecaster | None = None,
     model_name: str = "gradient_boosting",
     keys: Sequence[str] = ZONE,
     flat_mw: float = vocab.FLAT_LOAD_MW,
+    day: Column | None = None,
+    save: bool = True,
 ) -> DailyRun:
-    """Train on ``frame``, forecast the day after ``now``, append it to the log at
-    ``log_path`` and plan all sites with the prices of that day.
+    """Train on ``frame``, forecast ``day`` (by default the one after ``now``), append it to the
+    log at ``log_path`` unless ``save`` is off, and plan all sites with the prices of that day.
 
-    Missing weather, history that ends too early and days without 24 priced hours raise.
+    A key without weather, with history that ends too early or without a day of 24 priced hours
+    raises and is named.
     """
     spark = frame.sparkSession
     chosen = forecaster or boosted()
@@ -53,11 +56,12 @@ def run(
     def predict(rows: DataFrame) -> DataFrame:
         return rows.join(predict_per_key(frame, rows, {"predicted": chosen}, keys), [*keys, TS])
 
-    features = live.live_features(history, weather, target_day(now), keys)
+    features = live.live_features(history, weather, target_day(now) if day is None else day, keys)
     made = live.predict_day(features, predict, now, keys)
     prediction = write_table(made, spark, "prediction")
     live.require_usable(prediction, history, keys)
-    save_predictions(prediction, log_path, model_name)
+    if save:
+        save_predictions(prediction, log_path, model_name)
     plan = dayplan.planned_days(prediction, prices, sites, batteries, load, keys, flat_mw=flat_mw)
     plan = write_table(plan, spark, "plan")
     return DailyRun(prediction, plan, dayplan.advice(plan, keys))

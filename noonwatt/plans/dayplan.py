@@ -18,6 +18,7 @@ from noonwatt.functions.calendar import to_market
 from noonwatt.functions.numbers import array_output_mw, kwh_to_mw, mw_to_kw, watts_clean
 from noonwatt.functions.text import hour_list
 from noonwatt.operators.ordered import join_small
+from noonwatt.operators.quality import require_keys
 from noonwatt.plans.dispatch import dispatch
 
 TS = "utc_timestamp"
@@ -30,14 +31,17 @@ def priced_hours(
     prediction: DataFrame, prices: DataFrame, keys: Sequence[str] = ZONE, strict: bool = True
 ) -> DataFrame:
     """Predicted hours with a published price, for days priced around the clock. With
-    ``strict``, no such day at all is an error."""
+    ``strict``, a key without any such day is an error."""
     joined = prediction.join(prices.select(*keys, TS, "price_eur_mwh"), [*keys, TS])
     counted = joined.withColumn(
         "priced_hours", F.count(F.lit(1)).over(W.partitionBy(*keys, DAY))
     )
     whole = counted.where(F.col("priced_hours") >= vocab.HOURS_PER_DAY)
-    if strict and whole.isEmpty():
-        raise ValueError("no day has 24 priced hours to plan; the auction may be still to come")
+    if strict:
+        message = "no day has 24 priced hours to plan; the auction may be still to come"
+        if prediction.isEmpty():
+            raise ValueError(message)
+        require_keys(prediction, whole, keys, message)
     return whole
 
 

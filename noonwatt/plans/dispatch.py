@@ -115,10 +115,10 @@ def checked_batteries(batteries: DataFrame) -> DataFrame:
     sized = (F.col("energy_mwh") > 0) & (F.col("power_mw") > 0)
     efficient = (F.col("round_trip_efficiency") > 0) & (F.col("round_trip_efficiency") <= 1)
     energy = (
-        F.when(~sized, F.raise_error(F.lit("energy and power must be positive")).cast("double"))
+        F.when(~sized, F.raise_error(F.lit("a battery needs a capacity and a power above zero")).cast("double"))
         .when(
             ~efficient,
-            F.raise_error(F.lit("round-trip efficiency must be in (0, 1]")).cast("double"),
+            F.raise_error(F.lit("a battery gives back more than nothing and at most all of what it took")).cast("double"),
         )
         .otherwise(F.col("energy_mwh"))
     )

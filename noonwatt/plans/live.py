@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from noonwatt import vocab
 from noonwatt.functions.calendar import calendar_columns, hour_spine, to_market
 from noonwatt.operators.ordered import asof_backward, join_small, rolling_hours, value_at
-from noonwatt.operators.quality import missing_names
+from noonwatt.operators.quality import NAMED_KEYS, require_keys
 from noonwatt.operators.reshape import complete_rows
 from noonwatt.plans.marts import SOLAR_LAGS
 from noonwatt.plans.staging import location_columns, national_columns
@@ -39,11 +39,12 @@ def weather_features(
     """Forward forecasts collapsed to the training columns. There is one lead here,
     so the plain columns are read."""
     if strict:
-        missing = [
-            r["location"] for r in missing_names(list(vocab.LOCATIONS), forecast, "location").collect()
-        ]
-        if missing:
-            raise KeyError(f"forecast is missing locations: {sorted(missing)}")
+        names = F.array(*[F.lit(n) for n in vocab.LOCATIONS])
+        lacking = F.array_except(names, F.collect_set("location")).alias("lacking")
+        short = forecast.groupBy(*keys).agg(lacking).where(F.size("lacking") > 0)
+        missing = sorted({n for r in short.limit(NAMED_KEYS).collect() for n in r["lacking"]})
+        if missing or forecast.isEmpty():
+            raise KeyError(f"no weather for these locations: {missing or list(vocab.LOCATIONS)}")
     return forecast.groupBy(*keys, TS).agg(
         *location_columns("", F.avg), *national_columns("")
     )
@@ -77,8 +78,9 @@ def live_features(
     hours = day_hours(history, day, keys)
     weather = weather_features(forecast, keys, strict)
     spine = hours.join(weather, [*keys, TS], "left")
-    if strict and spine.where(F.col("ghi_mean").isNotNull()).isEmpty():
-        raise ValueError("the weather forecast does not cover the target day")
+    if strict:
+        covered = spine.where(F.col("ghi_mean").isNotNull())
+        require_keys(history, covered, keys, "no weather forecast for any hour of the target day")
     built = history_features(calendar_features(spine), history, keys)
     latest = history.groupBy(*keys).agg(F.max_by("solar_ac_mw", TS).alias("solar_ac_mw"))
     return join_small(built, latest, keys)
@@ -107,12 +109,28 @@ def predict_day(
 
 
 def require_usable(prediction: DataFrame, history: DataFrame, keys: Sequence[str] = ZONE) -> None:
-    """Stop where no hour could be forecast, and say up to when history reaches and what the
-    lags need: the last hour before the longest safe offset."""
-    if not prediction.isEmpty():
-        return
-    seen = history.where(F.col(vocab.TARGET).isNotNull()).agg(F.max(TS).alias("last")).first()["last"]
-    raise ValueError(
-        f"no hour of the target day has all inputs: the last observed hour is {seen}, and the lags "
-        f"need every hour up to {vocab.GATE_SAFE_OFFSET} hours before the target"
+    """Stop where no hour of a key could be forecast; say which key, up to when its history
+    reaches and what the lags need: the last hour before the longest safe offset."""
+    wanted, there = history.select(*keys).distinct().alias("e"), prediction.select(*keys).distinct().alias("f")
+    absent = wanted.join(there, [F.col(f"e.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys], "left_anti")
+    seen = history.groupBy(*keys).agg(F.max(F.when(F.col(vocab.TARGET).isNotNull(), F.col(TS))).alias("last"))
+    rows = join_small(seen, absent, keys).orderBy(*keys).limit(NAMED_KEYS).collect()
+    if rows:
+        told = ", ".join(f"{'/'.join(str(r[k]) for k in keys)}: {r['last']}" for r in rows)
+        raise ValueError(
+            f"no hour of the target day has all inputs; history ends at ({told}), and the lags "
+            f"need every hour up to {vocab.GATE_SAFE_OFFSET} hours before the target"
+        )
+
+
+def hours_without_inputs(features: DataFrame, keys: Sequence[str] = ZONE) -> DataFrame:
+    """(keys, target_date, hours, missing_weather, missing_history): per key, the hours of the
+    target day that cannot be forecast, and why. Keys with all hours complete have no row."""
+    weather = F.exists(F.array(*[F.col(c).isNull() for c in vocab.WEATHER_FEATURES]), lambda x: x)
+    past = F.exists(F.array(*[F.col(c).isNull() for c in vocab.HISTORY_FEATURES]), lambda x: x)
+    counted = features.groupBy(*keys, "target_date").agg(
+        F.count_if(weather | past).alias("hours"),
+        F.count_if(weather).alias("missing_weather"),
+        F.count_if(past).alias("missing_history"),
     )
+    return counted.where(F.col("hours") > 0)

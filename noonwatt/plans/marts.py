@@ -12,6 +12,7 @@ from noonwatt.functions.calendar import calendar_columns, gate, hours_between, i
 from noonwatt.functions.numbers import ratio
 from noonwatt.operators.ordered import trailing_rows
 from noonwatt.operators.reshape import complete_rows, drop_columns
+from noonwatt.sources import layout
 
 ZONE = ("zone",)
 TS = "utc_timestamp"
@@ -51,14 +52,17 @@ def solar_features(
     keys: Sequence[str] = ZONE,
     gate_hour: int = vocab.GATE_HOUR,
     store: Callable[[DataFrame], DataFrame] | None = None,
+    buckets: Sequence[str] = (),
     **sizes: int,
 ) -> DataFrame:
     """Day-ahead solar features: hours with weather, the gate, the calendar, the
     lagged target, and the operators' forecast as benchmark.
 
     Placing the rows reads the joined hours twice; ``store`` may write them first.
+    ``buckets`` names further columns that all three tables derive from the hour and are
+    bucketed by: with them in the join keys nothing is shuffled to join.
     """
-    on = [*keys, TS]
+    on = [*keys, *buckets, TS]
     published = operators.select(*on, F.col("solar_forecast_mw").alias("tso_solar_forecast_mw"))
     joined = (
         solar.select(*on, "local_datetime", "solar_mw", "solar_ac_mw", vocab.TARGET)
@@ -69,7 +73,8 @@ def solar_features(
     historic = with_history(joined, keys, vocab.TARGET, SOLAR_LAGS, SOLAR_MEANS, **sizes)
     gated = historic.withColumn("gate_utc", gate("local_datetime", hour=gate_hour))
     return gated.select(
-        *on,
+        *keys,
+        TS,
         "local_datetime",
         "gate_utc",
         hours_between("gate_utc", TS).alias("horizon_hours"),
@@ -136,9 +141,12 @@ def daylight(df: DataFrame, column: str = "ghi_max") -> DataFrame:
 def recent_generation(solar: DataFrame, now, days: int = 40) -> DataFrame:
     """Recent measured output straight from staging.
 
-    Forty days by default: the 30-day mean reaches back 32.
+    Forty days by default: the 30-day mean reaches back 32. Of a table with daily partitions
+    only those days are read.
     """
     since = now - F.expr(f"INTERVAL '{int(days)}' DAY")
+    if layout.PERIOD in solar.columns:
+        solar = layout.in_window(solar, since)
     return solar.where((F.col(TS) >= since) & F.col(vocab.TARGET).isNotNull()).select(
         *[c for c in solar.columns if c in ("zone",)], TS, vocab.TARGET, "solar_ac_mw"
     )

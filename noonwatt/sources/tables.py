@@ -66,7 +66,7 @@ def load_table(
         counted.write.partitionBy(*partition_by).parquet(fresh)
         rows = seen.get["rows"]
         if rows == 0:
-            raise ValueError(f"refusing to load an empty frame into {path}")
+            raise ValueError(f"nothing to load into {path}: the frame has no rows")
         if replace or not files.exists(at(path)):
             _swap(spark, fresh, path)
         else:
@@ -117,7 +117,7 @@ def ingest(
     selected = list(tables or builders)
     unknown = sorted(set(selected) - set(builders))
     if unknown:
-        raise ValueError(f"unknown tables: {unknown}. Available: {sorted(builders)}")
+        raise ValueError(f"no such raw tables: {unknown}; there are {sorted(builders)}")
     rows = [(name, load_table(builders[name](), os.path.join(target, name))) for name in selected]
     return spark.createDataFrame(rows, "table string, rows bigint")
 
@@ -129,7 +129,7 @@ def query(spark: SparkSession, sql: str, **parameters) -> DataFrame:
     """Run SQL with named parameters; values never become SQL text."""
     for name, value in parameters.items():
         if not isinstance(value, _PARAMETER_TYPES):
-            raise TypeError(f"unsupported query parameter type for {name!r}: {type(value)}")
+            raise TypeError(f"parameter {name!r} is of {type(value)}, which no query takes")
     return spark.sql(sql, args=parameters)
 
 

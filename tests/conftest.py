@@ -45,6 +45,14 @@ def table(spark):
     return make
 
 
+def partitions_read(df):
+    """Partitions that each scan of a plan without exchanges has read."""
+    done = df._jdf.queryExecution()
+    done.toRdd().count()
+    leaves = done.executedPlan().collectLeaves()
+    return [leaves.apply(i).metrics().apply("numPartitions").value() for i in range(leaves.size())]
+
+
 def same(got, want, keys, tolerance=1e-9):
     """Compare two DataFrames row by row on ``keys``."""
     a = got.toPandas().sort_values(list(keys)).reset_index(drop=True)

@@ -41,7 +41,7 @@ def test_what_stops_the_run(frame, history, weather, inputs, tmp_path):  # noqa:
     prices, sites, batteries, now = inputs
     args = (sites, batteries, now, str(tmp_path / "log"))
     early = history.where(F.col(TS) < F.lit("2026-07-01").cast("timestamp_ntz"))
-    with pytest.raises(ValueError, match="last observed hour is 2026-06-30 23:00:00"):
+    with pytest.raises(ValueError, match="history ends at .A: 2026-06-30 23:00:00"):
         daily.run(frame, early, weather, prices, *args, forecaster=mean())
     with pytest.raises(ValueError, match="24 priced hours"):
         daily.run(frame, history, weather, prices.limit(0), *args, forecaster=mean())
@@ -51,3 +51,12 @@ def test_a_location_that_never_landed_is_named(spark):
     landed = spark.createDataFrame([(n, "{}") for n in list(vocab.LOCATIONS)[1:]], "location string, payload string")
     with pytest.raises(ValueError, match=f"wanted {len(vocab.LOCATIONS)} locations"):
         payloads.weather_archive(landed, locations=tuple(vocab.LOCATIONS))
+
+
+def test_another_day_without_saving(frame, history, weather, inputs, tmp_path):  # noqa: F811
+    prices, sites, batteries, now = inputs
+    log = tmp_path / "log"
+    done = daily.run(frame, history, weather, prices, sites, batteries, now, str(log), forecaster=mean(),
+                     day=F.lit("2026-08-03").cast("date"), save=False)
+    assert {str(r[0]) for r in done.prediction.select("target_date").distinct().collect()} <= {"2026-08-03"}
+    assert not log.exists()

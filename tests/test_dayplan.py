@@ -103,6 +103,13 @@ def test_a_day_without_all_prices_is_not_planned(prediction, prices):
         dayplan.priced_hours(prediction, few)
 
 
+def test_a_zone_without_a_priced_day_is_named(prediction, prices):
+    other = prediction.withColumn("zone", F.lit("other"))
+    some = prices.unionByName(prices.withColumn("zone", F.lit("other")).where(F.hour(TS) < 10))
+    with pytest.raises(ValueError, match=r"24 priced hours.*\(for other\)"):
+        dayplan.priced_hours(prediction.unionByName(other), some)
+
+
 # --- household profiles ----------------------------------------------------------------------
 
 

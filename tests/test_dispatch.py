@@ -174,5 +174,5 @@ def test_unreadable_prices_are_refused(spark, prices, fleet):
 )
 def test_impossible_batteries_are_refused(spark, hours, battery):
     prices = days_of(hours, PRICES["flat"], days=1)
-    with pytest.raises(Exception, match="must be"):
+    with pytest.raises(Exception, match="a battery"):
         dispatch.perfect_foresight(prices, one_battery(spark, battery)).collect()

@@ -231,8 +231,47 @@ def test_live_rows_carry_every_training_feature(history, weather):
 
 
 def test_missing_weather_is_reported(history, weather):
-    with pytest.raises(KeyError, match="missing locations.*munich"):
+    with pytest.raises(KeyError, match="locations.*munich"):
         live.live_features(history, weather.where("location != 'munich'"), F.lit(DAY).cast("date"),
                            strict=True)
-    with pytest.raises(ValueError, match="does not cover"):
+    with pytest.raises(ValueError, match="no weather forecast.*\\(for "):
         live.live_features(history, weather, F.lit("2026-09-01").cast("date"), strict=True)
+
+
+# --- one dead zone among several ---------------------------------------------------------------
+
+
+def two_zones(df):
+    """A and a copy of it called B."""
+    return df.where("zone = 'A'").unionByName(df.where("zone = 'A'").withColumn("zone", F.lit("B")))
+
+
+def test_a_zone_without_weather_is_named(history, weather):
+    day = F.lit(DAY).cast("date")
+    both = two_zones(history)
+    with pytest.raises(ValueError, match=r"no weather forecast.*\(for B\)"):
+        live.live_features(both, weather, day)
+    assert live.live_features(both, weather, day, strict=False).where("zone = 'B'").count() == 24
+    lacking = two_zones(weather).where("zone = 'A' OR location != 'munich'")
+    with pytest.raises(KeyError, match="munich"):
+        live.live_features(both, lacking, day)
+
+
+def test_a_zone_without_usable_hours_is_named(history, weather):
+    day = F.lit(DAY).cast("date")
+    early = two_zones(history).where((F.col("zone") == "A") | (F.col(TS) < F.lit("2026-07-01").cast("timestamp_ntz")))
+    features = live.live_features(early, two_zones(weather), day)
+    made = live.predict_day(features, lambda rows: rows.withColumn("predicted", F.lit(0.5)), F.lit("2026-08-01").cast("timestamp_ntz"))
+    with pytest.raises(ValueError, match=r"history ends at \(B: 2026-06-30 23:00:00\)"):
+        live.require_usable(made, early)
+    told = {r.zone: (r.hours, r.missing_weather, r.missing_history) for r in live.hours_without_inputs(features).collect()}
+    assert told == {"B": (24, 0, 24)}
+
+
+def test_a_zone_without_a_fold_is_named(frame):
+    short = frame.where((F.col("zone") != "B") | (F.col(TS) < F.lit("2024-01-20").cast("timestamp_ntz")))
+    if short.where("zone = 'B'").isEmpty():
+        short = frame.where("zone = 'A'").unionByName(frame.where("zone = 'B'").limit(24))
+    with pytest.raises(ValueError, match=r"shorter than the warm-up.*\(for B\)"):
+        bt.backtest(short, (forecast.PERSISTENCE,), TRAIN, 20)
+    assert {r.zone for r in bt.backtest(short, (forecast.PERSISTENCE,), TRAIN, 20, strict=False).select("zone").distinct().collect()} == {"A"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from noonwatt import vocab
@@ -9,6 +11,8 @@ from noonwatt.functions import calendar as cal
 from noonwatt.operators import ordered, profile, reshape, scoring
 from noonwatt.plans import backtest as bt
 from noonwatt.plans import boosting, forecast, live, marts
+from noonwatt.session import shared_folder
+from noonwatt.sources import layout
 from workload import ridge_sql
 from workload.ctes import LOCATION_NAMES, calendar, gate, local, national, pivot, utc
 from workload.explore_queries import BY_DAY, PROFILE_CTES
@@ -337,7 +341,10 @@ def _spine(t):
     f">= TIMESTAMP '{NOW}' - INTERVAL 10 DAY AND solar_capacity_factor IS NOT NULL",
 )
 def scan_recent(t):
-    return marts.recent_generation(t.stg_solar, _now(), days=10)
+    """From a table with daily partitions; only the last ten days are listed and read."""
+    path = os.path.join(shared_folder(t.spark), "stg_solar")
+    layout.create_windowed(t.stg_solar, path)
+    return marts.recent_generation(t.spark.read.parquet(path), _now(), days=10)
 
 
 @register(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from noonwatt.functions.calendar import instant, market_date
 from noonwatt.session import shared_folder
-from noonwatt.sources import payloads, tables
+from noonwatt.sources import catalog, layout, payloads, tables
 from workload import payload_docs as docs
 from workload.ctes import local
 from workload.registry import register
@@ -26,9 +26,8 @@ def _landed(documents):
     spark = documents.sparkSession
     path = os.path.join(shared_folder(spark), "landed")
     keys = [c for c in documents.columns if c != "payload"]
-    named = documents.withColumn("doc", F.md5("payload"))
-    named.write.partitionBy(*keys, "doc").text(path)
-    return payloads.read_documents(spark, path).drop("doc")
+    documents.write.partitionBy(*keys).option("maxRecordsPerFile", 1).text(path)
+    return payloads.read_documents(spark, path)
 
 
 def _landed_csv(wide):
@@ -164,9 +163,10 @@ def sink_append_predictions(t):
     "price_eur_mwh",
 )
 def scan_ordered(t):
+    """Written in sorted ranges, so that reading in order takes no sort."""
     path = os.path.join(shared_folder(t.spark), "price_hourly")
-    tables.replace_table(t.price_hourly, path)
-    return tables.read_ordered(t.spark, path)
+    layout.write_sorted(t.price_hourly, path)
+    return layout.read_sorted(t.spark, path)
 
 
 @register(
@@ -195,9 +195,22 @@ def param_query(t):
     "'raw.household', count(*), 6 FROM raw_household",
 )
 def catalog_meta(t):
-    """Asked of the catalog, where the tables are registered as views."""
-    views = {"raw.price": t.raw_price, "staging.stg_generation": t.stg_generation, "raw.household": t.raw_household}
-    names = {label: "noonwatt_" + label.replace(".", "_") for label in views}
-    for label, df in views.items():
-        df.createOrReplaceTempView(names[label])
-    return tables.describe_catalog(t.spark, names)
+    """Tables registered in the catalog, found there by schema and name."""
+    for name, df in (("raw.price", t.raw_price), ("raw.household", t.raw_household), ("staging.stg_generation", t.stg_generation)):
+        catalog.register_table(df, f"noonwatt_{name}")
+    found = catalog.describe(t.spark, "noonwatt_raw", "[ph]*").unionByName(
+        catalog.describe(t.spark, "noonwatt_staging", "stg_generation")
+    )
+    return found.withColumn("table", F.regexp_replace("table", "^noonwatt_", ""))
+
+
+@register(
+    "catalog_columns",
+    "SELECT 'stg_tso' AS \"table\", unnest(['solar_forecast_mw', 'wind_onshore_forecast_mw', "
+    "'wind_offshore_forecast_mw', 'load_forecast_mw']) AS \"column\", 'double' AS type FROM (SELECT 1 FROM stg_tso LIMIT 1)",
+)
+def catalog_columns(t):
+    """The columns of a registered table whose names end in ``_mw``, with their types."""
+    catalog.register_table(t.stg_tso, "noonwatt_columns.stg_tso")
+    found = catalog.matching_columns(t.spark, "noonwatt_columns", "stg_*", "*_mw")
+    return found.withColumn("table", F.substring_index("table", ".", -1))
