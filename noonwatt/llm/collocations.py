@@ -439,8 +439,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
 
     every = reduce(DataFrame.unionByName, parts)
     order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = every.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # The bare row number: map tasks then keep the best of their own rows only.
+    ranked = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.join(totals, "lang").select(
+        "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score"
+    )
 
 
 def _within(counts: dict[int, DataFrame], k: int, longest: int) -> DataFrame | None:
