@@ -253,9 +253,9 @@ def mark_map(marks: DataFrame) -> np.ndarray:
     words = marks.groupBy(F.shiftright("mark", 6).alias("at")).agg(
         F.expr("bit_or(shiftleft(1L, cast(mark & 63 as int)))").alias("bits")
     )
-    found = words.toPandas()
+    found = words.toArrow()  # as columns: a million row objects would fill the driver
     out = np.zeros(1 << (MARK_BITS - 6), np.int64)
-    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint64)
 
 
