@@ -9,6 +9,8 @@ accumulated over the (few) steps.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,7 +23,7 @@ from noonwatt.operators.ordered import join_small
 from noonwatt.operators.quality import require_keys
 from noonwatt.operators.reshape import complete_rows
 from noonwatt.operators.scoring import error_metrics
-from noonwatt.plans.boosting import Forecaster, boosted, predict_per_key
+from noonwatt.plans.boosting import Boosted, Forecaster, predict_fits, predict_per_key
 from noonwatt.plans.forecast import (
     BOOSTED,
     CLIMATOLOGY,
@@ -186,13 +188,23 @@ def _fitted(
     return predict_per_key(train, test, forecasters, [*keys, "fold"]).drop("fold")
 
 
+def _boosted(placed: DataFrame, steps: DataFrame, settings: Boosted, keys: Sequence[str]) -> DataFrame:
+    """(keys, timestamp, boosted): one ensemble per key and fold, from the rows up to its gate,
+    which are read in place, not copied."""
+    fits = []
+    for step in steps.select(*keys, "fold").collect():  # one small row per fit
+        same = reduce(and_, [F.col(k).eqNullSafe(F.lit(step[k])) for k in keys])
+        fits.append((same & (F.col("train_from") <= step["fold"]), same & (F.col("fold") == step["fold"])))
+    return predict_fits(placed, placed.where(F.col("fold").isNotNull()), fits, BOOSTED, settings, keys)
+
+
 def backtest(
     frame: DataFrame,
     models: Sequence[str] = SINGLE_PASS,
     initial_train_days: int = 365,
     test_days: int = 30,
     keys: Sequence[str] = ZONE,
-    trees: int = vocab.GBT_TREES,
+    boosted: Boosted = Boosted(),
     strict: bool = True,
     own: dict[str, Forecaster] | None = None,
 ) -> DataFrame:
@@ -241,7 +253,7 @@ def backtest(
         *[made[m].alias(m) for m in models if m in SINGLE_PASS],
     )
     if BOOSTED in models:
-        own[BOOSTED] = boosted(trees)
+        out = out.join(_boosted(placed, steps, boosted, keys), [*keys, TS])
     if own:
         out = out.join(_fitted(placed, steps, own, keys), [*keys, TS])
     return complete_rows(out, ["actual", vocab.BENCHMARK])

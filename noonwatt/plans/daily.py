@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from noonwatt import vocab
 from noonwatt.functions.calendar import target_day
 from noonwatt.plans import dayplan, live
-from noonwatt.plans.boosting import Forecaster, boosted, predict_per_key
+from noonwatt.plans.boosting import Boosted, Forecaster, boosted_per_key, predict_per_key
 from noonwatt.sources.tables import save_predictions, write_table
 
 TS = "utc_timestamp"
@@ -38,23 +38,27 @@ def run(
     log_path: str | None,
     load: DataFrame | None = None,
     forecaster: Forecaster | None = None,
+    boosted: Boosted = Boosted(),
     model_name: str = "gradient_boosting",
     keys: Sequence[str] = ZONE,
     flat_mw: float = vocab.FLAT_LOAD_MW,
     day: Column | None = None,
     save: bool = True,
 ) -> DailyRun:
-    """Train on ``frame``, forecast ``day`` (by default the one after ``now``), append it to the
+    """Train boosted trees, or ``forecaster``, on ``frame``, forecast ``day`` (by default the one after ``now``), append it to the
     log at ``log_path`` unless ``save`` is off, and plan all sites with the prices of that day.
 
     A key without weather, with history that ends too early or without a day of 24 priced hours
     raises and is named.
     """
     spark = frame.sparkSession
-    chosen = forecaster or boosted()
 
     def predict(rows: DataFrame) -> DataFrame:
-        return rows.join(predict_per_key(frame, rows, {"predicted": chosen}, keys), [*keys, TS])
+        if forecaster is None:
+            made = boosted_per_key(frame, rows, "predicted", boosted, keys)
+        else:
+            made = predict_per_key(frame, rows, {"predicted": forecaster}, keys)
+        return rows.join(made, [*keys, TS])
 
     features = live.live_features(history, weather, target_day(now) if day is None else day, keys)
     made = live.predict_day(features, predict, now, keys)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noonwatt import vocab
 from noonwatt.plans import backtest as bt
-from noonwatt.plans import forecast, live
+from noonwatt.plans import boosting, forecast, live
 
 TS = "utc_timestamp"
 TRAIN, TEST = 40, 7
@@ -144,13 +144,40 @@ def test_summary_scores_daylight_against_the_benchmark(predictions):
         assert got.loc[(zone, "ridge")]["mae"] < got.loc[(zone, "persistence_48h")]["mae"]
 
 
+FEW_TREES = boosting.Boosted(trees=15, step=0.3, min_leaf=10)
+
+
 def test_boosted_trees_are_bounded_and_learn(frame):
     one = frame.where("zone = 'B'")
-    result = bt.backtest(one, (forecast.PERSISTENCE, forecast.BOOSTED), TRAIN, 20, trees=40)
+    result = bt.backtest(one, (forecast.PERSISTENCE, forecast.BOOSTED), TRAIN, 20, boosted=FEW_TREES)
     pdf = result.toPandas()
-    assert pdf[forecast.BOOSTED].between(0, 1).all()
+    assert pdf[forecast.BOOSTED].between(0, 1).all() and pdf[forecast.BOOSTED].nunique() > 20
     error = (pdf[forecast.BOOSTED] - pdf["actual"]).abs().mean()
     assert error < (pdf[forecast.PERSISTENCE] - pdf["actual"]).abs().mean()
+    assert len(pdf) == bt.backtest(one, (forecast.PERSISTENCE,), TRAIN, 20).count()
+
+
+def test_boosted_folds_see_their_own_past_only(frame):
+    """Targets after each fold's gate, and those of the other zone, change no forecast of that fold."""
+    gates = bt.folds(frame.where("zone = 'B'"), TRAIN, 20)
+    first = gates.where("fold = 0").select("train_end").head()[0]
+    late = F.col(TS) > F.lit(str(first)).cast("timestamp_ntz")
+    spoilt = frame.withColumn(vocab.TARGET, F.when(late | (F.col("zone") == "A"), 1 - F.col(vocab.TARGET)).otherwise(F.col(vocab.TARGET)))
+    models = (forecast.PERSISTENCE, forecast.BOOSTED)
+    read = lambda df: {r[TS]: r[forecast.BOOSTED] for r in bt.backtest(df, models, TRAIN, 20, boosted=FEW_TREES).where("zone = 'B' AND fold = 0").collect()}
+    assert read(frame) == read(spoilt)
+
+
+def test_boosted_per_key(frame, spark):
+    rows = frame.where(F.dayofmonth(TS) == 1)
+    made = boosting.boosted_per_key(frame, rows.unionByName(rows.limit(1).withColumn("zone", F.lit("unseen"))), "p", FEW_TREES)
+    assert made.columns == ["zone", TS, "p"]
+    got = made.toPandas()
+    assert set(got["zone"]) == {"A", "B"} and len(got) == rows.dropna(subset=list(vocab.FEATURES)).count()
+    assert boosting.boosted_per_key(frame, rows.limit(0), "p", FEW_TREES).count() == 0
+    alone = boosting.boosted_per_key(frame.where("zone = 'A'"), rows.where("zone = 'A'"), "p", FEW_TREES).toPandas()
+    both = got[got["zone"] == "A"].sort_values(TS)
+    np.testing.assert_allclose(both["p"].to_numpy(), alone.sort_values(TS)["p"].to_numpy())
 
 
 def test_no_fold_learns_from_after_its_gate(frame, spark):
@@ -171,16 +198,18 @@ def test_own_names_must_be_new(frame):
         bt.backtest(frame, own={forecast.RIDGE: lambda x, y, z: z[:, 0]})
 
 
-def test_boosting_fits_steps_exactly():
-    from noonwatt.plans.boosting import boosted
-
+def test_boosting_fits_steps(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(0, 20, (800, 3)) / 20
     y = np.where(x[:, 1] > 0.5, 0.8, 0.2) + np.where(x[:, 2] > 0.3, 0.1, 0.0)
-    made = boosted(trees=200, step=0.1, min_leaf=5)(x, y, x)
-    assert np.abs(made - y).max() < 0.02
-    flat = boosted(trees=5)(x[:10], y[:10], x[:4])  # too few rows to split
-    np.testing.assert_allclose(flat, y[:10].mean())
+    rows = [(f"{i}", *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, f"{TS} string, a double, b double, c double, {vocab.TARGET} double").withColumn("zone", F.lit("Z"))
+    settings = boosting.Boosted(trees=20, step=0.5, min_leaf=5)
+    made = boosting.boosted_per_key(df, df, "p", settings, features=["a", "b", "c"]).toPandas().set_index(TS)["p"]
+    assert max(abs(made[f"{i}"] - y[i]) for i in range(800)) < 0.02
+    few = df.limit(8)  # too few rows to split
+    flat = boosting.boosted_per_key(few, few, "p", settings, features=["a", "b", "c"]).toPandas()
+    assert flat["p"].nunique() == 1
 
 
 def test_too_short_a_series_is_reported(frame):

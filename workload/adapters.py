@@ -63,46 +63,65 @@ def _point(i: int) -> Column:
     return out
 
 
-def zone(zones: int = 1) -> Column:
+# Zones of unequal size that start at different times; Z0 has five users of eight.
+UNEVEN = "uneven"
+ZONE_STARTS = {"Z0": "2024-01-01", "Z1": "2024-01-04", "Z2": "2024-01-08", "Z3": "2024-01-12"}
+
+
+def zone(zones: int | str = 1) -> Column:
     if zones == 1:
         return F.lit("DE").alias("zone")
+    if zones == UNEVEN:
+        named = F.greatest(F.col("user_id") % 8 - 4, F.lit(0))
+        return F.concat(F.lit("Z"), named.cast("string")).alias("zone")
     return F.concat(F.lit("Z"), (F.col("user_id") % zones).cast("string")).alias("zone")
 
 
+def _events(spark, sf_dir, zones: int | str = 1) -> DataFrame:
+    """The events; of uneven zones those since each one's start."""
+    events = table(spark, sf_dir, "events")
+    if zones != UNEVEN:
+        return events
+    start = F.create_map(*[F.lit(x) for pair in ZONE_STARTS.items() for x in pair])
+    return events.where(F.col("ts") >= F.element_at(start, zone(zones)).cast("timestamp_ntz"))
+
+
+def _slot(quarters: bool) -> Column:
+    """The hour of an event, or its quarter."""
+    minutes = F.floor(F.minute("ts") / 15).cast("int") * 15
+    return (hour_start("ts") + F.make_dt_interval(mins=minutes) if quarters else hour_start("ts")).alias("utc_timestamp")
+
+
 def _last_value() -> Column:
     return F.max_by("value", "event_id")
 
 
 def raw_price(spark, sf_dir, zones=1) -> DataFrame:
-    quarter = F.floor(F.minute("ts") / 15).cast("int")
-    slot = hour_start("ts") + F.make_dt_interval(mins=quarter * 15)
     return (
-        table(spark, sf_dir, "events")
-        .groupBy(zone(zones), slot.alias("utc_timestamp"))
+        _events(spark, sf_dir, zones)
+        .groupBy(zone(zones), _slot(True))
         .agg((_last_value() - 20).alias("price_eur_mwh"))
     )
 
 
-def raw_public_power(spark, sf_dir, zones=1) -> DataFrame:
+def raw_public_power(spark, sf_dir, zones=1, quarters=False) -> DataFrame:
     return (
-        table(spark, sf_dir, "events")
+        _events(spark, sf_dir, zones)
         .groupBy(
             zone(zones),
-            hour_start("ts").alias("utc_timestamp"),
+            _slot(quarters),
             _named("event_type", SERIES, OTHER_SERIES).alias("production_type"),
         )
         .agg(_last_value().alias("power_mw"))
     )
 
 
-def raw_day_ahead_forecast(spark, sf_dir, zones=1) -> DataFrame:
+def raw_day_ahead_forecast(spark, sf_dir, zones=1, quarters=False) -> DataFrame:
     series = F.lower(F.replace(_named("event_type", SERIES, OTHER_SERIES), F.lit(" "), F.lit("_")))
     return (
-        table(spark, sf_dir, "events")
+        _events(spark, sf_dir, zones)
         .where(F.col("event_type") != "error")
-        .groupBy(
-            zone(zones), hour_start("ts").alias("utc_timestamp"), series.alias("production_type")
-        )
+        .groupBy(zone(zones), _slot(quarters), series.alias("production_type"))
         .agg(F.max("value").alias("forecast_mw"))
     )
 
@@ -110,7 +129,7 @@ def raw_day_ahead_forecast(spark, sf_dir, zones=1) -> DataFrame:
 def raw_weather(spark, sf_dir, zones=1) -> DataFrame:
     last = F.col("__last")
     cells = (
-        table(spark, sf_dir, "events")
+        _events(spark, sf_dir, zones)
         .groupBy(
             zone(zones), hour_start("ts").alias("utc_timestamp"), _location().alias("location")
         )
@@ -135,8 +154,13 @@ def raw_weather(spark, sf_dir, zones=1) -> DataFrame:
     )
 
 
-def raw_household(spark, sf_dir, store=lambda df: df) -> DataFrame:
-    building = F.concat(F.lit("residential"), (F.col("user_id") % BUILDINGS).cast("string"))
+# When meters of a device are replaced by ones that stand higher.
+REPLACED = {"grid_import": "2024-01-20", "pv": "2024-01-15", "ev": "2024-01-12", "heat_pump": "2024-01-18"}
+HIGHER_BY = 40_000
+
+
+def raw_household(spark, sf_dir, store=lambda df: df, buildings=BUILDINGS, replaced=False) -> DataFrame:
+    building = F.concat(F.lit("residential"), (F.col("user_id") % buildings).cast("string"))
     hourly = (
         table(spark, sf_dir, "events")
         .groupBy(
@@ -147,13 +171,18 @@ def raw_household(spark, sf_dir, store=lambda df: df) -> DataFrame:
         .agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("__used"))
     )
     metered = running_total(store(hourly), ["building", "device"], "utc_timestamp", "__used", "__total")
+    meter = (F.col("__total") % METER_WRAP).cast("double")
+    if replaced:
+        day = F.create_map(*[F.lit(x) for pair in REPLACED.items() for x in pair])
+        later = F.col("utc_timestamp") >= F.try_element_at(day, F.col("device")).cast("timestamp_ntz")
+        meter = meter + F.when(later, F.lit(float(HIGHER_BY))).otherwise(F.lit(0.0))
     return metered.select(
         "utc_timestamp",
         F.concat(F.lit(vocab.CHANNEL_PREFIX), "building", F.lit("_"), "device").alias("channel"),
         "building",
         F.lit("residential").alias("building_type"),
         "device",
-        (F.col("__total") % METER_WRAP).cast("double").alias("meter_kwh"),
+        meter.alias("meter_kwh"),
     )
 
 
@@ -196,18 +225,18 @@ def raw_event_capacity(spark, sf_dir, zones=1) -> DataFrame:
     """AC capacity of the months the hourly series covers: 1.25 times the peak."""
     month = month_start("ts")
     return (
-        table(spark, sf_dir, "events")
+        _events(spark, sf_dir, zones)
         .groupBy(zone(zones), month.alias("month"), F.lit("Solar AC").alias("production_type"))
         .agg((F.max("value") * 1.25).alias("capacity_mw"))
     )
 
 
-def prediction_log(spark, sf_dir) -> DataFrame:
+def prediction_log(spark, sf_dir, zones=1) -> DataFrame:
     """Two issues per solar hour, 24 and 12 hours ahead, by two models."""
     hours = (
-        table(spark, sf_dir, "events")
+        _events(spark, sf_dir, zones)
         .where(F.col("event_type") == "signup")
-        .groupBy(zone(), hour_start("ts").alias("utc_timestamp"))
+        .groupBy(zone(zones), hour_start("ts").alias("utc_timestamp"))
         .agg(
             F.max("value").alias("__high"),
             F.min("value").alias("__low"),

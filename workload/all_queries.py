@@ -7,4 +7,5 @@ from workload import (  # noqa: F401
     layout_queries,
     source_queries,
     staging_queries,
+    variants,
 )

@@ -1,13 +1,16 @@
 """Battery schedules and day plans.
 
 The best value of a day is unique, and with prices that differ so is the schedule: SQL
-finds both by dynamic programming. ``plan_advice`` is checked through its parts.
+finds both by dynamic programming.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from noonwatt import vocab
 from noonwatt.operators import profile
 from noonwatt.plans import dayplan, dispatch
 from workload import dispatch_sql
@@ -23,7 +26,8 @@ DAILY = "energy_mwh revenue_eur:7 planned_revenue_eur:7 energy_cycled_mwh:7 pric
 def _fleet(t):
     """Every battery size in every zone with prices."""
     every = batteries(t.spark)
-    owners = sites(t.spark, t.sf_dir).select("zone", "battery_id").distinct()
+    zones = F.explode(F.array(*[F.lit(z) for z in t.zones])).alias("zone")
+    owners = sites(t.spark, t.sf_dir).select("battery_id").distinct().select("battery_id", zones)
     return owners.join(every, "battery_id")
 
 
@@ -87,6 +91,11 @@ PLAN_CTES = {
 }
 
 
+PLANNED_SQL = (
+    "SELECT zone, target_date AS day, utc_timestamp, price_eur_mwh AS actual, price_eur_mwh AS planning FROM pl_priced"
+)
+
+
 def _prices(t):
     return t.stored("price_hourly").withColumn("price_eur_mwh", F.round("price_eur_mwh", 6))
 
@@ -169,19 +178,12 @@ def solar_value(t):
     "JOIN pn_daily d ON d.day = h.target_date AND d.battery_id = s.battery_id GROUP BY s.zone, s.site_id, h.target_date",
     "revenue_eur:7 solar_value_eur:7 total_benefit_eur:7 predicted_generation_kwh:6 expected_consumption_kwh:6",
     **PLAN_CTES,
-    **dispatch_sql.schedule(
-        "SELECT zone, target_date AS day, utc_timestamp, price_eur_mwh AS actual, price_eur_mwh AS planning FROM pl_priced", "pn"
-    ),
+    **dispatch_sql.schedule(PLANNED_SQL, "pn"),
 )
 def plan_day(t):
     return dayplan.plan_days(_plan(t))
 
 
-@register("plan_advice")
-def plan_advice(t):
-    return dayplan.advice(_plan(t))
-
-
 HOUR_OF = f"hour({local('utc_timestamp')})"
 
 
@@ -194,24 +196,77 @@ def _best(order: str) -> str:
     )
 
 
-@register(
-    "plan_advice_hours",
+ADVICE_HOURS = (
     "SELECT c.zone, c.site_id, c.target_date, c.hours AS cheapest_hours, d.hours AS dearest_hours, "
     "p.h AS solar_peak_hour, p.kw AS solar_peak_kw FROM pl_cheap c JOIN pl_dear d USING "
-    "(zone, site_id, target_date) JOIN pl_peak p USING (zone, site_id, target_date)",
-    "solar_peak_kw:6",
-    pl_cheap=_best("price_eur_mwh"),
-    pl_dear=_best("price_eur_mwh DESC"),
-    pl_peak="SELECT * FROM (SELECT zone, site_id, target_date, "
+    "(zone, site_id, target_date) JOIN pl_peak p USING (zone, site_id, target_date)"
+)
+ADVICE_CTES = {
+    "pl_cheap": _best("price_eur_mwh"),
+    "pl_dear": _best("price_eur_mwh DESC"),
+    "pl_peak": "SELECT * FROM (SELECT zone, site_id, target_date, "
     f"{HOUR_OF} AS h, round(solar_mw * 1000, 6) AS kw, row_number() OVER (PARTITION BY zone, site_id, "
     "target_date ORDER BY round(solar_mw * 1000, 6) DESC, utc_timestamp) AS k FROM pl_hours) WHERE k = 1",
     **PLAN_CTES,
-)
+}
+
+
+@register("plan_advice_hours", ADVICE_HOURS, "solar_peak_kw:6", **ADVICE_CTES)
 def plan_advice_hours(t):
     """The part of the advice that does not depend on the schedule."""
     return dayplan.hour_advice(dayplan.in_kw(_site_days(t)))
 
 
+def _running(what: str) -> str:
+    return (
+        "SELECT zone, day, battery_id, string_agg(DISTINCT lpad(CAST(h AS VARCHAR), 2, '0') || ':00', ', ' ORDER BY "
+        f"lpad(CAST(h AS VARCHAR), 2, '0') || ':00') AS hours FROM (SELECT *, {HOUR_OF} AS h FROM pn_schedule) "
+        f"WHERE round({what}_mw * 1000, 6) > 0.01 GROUP BY zone, day, battery_id"
+    )
+
+
+def _figure(value: str, digits: int) -> str:
+    """As Java prints it: half away from zero, and a minus before a negative zero."""
+    shown = f"CAST(CAST(CAST({value} AS DECIMAL(24, 9)) AS DECIMAL(24, {digits})) AS VARCHAR)"
+    return f"CASE WHEN {value} < 0 AND left({shown}, 1) <> '-' THEN '-' ELSE '' END || {shown}"
+
+
+def _said(name: str, *values: str) -> str:
+    """A sentence of the advice with its marks filled in."""
+    parts = re.split(r"%s|%02d|%\.\d+f", vocab.ADVICE[name])
+    assert len(parts) == len(values) + 1
+    told = [f"'{parts[0]}'"] + [x for v, p in zip(values, parts[1:]) for x in (v, f"'{p}'")]
+    return " || ".join(told)
+
+
+@register(
+    "plan_advice",
+    "SELECT * EXCLUDE (solar_eur, revenue_eur), concat_ws(chr(10), "
+    + _said("prices", "cheapest_hours", "dearest_hours") + ", "
+    + f"CASE WHEN charge_hours <> '' THEN {_said('charge', 'charge_hours')} END, "
+    + f"CASE WHEN discharge_hours <> '' THEN {_said('discharge', 'discharge_hours')} END, "
+    + _said("solar", "lpad(CAST(solar_peak_hour AS VARCHAR), 2, '0')", _figure("solar_peak_kw", 1)) + ", "
+    + _said("benefit", "strftime(target_date, '%Y-%m-%d')", _figure("total_benefit_eur", 2), _figure("revenue_eur", 2),
+            _figure("solar_eur", 2))
+    + ") AS advice FROM (SELECT a.zone, a.site_id, a.target_date, cheapest_hours, dearest_hours, "
+    "coalesce(c.hours, '') AS charge_hours, coalesce(d.hours, '') AS discharge_hours, solar_peak_hour, solar_peak_kw, "
+    "revenue_eur, solar_eur, revenue_eur + solar_eur AS total_benefit_eur FROM pl_advice a JOIN pl_sites s USING (site_id) "
+    "JOIN pl_worth w USING (site_id, target_date) JOIN pn_daily p ON p.day = a.target_date AND p.battery_id = s.battery_id "
+    "LEFT JOIN pn_charge c ON c.day = a.target_date AND c.battery_id = s.battery_id "
+    "LEFT JOIN pn_discharge d ON d.day = a.target_date AND d.battery_id = s.battery_id)",
+    "total_benefit_eur:7 solar_peak_kw:6",
+    pl_advice=ADVICE_HOURS,
+    pl_worth="SELECT site_id, target_date, sum(price_eur_mwh * least(solar_mw, load_mw)) AS solar_eur FROM pl_hours "
+    "GROUP BY site_id, target_date",
+    pn_charge=_running("charge"),
+    pn_discharge=_running("discharge"),
+    **ADVICE_CTES,
+    **dispatch_sql.schedule(PLANNED_SQL, "pn"),
+)
+def plan_advice(t):
+    return dayplan.advice(_plan(t)).withColumn("advice", F.array_join("advice", "\n"))
+
+
 @register(
     "day_totals",
     "SELECT zone, site_id, target_date, sum(round(solar_mw * 1000, 6)) AS predicted_generation_kwh, "

@@ -359,7 +359,7 @@ def topk_hours(t):
 @register(
     "latest_row",
     "SELECT zone, month, solar_ac_mw, solar_dc_mw FROM stg_capacity WHERE solar_ac_mw IS NOT NULL "
-    "AND solar_dc_mw IS NOT NULL ORDER BY month DESC LIMIT 1",
+    "AND solar_dc_mw IS NOT NULL QUALIFY row_number() OVER (PARTITION BY zone ORDER BY month DESC) = 1",
 )
 def latest_row(t):
     return explore.latest_capacity(t.stg_capacity)
@@ -907,7 +907,7 @@ def check_schema(t):
     "check_ac_below_dc",
     "SELECT zone, month, solar_ac_mw, solar_dc_mw, solar_ac_mw > 0 AND solar_ac_mw < solar_dc_mw "
     "AS ac_below_dc FROM stg_capacity WHERE solar_ac_mw IS NOT NULL AND solar_dc_mw IS NOT NULL "
-    "ORDER BY month DESC LIMIT 1",
+    "QUALIFY row_number() OVER (PARTITION BY zone ORDER BY month DESC) = 1",
 )
 def check_ac_below_dc(t):
     below = (F.col("solar_ac_mw") > 0) & (F.col("solar_ac_mw") < F.col("solar_dc_mw"))

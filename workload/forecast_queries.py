@@ -126,11 +126,15 @@ def fit_ridge(t):
     )
 
 
+#: Leaves of few rows: the fixture has some hundred hours.
+SMALL_TREES = boosting.Boosted(min_leaf=5)
+
+
 @register("fit_gbt")
 def fit_gbt(t):
     """Boosted trees fitted per zone, over the rows they were fitted on."""
     frame = t.stored("frame")
-    made = boosting.predict_per_key(frame, frame, {forecast.BOOSTED: boosting.boosted()})
+    made = boosting.boosted_per_key(frame, frame, forecast.BOOSTED, SMALL_TREES)
     return frame.select("zone", TS, vocab.TARGET).join(made, ["zone", TS])
 
 
@@ -252,7 +256,7 @@ def backtest(t):
 def backtest_fitted(t):
     """All four models, refitted on every fold."""
     models = (*bt.SINGLE_PASS, forecast.BOOSTED)
-    return bt.backtest(t.stored("frame"), models, TRAIN_DAYS, TEST_DAYS, strict=False)
+    return bt.backtest(t.stored("frame"), models, TRAIN_DAYS, TEST_DAYS, strict=False, boosted=SMALL_TREES)
 
 
 METRICS = (
@@ -403,7 +407,7 @@ def predict_day(t):
     features = live.live_features(_history(t), t.raw_weather, cal.target_day(_now()))
 
     def predict(rows):
-        made = boosting.predict_per_key(frame, rows, {"predicted": boosting.boosted()})
+        made = boosting.boosted_per_key(frame, rows, "predicted", SMALL_TREES)
         return rows.join(made, ["zone", TS])
 
     return live.predict_day(features, predict, _now())

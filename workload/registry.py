@@ -13,6 +13,8 @@ from workload.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Name -> (function of the tables, digits that its columns are rounded to).
+MADE: dict[str, tuple[Callable[[Tables], DataFrame], dict[str, int]]] = {}
 
 
 def _digits(spec: str | None) -> dict[str, int]:
@@ -38,12 +40,8 @@ def register(
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
 
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = fn(Tables(configure(spark), sf_dir))
-            return df.withColumns({c: F.round(c, n) for c, n in digits.items()}) if digits else df
-
-        run.__name__, run.__doc__ = name, fn.__doc__
-        QUERIES[name] = run
+        MADE[name] = fn, digits
+        QUERIES[name] = over(name)
         if body is not None:
             text = CTES[body] if body in CTES else body
             if digits:
@@ -53,3 +51,15 @@ def register(
         return fn
 
     return add
+
+
+def over(name: str, tables: type[Tables] = Tables) -> Callable[[SparkSession, str], DataFrame]:
+    """The query of a registered function over ``tables``."""
+    fn, digits = MADE[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = fn(tables(configure(spark), sf_dir))
+        return df.withColumns({c: F.round(c, n) for c, n in digits.items()}) if digits else df
+
+    run.__name__, run.__doc__ = name, fn.__doc__
+    return run

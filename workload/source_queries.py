@@ -31,6 +31,7 @@ def _landed(documents):
 
 
 def _landed_csv(wide):
+    """The meter file as it is delivered, read back column by column as text."""
     path = os.path.join(shared_folder(wide.sparkSession), "meters")
     wide.write.csv(path, header=True)
     return payloads.read_household_csv(wide.sparkSession, path)
@@ -123,13 +124,14 @@ def src_household_long(t):
     "count(*) FROM raw_weather UNION ALL SELECT 'household', count(*) FROM raw_household",
 )
 def ingest_tables(t):
+    """From landed files."""
     documents = {
-        "price": docs.price_documents(t),
-        "public_power": docs.power_documents(t),
-        "day_ahead_forecast": docs.forecast_documents(t),
-        "installed_power": docs.capacity_documents(t),
-        "weather": docs.weather_documents(t),
-        "household": docs.household_wide(t),
+        "price": _landed(docs.price_documents(t)),
+        "public_power": _landed(docs.power_documents(t)),
+        "day_ahead_forecast": _landed(docs.forecast_documents(t)),
+        "installed_power": _landed(docs.capacity_documents(t)),
+        "weather": _landed(docs.weather_documents(t)),
+        "household": _landed_csv(docs.household_wide(t)),
     }
     return tables.ingest(t.spark, payloads.builders(documents), shared_folder(t.spark))
 

@@ -13,6 +13,8 @@ from workload import adapters
 
 
 class Tables:
+    zones: tuple[str, ...] = ("DE",)
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
