@@ -114,3 +114,23 @@ def test_without_one_class_all_others_are_allowed(spark):
     got = u.judge(spark.createDataFrame(rows, "page_id int, url string"), URL_RULES).collect()
     assert sorted((r.page_id or 0, r.verdict) for r in got) == [(0, "allow"), (1, "allow"), (2, "allow"), (2, "allow")]
     assert u.judge(spark.createDataFrame([], "page_id int, url string"), URL_RULES).count() == 0
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7])
+def test_pieces_change_no_score(spark, monkeypatch, piece):
+    rng = random.Random(6)
+    urls = ["http://" + "".join(rng.choice("ab/c🙂é") for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    known = spark.createDataFrame([(t, i % 2 == 0) for i, t in enumerate(urls)], "url string, accepted boolean")
+    asked = spark.createDataFrame(list(enumerate([*urls[:20], "", "z"])), "row int, url string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = rows(u.counts(known)), rows(u.scored(asked, u.model(known)))
+    monkeypatch.setattr(u, "PIECE", piece)
+    assert (rows(u.counts(known)), rows(u.scored(asked, u.model(known)))) == whole
+
+
+def test_a_url_of_a_million_characters(spark):
+    rng = random.Random(2)
+    long = "http://a.com/" + "".join(rng.choice("abc/") for _ in range(1_000_000))
+    rows = [(1, long), (2, "http://x.net/es/zz"), (3, "http://x.org/" + "é" * 300_000), (4, "http://y.org/a")]
+    got = {r.page_id: r for r in u.judge(spark.createDataFrame(rows * 8, "page_id int, url string"), URL_RULES).collect()}
+    assert got[1].rule == "com/" and got[3].verdict in ("allow", "block") and got[3].path == "/" + "é" * 300_000
