@@ -12,7 +12,11 @@ so quotas are met to the word. The order depends on the rows' contents and the s
 
 Defined results: a null text has size 0 and is never taken from. A null source is a source of
 its own, last in order; an empty set of memberships gets no words. Repeated rows are taken one
-by one. An empty table gives no rows. Sources and patterns beyond MAX_PATTERNS raise an error.
+by one. An empty table gives no rows.
+
+A source that no document shares with another needs no flow: it gives its quota, round after
+round. Sets of sources that hang together are routed apart from all others. More than MAX_OVERLAPS
+sets of several sources that hang together, or more than MAX_SOURCES sets in all, raise an error.
 """
 
 from __future__ import annotations
@@ -24,12 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noonwatt.llm.common import fresh, stored
+from noonwatt.llm.common import fresh, small_side, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Times that a document may be taken, and what a word costs in its first, second ... round.
 ROUND_COSTS = (0, 1, 3)
-MAX_PATTERNS = 20_000
+#: Rows that reach the driver: patterns in all, and those of one flow, whose cost grows faster.
+MAX_SOURCES, MAX_OVERLAPS = 1_000_000, 1_000
 #: Hex digits of the seeded order that each narrowing step tells apart, and the steps.
 DIGITS, STEPS = 3, 2
 SEED = "mix-1"
@@ -113,6 +118,40 @@ def route(supply: dict[tuple, int], quota: dict[str | None, int], costs: tuple[i
     return flow
 
 
+def _together(patterns: list[tuple]) -> list[list[tuple]]:
+    """Patterns in groups that share no source with each other."""
+    root: dict[str | None, str | None] = {}
+
+    def top(s: str | None) -> str | None:
+        root.setdefault(s, s)
+        while root[s] != s:
+            root[s] = s = root[root[s]]
+        return s
+
+    for first, *others in patterns:
+        for s in (first, *others):
+            root[top(s)] = top(first)
+    groups = defaultdict(list)
+    for p in patterns:
+        groups[top(p[0])].append(p)
+    return list(groups.values())
+
+
+def given(supply: dict[tuple, int], quota: dict[str | None, int], costs: tuple[int, ...] = ROUND_COSTS) -> dict[tuple, int]:
+    """Words that each pattern gives in all."""
+    out: dict[tuple, int] = {}
+    for group in _together([p for p in supply if p]):
+        if len(group) == 1 and len(group[0]) == 1:
+            p = group[0]
+            out[p] = min(quota[p[0]], len(costs) * supply[p])
+            continue
+        if len(group) > MAX_OVERLAPS:
+            raise ValueError(f"more than {MAX_OVERLAPS} sets of sources hang together; group the sources first")
+        flow = route({p: supply[p] for p in group}, {s: quota[s] for p in group for s in p}, costs)
+        out |= {p: sum(f.values()) for p, f in flow.items()}
+    return out
+
+
 def _boundary(rows: DataFrame, rest: DataFrame) -> DataFrame:
     """(pattern, prefix, before): where in the seeded order each pattern's last round ends.
 
@@ -121,8 +160,9 @@ def _boundary(rows: DataFrame, rest: DataFrame) -> DataFrame:
     16 ** DIGITS rows of a pattern.
     """
     found = rest.withColumns({"prefix": F.lit(""), "before": F.lit(0).cast("bigint")})
+    n = rest.count()
     for step in range(1, STEPS + 1):
-        inside = rows.join(F.broadcast(found), "pattern").where(F.col("key").startswith(F.col("prefix")))
+        inside = rows.join(small_side(found, n), "pattern").where(F.col("key").startswith(F.col("prefix")))
         sums = inside.groupBy("pattern", "rest", "before", F.substring("key", 1, DIGITS * step).alias("prefix")).agg(
             F.sum("size").alias("words")
         )
@@ -150,11 +190,12 @@ def _take(rows: DataFrame, plan: DataFrame, ends: DataFrame, names: list[str], t
     window; all others are decided where they are."""
     pattern, size, key = names
     rounds, rest, end, before = fresh(rows, "rounds", "rest", "end", "before")
-    known = plan.join(F.broadcast(ends.select("pattern", "prefix", "before")), "pattern", "left").select(
+    n = plan.count()
+    known = plan.join(small_side(ends.select("pattern", "prefix", "before"), n), "pattern", "left").select(
         F.col("pattern").alias(pattern), F.col("rounds").alias(rounds), F.col("rest").alias(rest),
         F.col("prefix").alias(end), F.col("before").alias(before),
     )
-    placed = rows.join(F.broadcast(known), pattern)
+    placed = rows.join(small_side(known, n), pattern)
     prefix = F.substring(key, 1, STEPS * DIGITS)
     order = W.partitionBy(pattern).orderBy(key).rowsBetween(W.unboundedPreceding, -1)
     missing = F.col(rest) - F.col(before) - F.coalesce(F.sum(size).over(order), F.lit(0))
@@ -169,9 +210,9 @@ def _take(rows: DataFrame, plan: DataFrame, ends: DataFrame, names: list[str], t
 def plan(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pattern, size, key) rows -> what each pattern gives, where its last round ends, and
     (source, source_size, target, quota)."""
-    per_pattern = rows.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(per_pattern) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} sets of sources; group the sources first")
+    per_pattern = rows.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()
+    if len(per_pattern) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sets of sources; group the sources first")
     supply = {tuple(r["pattern"]): r["words"] for r in per_pattern}
     sizes: dict[str | None, int] = defaultdict(int)
     for p, words in supply.items():
@@ -179,8 +220,8 @@ def plan(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             sizes[s] += words
     goal = targets(sizes)
     quota = {s: int(t + 0.5) for s, t in goal.items()}
-    given = {p: sum(f.values()) for p, f in route(supply, quota).items()}
-    shares = [(list(p), *(divmod(given.get(p, 0), w) if w else (0, 0))) for p, w in supply.items()]
+    words = given(supply, quota)
+    shares = [(list(p), *(divmod(words.get(p, 0), w) if w else (0, 0))) for p, w in supply.items()]
     spark = rows.sparkSession
     shared = spark.createDataFrame(shares, "pattern array<string>, rounds bigint, rest bigint")
     ends = _boundary(rows, shared.where("rest > 0").select("pattern", "rest"))
@@ -198,7 +239,7 @@ def report(docs: DataFrame, source: str = "source", text: str = "text", doc_id:
     shared, ends, sources = plan(rows)
     named = sources.withColumnRenamed("source", "named")
     taken = _take(rows, shared, ends, names, "taken")
-    return taken.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("named"))).select(
+    return taken.join(small_side(named, named.count()), F.col("source").eqNullSafe(F.col("named"))).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
 

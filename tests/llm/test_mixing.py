@@ -144,3 +144,34 @@ def test_empty_table(spark):
     assert m.mix(docs, F.array("source")).count() == 0
     blank = spark.createDataFrame([(1, None, "a", "x", 1, None), (2, " ", None, "x", 1, None)], SCHEMA)
     assert [(r.size, r.taken, r.target) for r in m.report(blank).collect()] == [(0, 0, 0.0)] * 2
+
+
+def test_a_hundred_thousand_sources_of_their_own_need_no_flow():
+    rng = random.Random(4)
+    sizes = {f"s{i}": rng.randrange(0, 1000) for i in range(100_000)}
+    quota = {s: int(t + 0.5) for s, t in m.targets(sizes).items()}
+    got = m.given({(s,): n for s, n in sizes.items()}, quota)
+    assert all(got[(s,)] == min(q, 3 * sizes[s]) for s, q in quota.items())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sets_that_hang_together_are_routed_like_all_at_once(seed):
+    rng = random.Random(seed)
+    names = [f"s{i}" for i in range(12)]
+    supply = {tuple(sorted(rng.sample(names, rng.choice([1, 1, 2])))): rng.randrange(0, 50) for _ in range(14)}
+    sizes = defaultdict(int)
+    for p, n in supply.items():
+        for s in p:
+            sizes[s] += n
+    quota = {s: rng.randrange(0, 120) for s in sizes}
+    apart = m.given(supply, quota)
+    whole = {p: sum(f.values()) for p, f in m.route(supply, quota).items()}
+    rounds = lambda given: sum(c * min(max(given.get(p, 0) - i * n, 0), n) for p, n in supply.items() for i, c in enumerate(m.ROUND_COSTS))
+    assert sum(apart.values()) == sum(whole.values()) and rounds(apart) == rounds(whole)
+
+
+def test_too_many_sets_that_hang_together(monkeypatch):
+    monkeypatch.setattr(m, "MAX_OVERLAPS", 2)
+    supply = {("a", "b"): 1, ("b", "c"): 1, ("c", "d"): 1}
+    with pytest.raises(ValueError, match="hang together"):
+        m.given(supply, dict.fromkeys("abcd", 1))
