@@ -13,8 +13,9 @@ every text whole. Labels, languages, sources and ids are no input of a score.
 Defined results: a null text is scored like an empty one, which says nothing: it gets the share
 of good among the calibration texts. Where the dictionaries' labels lack one of the two, every score is the mean of
 the labels, or 0.5 without any. Labels other than 0 and 1, and
-labels of unknown documents, are not used; a document with two labels counts as both. Repeated
-documents get the same score; an empty table gives no rows.
+labels of unknown documents, are not used; a document with two labels counts as both. Of
+documents that share an id one piece and one point are learnt from, the least; so what reaches
+the driver is bounded. Repeated documents get the same score; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -128,9 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "tex
     offset = F.pmod(F.shiftright("order", 8), F.greatest(F.char_length("text") - PIECE, F.lit(0)) + 1)
     pieces = (
         rows.join(F.broadcast(firsts[0].unionByName(firsts[1])), "id")
-        .select("label", "order", F.substr("text", (offset + 1).cast("int"), F.lit(PIECE)).alias("piece"))
-        .distinct()
-        .collect()  # at most 2 * DICTIONARY_TEXTS pieces, but for ids that repeat in ``docs``
+        .groupBy("label", "order")
+        .agg(F.min(F.substr("text", (offset + 1).cast("int"), F.lit(PIECE))).alias("piece"))
+        .collect()  # at most 2 * DICTIONARY_TEXTS pieces
     )
     content = {0: b"", 1: b""}
     for r in sorted(pieces):
@@ -145,12 +146,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "tex
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.features(t.as_py()) for t in batch.column(1)]
+            found = [shared.value.features(t.as_py()) for t in batch.column(2)]
             whole, block = (pa.array([f[i] for f in found], pa.float64()) for i in (0, 1))
-            yield pa.record_batch([batch.column(0), whole, block], names=["label", "whole", "block"])
-
-    measured = rows.where("text != ''").join(F.broadcast(chosen), "id").select("label", "text")
-    points = measured.mapInArrow(measure, "label int, whole double, block double").collect()
+            yield pa.record_batch([*batch.columns[:2], whole, block], names=["id", "label", "whole", "block"])
+
+    measured = rows.where("text != ''").join(F.broadcast(chosen.distinct()), "id").select("id", "label", "text")
+    points = (
+        measured.mapInArrow(measure, f"id {rows.schema['id'].dataType.simpleString()}, label int, whole double, block double")
+        .groupBy("id", "label")
+        .agg(F.min(F.struct("whole", "block")).alias("x"))
+        .select("label", "x.*")
+        .collect()  # at most CALIBRATION_TEXTS
+    )
     x, y = np.array([r[1:] for r in points]).reshape(-1, 2), np.array([r[0] for r in points], float)
     if len(set(y)) < 2:  # nothing to calibrate on: the plain sign decides
         return Model(made, (0.0, 0.0, 50.0), 0.5)
