@@ -8,9 +8,9 @@ times: by equal first half, by equal second half, and by every first half one fl
 Hamming ball of radius 1, of which a pair needs only the flips from 0 to 1). Every match is
 verified by its complete distance. Equal fingerprints collapse to one row first.
 
-A half that more than BUCKET fingerprints share is not paired with itself: there the ball of
-radius 2 in the other half is enumerated and looked up exactly, so the work stays in proportion
-to the rows and no link is lost.
+A half that more than BUCKET fingerprints share is not paired with itself, nor with those one flip
+away: there the ball of radius 2 in the other half, or the one flip in it, is enumerated and
+looked up exactly, so the work stays in proportion to the rows and no link is lost.
 
 Linked fingerprints become classes by alternating large-star and small-star steps, each
 written to the shared folder.
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noonwatt.llm.common import fresh, small_batches, stored
+from noonwatt.llm.common import fresh, small_batches, small_side, stored
 
 SHINGLE = 3
 SEED = 42
@@ -100,10 +100,10 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b) with a != b, each pair of distinct fingerprints within MAX_DISTANCE bits once."""
     halves = stored(_halves(fps.select("fp").distinct()), "halves")
     near = lambda a, b: _distance(a, b) <= MAX_DISTANCE
-    found = []
+    found, crowds = [], {}
     for half in ("first", "second"):
         crowd = halves.groupBy(half).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        crowd = stored(crowd, f"shared_{half}")
+        crowd = crowds[half] = stored(crowd, f"shared_{half}")
         small = halves.join(crowd.where(F.col("n") <= bucket).select(half), half)
         other = small.select(F.col("fp").alias("b"), F.col(half).alias("h"))
         pairs = small.join(other, (F.col(half) == F.col("h")) & (F.col("fp") < F.col("b")) & near("fp", "b"))
@@ -120,10 +120,18 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     ball = ball.where(F.col("first").bitwiseAND(F.col("mask")) == 0).select(
         "a", F.col("first").bitwiseOR(F.col("mask")).alias("first")
     )
-    one_each = ball.join(halves.select(F.col("fp").alias("b"), "first"), "first").where(
+    # Where many have the half that a flip leads to, the second flip is enumerated as well.
+    full = crowds["first"].where(F.col("n") > bucket).select("first", F.lit(True).alias("full"))
+    ball = ball.join(small_side(full, full.count()), "first", "left")
+    one_each = ball.where("full IS NULL").join(halves.select(F.col("fp").alias("b"), "first"), "first").where(
         near("a", "b") & (F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit((1 << 32) - 1))) == 1)
     )
     found.append(one_each.select("a", "b"))
+    low = F.col("a").bitwiseXOR(F.col("mask").cast("bigint").bitwiseAND(F.lit((1 << 32) - 1))).bitwiseAND(F.lit((1 << 32) - 1))
+    probes = ball.where("full").select("a", "first", F.explode(_flips("second", 1)).alias("mask")).select(
+        "a", F.shiftleft(F.col("first").cast("bigint"), 32).bitwiseOR(low).alias("b")
+    )
+    found.append(probes.join(halves.select(F.col("fp").alias("b")), "b").select("a", "b"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

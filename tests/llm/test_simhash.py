@@ -102,3 +102,23 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert simhash.assign(docs).count() == 0
     assert simhash.deduplicate(docs).count() == 0
+
+
+def test_two_crowds_whose_halves_are_one_flip_apart(spark):
+    rng = random.Random(9)
+    first = rng.getrandbits(32) & ~1
+    low = list({rng.getrandbits(32) for _ in range(3000)})
+    marks = [(first << 32) | x for x in low] + [((first | 1) << 32) | (x ^ 1 << rng.randrange(32)) for x in low[:500]]
+    marks += [((first | 1) << 32) | rng.getrandbits(32) for _ in range(2000)]
+    known = set(marks)
+    want = set()
+    for m in known:
+        for i in range(64):
+            for j in range(i + 1):
+                other = m ^ 1 << i ^ (1 << j if j < i else 0)
+                if other in known and other > m:
+                    want.add((m, other))
+    fps = spark.createDataFrame([(m - (1 << 64) if m >> 63 else m,) for m in known], "fp bigint")
+    unsigned = lambda v: v & (1 << 64) - 1
+    got = {tuple(sorted(map(unsigned, r))) for r in simhash.links(fps).select("a", "b").collect()}
+    assert got == want and len(want) >= 500
