@@ -33,8 +33,6 @@ from noonwatt.llm.common import fresh, small_batches, small_side, stored
 
 #: Trigrams of bytes are hashed to 2 ** BITS counters.
 BITS = 15
-#: Least share of the declaring rows that makes a language: none.
-MIN_SHARE = 0.0
 #: Languages whose models every task holds, 128 KB each.
 MAX_LANGUAGES = 256
 #: Trigrams whose scores are added up at once.
@@ -147,7 +145,10 @@ def host_priors(votes: DataFrame, names: list[str]) -> DataFrame:
     by_suffix = [(F.col(f"s{i}") + PRIOR * root[i]) / (add("s") + PRIOR) for i in range(len(names))]
     suffixes = suffixes.select(F.col("suffix").alias("above"), *[p.alias(f"p{i}") for i, p in enumerate(by_suffix)])
     own = [F.log((F.col(f"n{i}") + PRIOR * F.col(f"p{i}")) / (add("n") + PRIOR)) for i in range(len(names))]
-    return hosts.join(suffixes, F.col("suffix").eqNullSafe(F.col("above"))).select("suffix", "host", F.array(*own).alias("prior"))
+    # All hosts of documents have one suffix: the few suffixes go to the hosts.
+    suffixes = stored(suffixes, "suffixes")
+    near = small_side(suffixes, suffixes.count())
+    return hosts.join(near, F.col("suffix").eqNullSafe(F.col("above"))).select("suffix", "host", F.array(*own).alias("prior"))
 
 
 def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host: str = "source",

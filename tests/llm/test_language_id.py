@@ -33,7 +33,7 @@ def letters(text):
 
 def by_hand(data, with_suffix):
     told = Counter(r[2] for r in data if r[2] is not None)
-    names = sorted(x for x, n in told.items() if n >= li.MIN_SHARE * sum(told.values()))
+    names = sorted(x for x, n in told.items() if n > 0)
     seen = {x: Counter(g for r in data if r[2] == x for g in letters(r[1])) for x in names}
     total = {x: sum(c.values()) + 0.5 * 2**li.BITS for x, c in seen.items()}
     scores = []
@@ -117,3 +117,23 @@ def test_gibberish_and_undeclared_scripts_are_rejected(spark):
     rows += [(3000, "the", None, "b"), (3001, "für", None, "b")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     assert {r.doc_id for r in li.report(docs).collect() if r.rejected} == {1000, 1001, 1002, 1003, 2000}
+
+
+def test_pages_like_their_text_markup_and_host_by_hand(spark, tmp_path):
+    from noonwatt.llm.queries import language_id_of_pages
+
+    data, pages = [], []
+    for i, (_, text, lang, host, suffix, *_) in enumerate(rows()):
+        if text and len(text) > 100_000:
+            continue
+        name = f"{host or 'www'}.example.{suffix}"
+        declared = None if lang is None else f' class="x" lang="{lang}"'
+        page = f"<HTML{declared or ''}><script>var the = 'le la';</script><style>p {{}}</style><p>{text or ''}</p><br/>&nbsp;</HTML>"
+        pages.append((i, f"https://{name.upper()}/{i}?q", page))
+        data.append((i, text or "", lang, name, suffix))
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, language_id_of_pages(spark, str(tmp_path)).collect()))
+    want = sorted(by_hand(data, True))
+    for g, w in zip(got, want, strict=True):
+        assert (g[0], g[1], g[3], g[4]) == (w[0], w[1], w[3], w[4])
+        assert g[2] == pytest.approx(w[2], abs=1e-4)
