@@ -50,6 +50,22 @@ def _swap(spark: SparkSession, fresh: str, path: str) -> None:
     files.delete(at(old), True)
 
 
+def _join(spark: SparkSession, fresh: str, path: str) -> None:
+    """Move the files of the table at ``fresh`` into the one at ``path``. Their names are their
+    own, so none is replaced."""
+    files, at = _filesystem(spark, fresh)
+    root = files.makeQualified(at(fresh)).toString()
+    found = files.listFiles(at(fresh), True)
+    while found.hasNext():
+        file = found.next().getPath()
+        if not file.getName().startswith("part-"):
+            continue
+        to = at(path.rstrip("/") + file.toString()[len(root) :])
+        files.mkdirs(to.getParent())
+        if not files.rename(file, to):
+            raise OSError(f"cannot move {file} to {to}")
+
+
 def load_table(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), replace: bool = True
 ) -> int:
@@ -70,9 +86,7 @@ def load_table(
         if replace or not files.exists(at(path)):
             _swap(spark, fresh, path)
         else:
-            spark.read.schema(df.schema).parquet(fresh).write.mode("append").partitionBy(
-                *partition_by
-            ).parquet(path)
+            _join(spark, fresh, path)
     finally:
         files.delete(at(fresh), True)
     return rows
