@@ -116,7 +116,7 @@ def test_without_one_class_all_others_are_allowed(spark):
     assert u.judge(spark.createDataFrame([], "page_id int, url string"), URL_RULES).count() == 0
 
 
-@pytest.mark.parametrize("piece", [1, 2, 7])
+@pytest.mark.parametrize("piece", [6, 13])
 def test_pieces_change_no_score(spark, monkeypatch, piece):
     rng = random.Random(6)
     urls = ["http://" + "".join(rng.choice("ab/c🙂é") for _ in range(rng.randrange(1, 40))) for _ in range(60)]
