@@ -1,5 +1,6 @@
 """URL rules against the contract's cases, and the two models against counts by hand."""
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -96,6 +97,22 @@ def test_models_like_counts_by_hand(spark, monkeypatch, rows):
         assert abs(got[i] - want(t)) < 2e-6, t
 
 
+@pytest.mark.parametrize("rows", [32_768, 40])
+def test_every_gram_that_occurs_twice_counts(spark, monkeypatch, rows):
+    """Also where there are more of them, and more windows, than are broadcast."""
+    monkeypatch.setattr(u, "MODEL_ROWS", rows)
+    rng = random.Random(14)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 9)))
+    known = [f"http://{word('abé')}.com/{word('abc')}" for _ in range(60)] + [f"http://{word('bc')}.net/es/{word('bcé')}" for _ in range(60)]
+    asked = [f"http://{word('abcé')}.org/{word('abc')}" for _ in range(40)]
+    pages = spark.createDataFrame(list(enumerate(known + asked)), "page_id int, url string")
+    got = {r.page_id: r.score for r in u.judge(pages, URL_RULES).collect()}
+    counted = [t for t in known if hashlib.md5(t.encode()).hexdigest()[0] >= u.HELD_BELOW]
+    want = by_hand([t for t in counted if ".com/" in t], [t for t in counted if ".net/" in t], 2)
+    off = [got[i] - want(t) for i, t in enumerate(known + asked) if t in asked]
+    assert len(off) == 40 and max(off) - min(off) < 5e-6  # the cut-off
+
+
 def test_the_models_tell_classes_apart(spark):
     rng = random.Random(9)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
