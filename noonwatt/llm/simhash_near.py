@@ -6,18 +6,18 @@ fingerprint is wider and cut into more segments: a segment has two bits more tha
 number of fingerprints needs, and there are so many that a pair of just the wanted similarity
 misses all of them in one of twenty cases. Each segment's table is fetched at the
 fingerprint's own value and at every value one flip away (of a pair, only the flips from 0 to 1).
-What is fetched is compared on 64 bits at once and then by the complete distance.
+What is fetched is compared by the complete distance at once: the fingerprints travel whole.
 
 A table is dealt into shards by the leading bits of its values. Flips of the other bits stay in
 the shard, so a fingerprint sends one row to its own shard and one to the shards of its leading
 flips, not one for each of its flips.
 
-Classes need no more than a spanning forest of the links, so a shard passes on just that: of its
-near pairs the closest ones that join what was apart. What leaves a shard is bounded by its
-rows, however large a group of near copies is. Of more than BUCKET fingerprints of one value,
-which only such a group has, not all pairs are compared: one leads, those near it link to it,
-the rest find a leader among themselves; neighbours in the order of their fingerprints are
-compared as well.
+Classes need no more than a spanning forest of the links, so a shard passes on just that. What
+leaves it is bounded by its rows, however large a group of near copies is, and every pair that
+meets and is near stays joined. Of more than BUCKET fingerprints of one value, or of two values
+one flip apart with more pairs than that, what is reached is followed: each fingerprint that is
+joined is compared with those that nothing has reached yet. A group of near copies is so taken
+in a few comparisons of each; only what is not near is compared with all others.
 
 Distances of a fingerprint of B bits estimate the share of differing bits within
 sqrt(0.13 / B), less than two hundredths at the least width of 512 bits; the limit lies one such
@@ -32,6 +32,7 @@ gives no rows. All columns are carried through.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noonwatt.llm.common import fresh, small_batches, small_side, stored
+from noonwatt.llm.common import fresh, small_batches, stored
 from noonwatt.llm.simhash import classes
 
 SHINGLE = 5
@@ -55,13 +56,15 @@ MISSED = 0.05
 BUCKET = 64
 #: Shingles whose bits are counted at once, and pairs that are compared, or held, at once.
 CHUNK, PAIRS = 1 << 14, 1 << 20
-#: Rows that a shard may hold: 32 bytes each.
-SHARD_BITS = 16
+#: Rows that a shard may hold, some 100 bytes each.
+SHARD_BITS = 17
 
 
 @dataclass(frozen=True)
 class Tables:
-    """Segments of ``bits`` bits each, ``leading`` of which name the shard."""
+    """Segments of ``bits`` bits each, ``leading`` of which name the shard. Near pairs differ in
+    ``limit`` bits at most, and in ``sketch_limit`` of the first 64 but for one in some
+    hundreds: an estimate by which no pair is dropped."""
 
     bits: int
     segments: int
@@ -91,7 +94,7 @@ def tables(rows: int, similarity: float = SIMILARITY, missed: float = MISSED) ->
     segments = math.ceil(math.log(missed) / math.log(1 - met))
     whole = 64 * _lanes(bits, segments)
     limit = lambda width, errors: math.floor(width * p + errors * math.sqrt(width * p * (1 - p)))
-    return Tables(bits, segments, max(4, size - SHARD_BITS), limit(whole, 1), limit(64, 3))
+    return Tables(bits, segments, max(3, size - SHARD_BITS), limit(whole, 1), limit(64, 3))
 
 
 def _spread(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -126,16 +129,15 @@ def _values(prints: np.ndarray, layout: Tables) -> Iterator[np.ndarray]:
 
 
 def _table_rows(nodes: DataFrame, layout: Tables) -> DataFrame:
-    """(shard, value, node, sketch, home): each fingerprint in its own shard of every segment,
+    """(shard, value, node, fp, home): each fingerprint in its own shard of every segment,
     and in the shards one leading flip away."""
     low = layout.bits - layout.leading
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column(0).to_numpy()
-            prints = batch.column(1).flatten().to_numpy().reshape(len(node), layout.lanes)
-            sketch = np.ascontiguousarray(prints[:, 0])
-            for s, value in enumerate(_values(np.ascontiguousarray(prints), layout)):
+            prints = np.ascontiguousarray(batch.column(1).flatten().to_numpy().reshape(len(node), layout.lanes))
+            for s, value in enumerate(_values(prints, layout)):
                 parts = [(value, np.arange(len(node)), True)]
                 for i in range(low, layout.bits):
                     at = np.flatnonzero(value >> i & 1 == 0)
@@ -143,70 +145,117 @@ def _table_rows(nodes: DataFrame, layout: Tables) -> DataFrame:
                 made = np.concatenate([p[0] for p in parts])
                 at = np.concatenate([p[1] for p in parts])
                 home = np.concatenate([np.full(len(p[1]), p[2]) for p in parts])
+                offsets = np.arange(0, (len(at) + 1) * layout.lanes, layout.lanes, dtype=np.int32)
                 yield pa.record_batch(
                     [pa.array(made >> low | np.int64(s) << layout.leading), pa.array(made), pa.array(node[at]),
-                     pa.array(sketch[at]), pa.array(home)],
-                    names=["shard", "value", "node", "sketch", "home"],
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(prints[at].ravel())), pa.array(home)],
+                    names=["shard", "value", "node", "fp", "home"],
                 )
 
-    return nodes.select("node", "fp").mapInArrow(deal, "shard bigint, value bigint, node bigint, sketch bigint, home boolean")
+    return nodes.select("node", "fp").mapInArrow(deal, "shard bigint, value bigint, node bigint, fp array<bigint>, home boolean")
 
 
 def _near(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)) <= limit
+    """Which rows of fingerprints differ in ``limit`` bits at most."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=1, dtype=np.int64) <= limit
+
+
+def _near_at(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
+    """The same of the rows ``i`` of a and ``j`` of b, word by word to hold less."""
+    apart = np.zeros(len(i), np.int64)
+    for lane in range(a.shape[1]):
+        apart += np.bitwise_count((a[i, lane] ^ b[j, lane]).view(np.uint64))
+    return apart <= limit
 
 
 def _met(asking: tuple[np.ndarray, np.ndarray], wanted: np.ndarray, home: tuple[np.ndarray, np.ndarray, np.ndarray],
          limit: int, bucket: int) -> Iterator[np.ndarray]:
-    """Pairs of those that ask for a value and those at home there; of a crowd, its leader."""
-    values, nodes, sketches = home
+    """Near pairs of those that ask for a value and those at home there; where these are many,
+    enough of them to join what all of them join."""
+    order = np.argsort(wanted, kind="stable")
+    wanted, asks, prints = wanted[order], asking[0][order], asking[1][order]
+    values, nodes, at_home = home
     left = np.searchsorted(values, wanted, "left")
     n = np.searchsorted(values, wanted, "right") - left
-    n = np.where(n > bucket, 1, n)
+    starts = np.flatnonzero(np.concatenate([[True], wanted[1:] != wanted[:-1]])) if len(wanted) else np.zeros(0, np.int64)
+    sizes = np.diff(np.concatenate([starts, [len(wanted)]]))
+    many = sizes * n[starts] > bucket * bucket
+    for a, size in zip(starts[many], sizes[many]):
+        b, m = left[a], n[a]
+        for i, j in _across(prints[a : a + size], at_home[b : b + m], limit):
+            yield np.stack([asks[a + i], nodes[b + j]])
+    n[np.repeat(many, sizes)] = 0
     some = np.flatnonzero(n)
     edges = np.searchsorted(np.cumsum(n[some]), np.arange(0, n.sum() + PAIRS, PAIRS))
     for a, b in zip(edges[:-1], edges[1:]):
         at = some[a : b + 1] if b < len(some) else some[a:]
         who = np.repeat(at, n[at])
         other = np.arange(len(who)) - np.repeat(np.cumsum(n[at]) - n[at], n[at]) + left[who]
-        good = _near(asking[1][who], sketches[other], limit)
-        yield np.stack([asking[0][who[good]], nodes[other[good]]])
-
-
-def _crowd(nodes: np.ndarray, sketches: np.ndarray, limit: int) -> Iterator[np.ndarray]:
-    """Links of many fingerprints of one value."""
-    order = np.argsort(sketches)
-    nodes, sketches = nodes[order], sketches[order]
-    good = _near(sketches[1:], sketches[:-1], limit)
-    yield np.stack([nodes[:-1][good], nodes[1:][good]])
-    while len(nodes):
-        good = _near(sketches, sketches[:1], limit)
-        yield np.stack([np.full(good.sum(), nodes[0]), nodes[good]])
-        nodes, sketches = nodes[~good], sketches[~good]
-
-
-def shard_pairs(value: np.ndarray, node: np.ndarray, sketch: np.ndarray, home: np.ndarray, layout: Tables,
+        good = _near_at(prints, who, at_home, other, limit)
+        yield np.stack([asks[who[good]], nodes[other[good]]])
+
+
+def _across(a: np.ndarray, b: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs (rows of a, rows of b) that join all that near pairs of a row of a and one of b join."""
+    sides, left = (a, b), [np.arange(len(a)), np.arange(len(b))]
+    rest = [a, b]
+    while len(left[0]) and len(left[1]):
+        reached = deque([(0, left[0][0])])
+        left[0], rest[0] = left[0][1:], rest[0][1:]
+        while reached and (len(left[0]) or len(left[1])):
+            side, row = reached.popleft()
+            other = 1 - side
+            if not len(left[other]):
+                continue
+            good = _near(rest[other], sides[side][row], limit)
+            if good.any():
+                new = left[other][good]
+                one = np.full(len(new), row)
+                yield (one, new) if side == 0 else (new, one)
+                reached.extend((other, x) for x in new)
+                left[other], rest[other] = left[other][~good], rest[other][~good]
+
+
+def _crowd(nodes: np.ndarray, prints: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """Near pairs that join all that the near pairs of these fingerprints join."""
+    left, rest = np.arange(len(nodes)), prints
+    while len(left):
+        reached = deque([left[0]])
+        left, rest = left[1:], rest[1:]
+        while reached and len(left):
+            row = reached.popleft()
+            good = _near(rest, prints[row], limit)
+            if good.any():
+                new = left[good]
+                yield np.stack([np.full(len(new), nodes[row]), nodes[new]])
+                reached.extend(new)
+                left, rest = left[~good], rest[~good]
+
+
+def shard_pairs(value: np.ndarray, node: np.ndarray, prints: np.ndarray, home: np.ndarray, layout: Tables,
                 bucket: int = BUCKET) -> Iterator[np.ndarray]:
-    """Pairs of nodes of one shard whose values are at most one flip apart, near on 64 bits."""
+    """Near pairs of nodes of one shard whose values are at most one flip apart: all of them, or
+    of crowds enough to join the same nodes. ``prints`` has a row of words for each node."""
+    prints = prints.reshape(len(node), -1)
     order = np.lexsort((node[home], value[home]))
-    here = tuple(x[home][order] for x in (value, node, sketch))
-    values, nodes, sketches = here
-    limit = layout.sketch_limit
+    here = tuple(x[home][order] for x in (value, node, prints))
+    values, nodes, at_home = here
+    limit = layout.limit
     # Equal values.
     starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
     sizes = np.diff(np.concatenate([starts, [len(values)]]))
     size = np.repeat(sizes, sizes)
     for k in range(1, int(min(sizes.max(initial=0), bucket))):
         at = np.flatnonzero((values[k:] == values[:-k]) & (size[k:] <= bucket))
-        good = _near(sketches[at], sketches[at + k], limit)
+        good = _near_at(at_home, at, at_home, at + k, limit)
         yield np.stack([nodes[at[good]], nodes[at[good] + k]])
     for start, n in zip(starts[sizes > bucket], sizes[sizes > bucket]):
-        yield from _crowd(nodes[start : start + n], sketches[start : start + n], limit)
+        yield from _crowd(nodes[start : start + n], at_home[start : start + n], limit)
     # One flip of a bit that does not change the shard, and one that has brought a row here.
     for i in range(layout.bits - layout.leading):
         at = np.flatnonzero(values >> i & 1 == 0)
-        yield from _met((nodes[at], sketches[at]), values[at] | np.int64(1) << i, here, limit, bucket)
-    yield from _met((node[~home], sketch[~home]), value[~home], here, limit, bucket)
+        yield from _met((nodes[at], at_home[at]), values[at] | np.int64(1) << i, here, limit, bucket)
+    yield from _met((node[~home], prints[~home]), value[~home], here, limit, bucket)
 
 
 def forest(pairs: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,24 +289,18 @@ def forest(pairs: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndar
         tree = onto[tree]
 
 
-def shard_forest(value: np.ndarray, node: np.ndarray, sketch: np.ndarray, home: np.ndarray, layout: Tables,
+def shard_forest(value: np.ndarray, node: np.ndarray, prints: np.ndarray, home: np.ndarray, layout: Tables,
                  bucket: int = BUCKET) -> np.ndarray:
-    """The forest of a shard's near pairs, gathered a bounded number at a time."""
-    nodes, first = np.unique(node, return_index=True)
-    sketches = sketch[first]
+    """A forest of a shard's near pairs, gathered a bounded number at a time. All pairs are
+    links already, so any forest joins the same nodes."""
     held, waiting, n = np.zeros((2, 0), np.int64), [], 0
 
     def joined() -> np.ndarray:
         every = np.concatenate([held, *waiting], axis=1)
-        every = every[:, every[0] != every[1]]
-        if not every.shape[1]:
-            return every
-        every = np.sort(every, axis=0)
-        at = np.searchsorted(nodes, every)
-        apart = np.bitwise_count((sketches[at[0]] ^ sketches[at[1]]).view(np.uint64))
-        return forest(every, apart)[0]
-
-    for found in shard_pairs(value, node, sketch, home, layout, bucket):
+        every = np.sort(every[:, every[0] != every[1]], axis=0)
+        return forest(every, np.zeros(every.shape[1], np.int64))[0] if every.shape[1] else every
+
+    for found in shard_pairs(value, node, prints, home, layout, bucket):
         waiting.append(found)
         n += found.shape[1]
         if n > PAIRS:
@@ -265,8 +308,8 @@ def shard_forest(value: np.ndarray, node: np.ndarray, sketch: np.ndarray, home:
     return joined()
 
 
-def _pairs(rows: DataFrame, layout: Tables, bucket: int) -> DataFrame:
-    """(a, b), a < b: the pairs of the shards' forests."""
+def links(nodes: DataFrame, layout: Tables, bucket: int = BUCKET) -> DataFrame:
+    """(a, b), a < b: the pairs of the shards' forests. ``nodes``: (node, fp), distinct fingerprints."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, waiting = None, []
@@ -278,7 +321,8 @@ def _pairs(rows: DataFrame, layout: Tables, bucket: int) -> DataFrame:
                 yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            shard, *columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            shard, value, node, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "value", "node", "home"))
+            columns = value, node, batch.column("fp").flatten().to_numpy().reshape(len(node), -1), home
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if a == b:
@@ -292,22 +336,10 @@ def _pairs(rows: DataFrame, layout: Tables, bucket: int) -> DataFrame:
             yield from done()
 
     n = layout.segments << layout.leading
-    dealt = rows.repartition(n, "shard").sortWithinPartitions("shard")
+    dealt = _table_rows(nodes, layout).repartition(n, "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(match, "a bigint, b bigint").distinct()
 
 
-def links(nodes: DataFrame, layout: Tables, rows: int, bucket: int = BUCKET) -> DataFrame:
-    """(a, b) of nodes within the complete distance. ``nodes``: (node, fp), distinct fingerprints."""
-    pairs = stored(_pairs(_table_rows(nodes, layout), layout, bucket), "pairs")
-    prints = small_side(nodes, rows)
-    both = pairs.join(prints.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(
-        prints.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b"
-    )
-    bits = F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    distance = F.aggregate(bits, F.lit(0), lambda total, n: total + n)
-    return both.where(distance <= layout.limit).select("a", "b")
-
-
 def marked(docs: DataFrame, layout: Tables, text: str, doc_id: str, size: int) -> DataFrame:
     """(doc_id, k1, k2, fp) of every row; the keys are a 128-bit digest of id and text."""
     small_batches(docs.sparkSession)
@@ -336,7 +368,7 @@ def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: in
     layout = tables(rows, similarity, missed)
     prints = stored(marked(docs, layout, text, doc_id, size), "marked")
     nodes = stored(prints.select("fp").distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
-    linked = stored(classes(links(nodes, layout, rows, bucket)), "classes")
+    linked = stored(classes(links(nodes, layout, bucket)), "classes")
     named = nodes.join(linked, "node", "left").select("fp", F.coalesce("root", "node").alias("node"))
     return prints.join(named, "fp").drop("fp")
 

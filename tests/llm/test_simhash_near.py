@@ -171,6 +171,39 @@ def test_shards_meet_every_pair_one_flip_apart(bucket):
         assert _classes(found, len(prints)) == _classes(want, len(prints))
 
 
+@pytest.mark.parametrize("bucket", [1, 4, 1000])
+def test_shards_lose_no_link_of_crowds(bucket):
+    """Crowds of values one flip apart, most of whose members are not near: the classes of all
+    pairs that meet and whose complete distance is within the limit, by hand."""
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        layout = near.Tables(bits=12, segments=1, leading=0, limit=30, sketch_limit=8)
+        # Chains of steps of 25 of 128 bits, all in the second word or all in the first one; 12 bits are the value.
+        steps = np.zeros((40, 2), np.uint64)
+        for i in range(40):
+            lane = i % 2
+            steps[i, lane] = sum(1 << int(b) for b in rng.choice(np.arange(12, 64), 25, replace=False))
+        prints = rng.integers(0, 1 << 62, (8, 1, 2)).astype(np.uint64) ^ np.bitwise_xor.accumulate(steps)[None]
+        prints = prints.reshape(-1, 2)
+        prints[:, 0] = prints[:, 0] >> np.uint64(12) << np.uint64(12) | rng.choice([0, 1, 2, 64], len(prints)).astype(np.uint64)
+        prints = rng.permutation(prints).view(np.int64)
+        value = prints[:, 0] & 4095
+        node, home = np.arange(len(prints)), rng.random(len(prints)) < 0.8
+        want = []
+        for i in range(len(prints)):
+            for j in range(i):
+                flips = int(value[i] ^ value[j]).bit_count()
+                met = flips <= 1 and home[i] and home[j] or flips == 0 and home[i] != home[j]
+                apart = sum(int(x).bit_count() for x in (prints[i] ^ prints[j]).view(np.uint64))
+                if met and apart <= layout.limit:
+                    want.append((j, i))
+        assert len(want) > 20
+        edges = near.shard_forest(value, node, prints, home, layout, bucket)
+        edges = {(int(a), int(b)) for a, b in edges.T}
+        assert edges <= set(want)
+        assert _classes(edges, len(prints)) == _classes(want, len(prints))
+
+
 def _classes(pairs, n):
     root = list(range(n))
 
