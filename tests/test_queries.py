@@ -36,6 +36,11 @@ def rows(names, data):
     return sorted(tuple(normal(r[i]) for i in order) for r in data)
 
 
+@pytest.mark.parametrize("name", ["audit_horizon", "audit_gate_precedes"])
+def test_audits_place_hours_on_the_calendar_not_raw_rows(spark, name):
+    assert not [f for f in QUERIES[name](spark, SF).inputFiles() if "lineitem" in f]
+
+
 def test_the_whole_inventory_is_registered():
     keys = re.findall(r"^\| [SPJAWTUFQGMBD]\d+ `([a-z0-9_]+)`", SURVEY, re.M)
     assert len(keys) == 156

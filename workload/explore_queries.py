@@ -736,6 +736,12 @@ def _issued(t):
     )
 
 
+def _hours_stored(t):
+    """The hours as a table: an audit's filter would else be pushed below the grouping that
+    makes them, and place every raw row on the calendar."""
+    return t.stored("shipping_hours")
+
+
 @register(
     "audit_gate_precedes",
     "SELECT zone, utc_timestamp, gate_utc, horizon_hours FROM late WHERE gate_utc >= utc_timestamp",
@@ -745,7 +751,7 @@ def _issued(t):
 )
 def audit_gate_precedes(t):
     """With the gate a day too late: every hour before local noon must be caught."""
-    late = t.shipping_hours.withColumn("gate_utc", cal.gate(cal.to_market(TS)) + cal.hours(24))
+    late = _hours_stored(t).withColumn("gate_utc", cal.gate(cal.to_market(TS)) + cal.hours(24))
     late = late.withColumn("horizon_hours", cal.hours_between("gate_utc", TS))
     return quality.gate_not_before_target(late)
 
@@ -761,7 +767,7 @@ def audit_gate_precedes(t):
 )
 def audit_horizon(t):
     """Issue times pass; horizons counted an hour too long fail at the day's end."""
-    gated = t.shipping_hours.withColumn("gate_utc", cal.gate(cal.to_market(TS)))
+    gated = _hours_stored(t).withColumn("gate_utc", cal.gate(cal.to_market(TS)))
     shifted = gated.withColumn("horizon_hours", cal.hours_between("gate_utc", TS) + 1)
     return quality.horizon_out_of_range(_issued(t)).unionByName(
         quality.horizon_out_of_range(shifted)
