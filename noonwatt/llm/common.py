@@ -13,6 +13,7 @@ from noonwatt.sources.tables import write_table
 #: Rows of a side that may be broadcast once they are counted. A row is at most
 #: some hundred bytes, so the side stays under a few tens of MB.
 BROADCAST_ROWS = 200_000
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -51,10 +52,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, lean: bool = False) -> DataFrame:
     """Written to the cluster's shared folder and read back: evaluated once, and
-    its lineage ends at files that outlive executors."""
-    return write_table(df, df.sparkSession, name)
+    its lineage ends at files that outlive executors. ``lean`` removes the shuffle files of
+    the write as soon as it has ended; Spark else keeps them until its driver collects garbage."""
+    if not lean:
+        return write_table(df, df.sparkSession, name)
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return write_table(df, df.sparkSession, name)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:

@@ -9,6 +9,8 @@ The vocabulary is every word that occurs twice, and the model keeps every bigram
 twice, so both grow with the input. The most frequent ones, VOCABULARY words and BIGRAMS
 bigrams at most, are held by every task; the others stay tables, and what documents have of
 them is looked up by shuffle joins. A key that is not held is rare, so no key is hot there.
+Bigrams without a value, which are most, are screened out before by a map of fixed size. Each
+step's table is written and the shuffle files behind it go, so disk holds one step's at a time.
 All other words are one unknown word; other bigrams fall back to single words.
 
 Defined results: words are runs of characters other than white space, with A-Z lower-cased;
@@ -40,6 +42,8 @@ LONGEST = 64
 PRIOR = 5.0
 #: Distinct words or bigrams that a task holds before it passes their sums on.
 HELD = 300_000
+#: Binary logarithm of the bits of the map of keys that are not held, and of its parts.
+MAP_BITS, BLOCK_BITS = 27, 21
 #: Ids of the unknown word and of the beginning of a text.
 UNKNOWN, BEGIN = 0, 1
 
@@ -107,7 +111,7 @@ class Vocabulary:
 
 def vocabulary(docs: DataFrame, size: int | None = None) -> Vocabulary:
     """All words but those that occur once; given ``size``, the most frequent ones of them."""
-    counted = stored(word_counts(docs).where("n > 1"), "words")
+    counted = stored(word_counts(docs).where("n > 1"), "words", lean=True)
     if size is not None:
         return Vocabulary(_ids(most_frequent(counted, size)))
     least = least_step(counted, VOCABULARY)
@@ -156,6 +160,7 @@ def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
             .agg(F.collect_set(F.struct("word", "id")).alias("found"))
             .select("key", F.col("found.word").alias("found"), F.col("found.id").alias("found_id"))
         )
+        looked = stored(looked, "looked", lean=True)
         met = keyed.join(looked, "key", "left").select(*rows.columns, "found", "found_id")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +181,7 @@ def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
     done = met.mapInArrow(encode, f"ids array<int>{kinds}")
-    return stored(done.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    return stored(done.withColumn("row", F.monotonically_increasing_id()), "encoded", lean=True)
 
 
 def sequences(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,7 +269,7 @@ def fit(coded: DataFrame, vocab: Vocabulary, most: int) -> tuple[Models, DataFra
     """What tasks hold of the models, and the values (key, v0, v1) of all other words, contexts
     and bigrams, or None where there are none."""
     size = len(vocab.held) + 2
-    counted = stored(gram_counts(coded).where("gram < 0 OR n > 1"), "grams")
+    counted = stored(gram_counts(coded).where("gram < 0 OR n > 1"), "grams", lean=True)
     single = counted.where("gram < 0").select((-1 - F.col("gram")).alias("word"), "n", "target")
     every = single.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
     whole = [n + size + vocab.n_rest - 1 for n in every]
@@ -280,7 +285,7 @@ def fit(coded: DataFrame, vocab: Vocabulary, most: int) -> tuple[Models, DataFra
     far = bigram.where(F.col("word") >= size).join(second.where(F.col("word") >= size), "word")
     added = lambda seen, w, i: -F.log(1 + F.col(seen) / (PRIOR * (F.col(w) + 1) / whole[i]))
     pairs = (near.unionByName(far) if vocab.n_rest else near).select("gram", "n", added("n", "w0", 0).alias("v0"), added("target", "w1", 1).alias("v1"))
-    pairs = stored(pairs, "pairs")
+    pairs = stored(pairs, "pairs", lean=True)
     top = most_frequent(pairs, most).toArrow().sort_by("gram")
     held = Models(
         top["gram"].to_numpy().astype(np.int64),
@@ -300,6 +305,45 @@ def fit(coded: DataFrame, vocab: Vocabulary, most: int) -> tuple[Models, DataFra
     return held, rest
 
 
+def _places(key: np.ndarray) -> np.ndarray:
+    """The bit of each key in the map of keys that have a value."""
+    x = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def valued_map(keyed: DataFrame) -> np.ndarray:
+    """A map of bits with that of every ``key`` set, of the same size whatever the input: what is
+    not in it has no value. A fuller map lets more through, which the join then drops."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy())
+            yield pa.record_batch([pa.array((at >> BLOCK_BITS).astype(np.int32)), pa.array((at & (1 << BLOCK_BITS) - 1).astype(np.int32))], names=["block", "at"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, at = (c.to_numpy() for c in batch.columns)
+            for b in np.unique(block).tolist():
+                blocks.setdefault(b, np.zeros(1 << BLOCK_BITS, bool))[at[block == b]] = True
+        for b, bits in blocks.items():
+            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], names=["block", "bits"])
+
+    dealt = keyed.select("key").mapInArrow(place, "block int, at int").repartition(1 << MAP_BITS - BLOCK_BITS, "block")
+    filled = dealt.sortWithinPartitions("block").mapInArrow(fill, "block int, bits binary").toArrow()
+    out = np.zeros((1 << MAP_BITS - BLOCK_BITS, 1 << BLOCK_BITS - 3), np.uint8)
+    for block, bits in zip(filled["block"].to_pylist(), filled["bits"], strict=True):
+        out[block] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return out.ravel()
+
+
+def has_value(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where a key may have a value; nowhere else it has one."""
+    at = _places(key)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_words, target_loss, background_loss, score.
 
@@ -315,6 +359,7 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str =
     coded = encoded(flagged, vocab)
     held, rest = fit(coded, vocab, BIGRAMS)
     shared = docs.sparkSession.sparkContext.broadcast(held)
+    known = docs.sparkSession.sparkContext.broadcast(valued_map(rest)) if rest is not None else None
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Number and id of a text, its words, and the sums of the losses that are held."""
@@ -331,7 +376,7 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str =
                 )
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The keys of all that is not held, once for each time it occurs."""
+        """The keys of all that is not held but has a value, once for each time it occurs."""
         for batch in batches:
             for part in slices(batch, 200):
                 word, before, n = sequences(part.column(0))
@@ -339,7 +384,8 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str =
                 _, away = shared.value.losses(word, before)
                 rare, after = word >= len(shared.value.words), before >= len(shared.value.contexts)
                 key = np.concatenate(((before << 32 | word)[away], -1 - word[rare], CONTEXT - before[after]))
-                yield pa.record_batch([pa.array(np.concatenate((row[away], row[rare], row[after]))), pa.array(key)], names=["row", "key"])
+                good = has_value(known.value, key)
+                yield pa.record_batch([pa.array(np.concatenate((row[away], row[rare], row[after]))[good]), pa.array(key[good])], names=["row", "key"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = coded.select("ids", "row", "doc_id").mapInArrow(judge, f"row bigint, doc_id {kind}, n_words bigint, s0 double, s1 double")
