@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -107,3 +108,37 @@ def test_more_equally_frequent_words_than_tasks_hold_are_all_known(spark):
     for r in m.score(docs, spark.createDataFrame([], "doc_id bigint")).collect():
         assert r.n_words == 70_000
         assert r.background_loss == pytest.approx(-math.log((2 + m.PRIOR * p) / (2 + m.PRIOR)))
+
+
+def written(spark):
+    """Sizes of the shuffle files and of the tables written between steps."""
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = [f for d in local for f in Path(d.getPath()).rglob("shuffle_*.data")]
+    files += Path(spark.conf.get("spark.checkpoint.dir")).rglob("*.parquet")
+    return {f: f.stat().st_size for f in files if f.is_file()}
+
+
+def test_rare_words_and_bigrams_take_three_times_the_texts_at_most(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"{rng.randrange(150_000):05x}" for _ in range(1500)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).cache()
+    targets = spark.createDataFrame([(i,) for i in range(0, 400, 3)], "doc_id bigint")
+    docs.count(), targets.count()
+    before = written(spark)
+    assert m.score(docs, targets).agg({"n_words": "sum"}).first()[0] == 600_000
+    taken = sum(size for f, size in written(spark).items() if f not in before)
+    docs.unpersist()
+    assert taken < 3 * sum(map(len, texts))
+
+
+def test_equal_sums_whatever_block_a_word_is_in(spark, monkeypatch):
+    rows = [(i, f"a b{i % 7} c" if i % 5 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    targets = spark.createDataFrame([(i,) for i in range(20)], "doc_id bigint")
+    found = []
+    for held in (3, 1 << 20):
+        monkeypatch.setattr(m, "HELD", held)
+        found.append({r.doc_id: tuple(r)[1:] for r in m.score(docs, targets).collect()})
+    assert found[0].keys() == found[1].keys() == set(range(60))
+    for i, values in found[0].items():
+        assert values == pytest.approx(found[1][i]) if rows[i][1] else values == found[1][i] == (0, None, None, 0.0)
