@@ -143,7 +143,7 @@ def query(spark: SparkSession, sql: str, **parameters) -> DataFrame:
     """Run SQL with named parameters; values never become SQL text."""
     for name, value in parameters.items():
         if not isinstance(value, _PARAMETER_TYPES):
-            raise TypeError(f"parameter {name!r} is of {type(value)}, which no query takes")
+            raise TypeError(f"parameter {name!r} is of the unsupported type {type(value).__name__}")
     return spark.sql(sql, args=parameters)
 
 
