@@ -10,10 +10,11 @@ twice, so both grow with the input. All other words are one unknown word; other
 back to single words.
 
 Texts are read once and cut into blocks: documents as lists of word numbers that only hold in
-their block, written. A block passes each of its distinct words on once, with counts; a shard
-of words adds them up and answers every block with ids and totals. Then each distinct bigram
-goes to its shard and back in the same way. An answer follows the order of what was asked, so it
-carries counts alone. No task holds a model, and no word or bigram is hot: a block names it once.
+their block, written. Target ids meet the blocks' ids, not the texts. A block passes each of its
+distinct words on once, with counts; a shard of words adds them up and answers every block with
+ids and totals. Then each distinct bigram goes to its shard and back in the same way. An answer
+follows the order of what was asked, so it carries counts alone. No task holds a model, and no
+word or bigram is hot: a block names it once.
 
 Defined results: words are runs of characters other than white space, with A-Z lower-cased;
 words of more than LONGEST bytes are unknown. A null, empty or blank text has no words, null
@@ -43,6 +44,8 @@ HELD = 1_000_000
 VOCABULARY = 1 << 18
 #: Bigrams that a shard may expect.
 BIGRAMS = 1 << 21
+#: Places of target documents that are broadcast, 4 bytes each; more are joined by block.
+MARKS = 1 << 23
 LONGEST = 64
 #: Words that the single-word model contributes to a bigram's context, as if counted.
 PRIOR = 5.0
@@ -109,46 +112,53 @@ class _Numbers(dict):
         return n
 
 
-def blocks(flagged: DataFrame) -> DataFrame:
-    """Rows of (doc_id, text, is_target) in blocks, written: the documents' ids, lengths, marks
-    and word numbers; the distinct words by number, with their counts ``n`` over all documents
-    and ``t`` over the targets; and sums over the block."""
+def blocks(rows: DataFrame) -> DataFrame:
+    """Rows of (doc_id, text) in blocks, written: the documents' ids, lengths and word numbers;
+    the distinct words by number, with their counts ``n``."""
     most_words, most_distinct = HELD, VOCABULARY
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ids, marks, numbers, held = _Numbers(), [], [], [], 0
+        known, ids, numbers, held = _Numbers(), [], [], 0
         for batch in batches:
-            for doc_id, text, mark in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            for doc_id, text in zip(*batch.columns, strict=True):
                 split = words(text.as_py())
                 numbers.append(np.fromiter(map(known.__getitem__, split), np.uint32, len(split)))
                 ids.append(doc_id)
-                marks.append(mark.as_py())
                 held += len(split) + 1
                 if held >= most_words or len(known) >= most_distinct:
-                    yield block(known, ids, marks, numbers)
-                    known, ids, marks, numbers, held = _Numbers(), [], [], [], 0
+                    yield block(known, ids, numbers)
+                    known, ids, numbers, held = _Numbers(), [], [], 0
         if ids:
-            yield block(known, ids, marks, numbers)
+            yield block(known, ids, numbers)
 
-    def block(known: _Numbers, ids: list[pa.Scalar], marks: list[bool], numbers: list[np.ndarray]) -> pa.RecordBatch:
-        lengths, marks, flat = np.array([len(x) for x in numbers], np.int64), np.array(marks, bool), np.concatenate(numbers)
+    def block(known: _Numbers, ids: list[pa.Scalar], numbers: list[np.ndarray]) -> pa.RecordBatch:
+        lengths, flat = np.array([len(x) for x in numbers], np.int64), np.concatenate(numbers)
         n = np.bincount(flat, minlength=len(known) + 1)
-        t = np.bincount(flat[np.repeat(marks, lengths)], minlength=len(known) + 1)
-        some = lengths > 0
-        row = {
-            "lengths": pack(lengths), "marks": pack(marks), "numbers": pack(flat),
-            "words": _joined(known), "n": pack(n[1:]), "t": pack(t[1:]),
-            "n_distinct": len(known), "n_words": len(flat), "n_target": int(lengths[marks].sum()),
-            "n_texts": int(some.sum()), "n_target_texts": int((some & marks).sum()),
-        }
-        made = [pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in row.values()]
-        return pa.record_batch([pa.array([ids], pa.list_(ids[0].type)), *made], names=["ids", *row])
-
-    kind = flagged.schema["doc_id"].dataType.simpleString()
-    names = [*(f"{c} binary" for c in ("lengths", "marks", "numbers", "words", "n", "t")),
-             *(f"{c} bigint" for c in ("n_distinct", "n_words", "n_target", "n_texts", "n_target_texts"))]
-    done = flagged.select("doc_id", "text", "is_target").mapInArrow(cut, f"ids array<{kind}>, {', '.join(names)}")
-    return stored(done.withColumn("block", F.monotonically_increasing_id()), "blocks")
+        row = pack(lengths), pack(flat), _joined(known), pack(n[1:]), len(known)
+        return pa.record_batch([pa.array([ids], pa.list_(ids[0].type)), *(pa.array([v]) for v in row)], names=names)
+
+    names = ["ids", "lengths", "numbers", "words", "n", "n_distinct"]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"ids array<{kind}>, lengths binary, numbers binary, words binary, n binary, n_distinct bigint"
+    return stored(rows.select("doc_id", "text").mapInArrow(cut, schema).withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+
+def marked(cut: DataFrame, targets: DataFrame) -> DataFrame:
+    """The blocks with the places of their target documents, those whose id is in ``targets``
+    (target_id). Only ids and places are shuffled."""
+    named = cut.select("block", F.posexplode("ids").alias("at", "doc_id"))
+    met = named.join(small_side(targets, targets.count()), F.col("doc_id") == F.col("target_id"), "left_semi")
+    places = stored(met.groupBy("block").agg(F.collect_list("at").alias("targets")), "targets")
+    total = places.agg(F.coalesce(F.sum(F.size("targets")), F.lit(0))).first()[0]
+    return cut.join(F.broadcast(places) if total <= MARKS else places, "block", "left")
+
+
+def _marks(targets: pa.ListScalar, lengths: np.ndarray) -> np.ndarray:
+    """Whether each document is a target."""
+    out = np.zeros(len(lengths), bool)
+    if targets.is_valid:
+        out[targets.values.to_numpy(zero_copy_only=False)] = True
+    return out
 
 
 def _places(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -165,8 +175,9 @@ ANSWER = "block bigint, shard bigint, at binary, id binary, n binary, t binary,
 
 
 def vocabulary(cut: DataFrame, size: int | None = None) -> DataFrame:
-    """Ids from 2 and counts of all words but those that occur once, as answers to the blocks,
-    written; given ``size``, of the most frequent ones of them."""
+    """Ids from 2 and counts of all words but those that occur once, as answers to the marked blocks,
+    written; given ``size``, of the most frequent ones of them. ``n`` counts over all documents,
+    ``t`` over the targets."""
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,8 +194,10 @@ def vocabulary(cut: DataFrame, size: int | None = None) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, packed, *counts in zip(*batch.columns, strict=True):
-                met, (n, t) = np.array(_split(packed), object), map(unpack, counts)
+            for block, packed, n, lengths, numbers, targets in zip(*batch.columns, strict=True):
+                met, n, lengths = np.array(_split(packed), object), unpack(n), unpack(lengths)
+                of_targets = unpack(numbers, np.uint32)[np.repeat(_marks(targets, lengths), lengths)]
+                t = np.bincount(of_targets, minlength=len(met) + 1)[1:]
                 shard = np.fromiter((xxhash.xxh64_intdigest(w) % shards for w in met), np.int64, len(met))
                 for s, at in _places(shard):
                     row = block.as_py(), s, pack(at + 1), _joined(met[at]), pack(n[at]), pack(t[at])
@@ -215,7 +228,7 @@ def vocabulary(cut: DataFrame, size: int | None = None) -> DataFrame:
             out.append((block, shard, pack(unpack(at)[here]), pack(ids[w]), pack(n[w]), pack(t[w]), *map(int, sums)))
         return _answers(out)
 
-    asked = cut.select("block", "words", "n", "t").mapInArrow(ask, "block bigint, shard bigint, at binary, words binary, n binary, t binary")
+    asked = cut.select("block", "words", "n", "lengths", "numbers", "targets").mapInArrow(ask, "block bigint, shard bigint, at binary, words binary, n binary, t binary")
     return stored(asked.groupBy("shard").applyInArrow(answer, ANSWER), "known")
 
 
@@ -236,9 +249,20 @@ class Totals:
 
 
 def totals(cut: DataFrame, known: DataFrame) -> Totals:
-    whole = cut.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_target", "n_texts", "n_target_texts")]).first()
+    """Of marked blocks and their vocabulary."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lengths, targets in zip(*batch.columns, strict=True):
+                lengths = unpack(lengths)
+                sides = lengths, lengths[_marks(targets, lengths)]
+                sums = [x for n in sides for x in (int(n.sum()), int((n > 0).sum()))]
+                yield pa.record_batch([pa.array([x]) for x in sums], names=["w0", "d0", "w1", "d1"])
+
+    added = cut.select("lengths", "targets").mapInArrow(add, "w0 bigint, d0 bigint, w1 bigint, d1 bigint")
+    w0, d0, w1, d1 = added.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in added.columns]).first()
     n_known, n, t = known.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("first", "n_own", "t_own")]).first()
-    return Totals((whole[0], whole[1]), (whole[0] - n, whole[1] - t), (whole[2], whole[3]), n_known)
+    return Totals((w0, w1), (w0 - n, w1 - t), (d0, d1), n_known)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -273,7 +297,8 @@ class Block:
 
     @staticmethod
     def read(row: pa.Table, answers: list[dict], whole: Totals) -> Block:
-        lengths, marks = unpack(row["lengths"][0]), unpack(row["marks"][0], np.bool_)
+        lengths = unpack(row["lengths"][0])
+        marks = _marks(row["targets"][0], lengths)
         word = unpack(row["numbers"][0], np.uint32).astype(np.int64)
         begin = row["n_distinct"][0].as_py() + 1
         ids, counts = np.full(begin + 1, UNKNOWN, np.uint64), tuple(np.full(begin + 1, n) for n in whole.unknown)
@@ -317,7 +342,7 @@ def bigrams(cut: DataFrame, known: DataFrame, whole: Totals, shards: int) -> Dat
         where = zip(rows["block"].to_pylist(), rows["shard"].to_pylist(), parts, strict=True)
         return _answers([(b, s, None, None, pack(n[p]), pack(t[p]), None, None, None) for b, s, p in where])
 
-    asked = _met(cut.select("block", "lengths", "marks", "numbers", "n_distinct"), known).applyInArrow(
+    asked = _met(cut.select("block", "lengths", "targets", "numbers", "n_distinct"), known).applyInArrow(
         ask, "block bigint, shard bigint, gram binary, n binary, t binary"
     )
     return stored(asked.groupBy("shard").applyInArrow(answer, ANSWER), "bigrams")
@@ -359,10 +384,7 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str =
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     ids = targets.select(F.col(f"`{targets.columns[0]}`").alias("target_id")).dropna().distinct()
-    flagged = rows.join(small_side(ids, ids.count()), F.col("doc_id") == F.col("target_id"), "left").select(
-        "doc_id", "text", F.col("target_id").isNotNull().alias("is_target")
-    )
-    cut = blocks(flagged)
+    cut = marked(blocks(rows), ids)
     known = vocabulary(cut)
     whole = totals(cut, known)
     shards = whole.words[0] // max(1, BIGRAMS) + 1
@@ -390,6 +412,6 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", doc_id: str =
         return pa.table(columns, names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return _met(cut.select("block", "ids", "lengths", "marks", "numbers", "n_distinct"), known.unionByName(pairs)).applyInArrow(
+    return _met(cut.select("block", "ids", "lengths", "targets", "numbers", "n_distinct"), known.unionByName(pairs)).applyInArrow(
         judge, f"doc_id {kind}, n_words bigint, target_loss double, background_loss double, score double"
     )

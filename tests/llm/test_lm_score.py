@@ -7,6 +7,7 @@ from pathlib import Path
 
 import pytest
 
+from noonwatt.llm import common
 from noonwatt.llm import lm_score as m
 
 SCHEMA = "doc_id bigint, text string, is_target string, target_id int, n_words string"
@@ -142,3 +143,22 @@ def test_equal_sums_whatever_block_a_word_is_in(spark, monkeypatch):
     assert found[0].keys() == found[1].keys() == set(range(60))
     for i, values in found[0].items():
         assert values == pytest.approx(found[1][i]) if rows[i][1] else values == found[1][i] == (0, None, None, 0.0)
+
+
+def test_more_targets_than_are_broadcast_give_equal_scores(spark, monkeypatch):
+    rng = random.Random(10)
+    texts = [" ".join(f"{rng.randrange(50)}" for _ in range(20)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    targets = spark.createDataFrame([(i,) for i in range(0, 200, 3)], "doc_id bigint")
+    few = sorted(map(tuple, m.score(docs, targets).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(m, "MARKS", 0)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        many = sorted(map(tuple, m.score(docs, targets).collect()))
+    finally:
+        spark.conf.set(key, kept)
+    assert [r[:2] for r in many] == [r[:2] for r in few]
+    assert [x for r in many for x in r[2:]] == pytest.approx([x for r in few for x in r[2:]])
