@@ -7,9 +7,10 @@ input. The score of a URL is the difference of the two log-likelihoods per chara
 cut-off is calibrated on decided URLs that were held out of the counts.
 
 All steps are joins and aggregations of columns. What a character scores depends on no more than
-the ORDER characters that end with it, so each distinct window of them is scored once. Tables of
-up to MODEL_ROWS rows are broadcast; larger ones are joined by shuffle. Of more windows than
-that the most frequent are broadcast and the others, none of which is hot, joined by shuffle.
+the ORDER characters that end with it, so each distinct window of them is scored once. Grams of
+all lengths are looked up in one join: those of the lengths that together have up to MODEL_ROWS
+are broadcast, the longer ones joined by shuffle. Of more windows than that the most frequent
+are broadcast and the others, none of which is hot, joined by shuffle.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and fits no
 rule. If the rules leave one of the two classes empty there is nothing to compare with, and
